@@ -1,8 +1,8 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import chat, exact_dedup, mixing, sharding
+from . import bpe, chat, exact_dedup, mixing, pii, quality, secret_scan, sharding
 
-MODULES = (sharding, exact_dedup, mixing, chat)
+MODULES = (sharding, exact_dedup, mixing, chat, pii, secret_scan, bpe, quality)
 
 
 def queries():
