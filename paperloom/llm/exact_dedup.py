@@ -51,7 +51,9 @@ def exact_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", *
     rows = recipes(df, text_col, id_col, **cut).withColumn("_key", F.xxhash64("recipe"))
     low = F.lit(-(2**63))
     groups = rows.groupBy("_key", "recipe").agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_keep"), F.max_by("_rid", F.coalesce("_id", low)).alias("_keep_rid")).filter("_n > 1")
-    # a hot recipe is one row of `groups`, and the join's large side can be split
+    # a hot recipe is one row of `groups`; as a table of its own it does not tie the join to the
+    # aggregate's partitions, so the join's large side can be split
+    groups = written(groups, "groups")
     found = rows.join(groups.hint("merge"), ["_key", "recipe"], "left")
     return found.select(
         "_rid",

@@ -43,5 +43,6 @@ def joined(spans, kinds: tuple[str, ...]):
 def digests(df: DataFrame, base: tuple[str, ...], kinds: tuple[str, ...]) -> DataFrame:
     """doc_id, n_<kind> and base_sha256 of the base spans, and spans: all of them joined."""
     plain = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter(plain, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
+    of_kind = lambda k: F.filter(plain, lambda s: s["kind"] == k)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in base]
     return df.select("doc_id", *counts, F.sha2(joined(plain, base), 256).alias("base_sha256"), joined(F.col("spans"), kinds).alias("spans"))
