@@ -1,8 +1,8 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import bpe, chat, exact_dedup, mixing, pii, quality, secret_scan, sharding, simhash
+from . import bpe, chat, embed_dedup, exact_dedup, mixing, pii, quality, secret_scan, sharding, simhash
 
-MODULES = (sharding, exact_dedup, mixing, chat, pii, secret_scan, bpe, quality, simhash)
+MODULES = (sharding, exact_dedup, mixing, chat, pii, secret_scan, bpe, quality, simhash, embed_dedup)
 
 
 def queries():
