@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.views import oracle, view
+from ..plans.register import Registry
+from ..plans.views import view
 
 STATUSES = ("pending", "processing", "done", "error")
 LABELS = ("invoice", "email", "scientific_publication", "resume", "unknown")
@@ -123,18 +124,7 @@ def _docs(spark, sf):
 
 OWNER = 7
 ALL = "v_docs d left join v_class c on c.doc_id = d.doc_id left join v_extract e on e.doc_id = d.doc_id"
-Q: dict = {}
-O: dict = {}
-
-
-def register(name: str, sql: str | None = None):
-    def wrap(f):
-        Q[name] = f
-        if sql:
-            O[name] = oracle(sql)
-        return f
-
-    return wrap
+register = Registry()
 
 
 @register("scan_catalog", f"select d.doc_id, owner_id, filename, content_type, file_size, status, created_at, predicted_label, confidence, total_amount from {ALL}")
@@ -328,4 +318,4 @@ def delete_document(spark, sf):
     return reduce(DataFrame.unionByName, left)
 
 
-QUERIES, ORACLES = Q, O
+QUERIES, ORACLES = register.queries, register.oracles

@@ -1,8 +1,8 @@
 """All queries of the engine and their DuckDB statements."""
 
-from ..operators import catalog
+from ..operators import boxes, catalog, evaluate, text_jobs
 
-MODULES = (catalog,)
+MODULES = (catalog, evaluate, boxes, text_jobs)
 
 
 def queries():

@@ -49,7 +49,7 @@ select l_orderkey as image_id, row_number() over (partition by l_orderkey order
 select concat('doc_', cast(image_id as string), case image_id % 3 when 0 then '.jpg' when 1 then '.png' else '.jpeg' end) as filename, 1000.0 as width, 800.0 as height,
  concat(label, '_', cast(image_id % 2 as string)) as class, x1 as xmin, y1 as ymin, x2 as xmax, y2 as ymax from v_detections""",
     "v_files": """
-select o_orderkey as file_id, concat('doc', cast(o_orderkey div_5 as string),
+select o_orderkey as file_id, concat('doc', cast(div_5 as string),
  case o_orderkey % 5 when 0 then '_brightness_jpg.rf.' when 1 then '_affine_translation_png.rf.' when 2 then '_jpeg.rf.' when 3 then '.x' else '_gaussianblur.x' end,
  case when o_orderkey % 5 < 3 then md5(cast(o_orderkey as string)) else '' end, case o_orderkey % 2 when 0 then '.jpg' else '.png' end) as name from (select o_orderkey, cast(floor(o_orderkey / 5) as bigint) as div_5 from orders) o""",
     "v_qa": """
@@ -74,6 +74,11 @@ from documents d cross join (select 'svm' as model, 3 as k union all select 'lr'
     "v_status_events": """
 select event_id, user_id as doc_id, ts, case event_type when 'view' then 'pending' when 'click' then 'processing' when 'purchase' then 'done' else 'error' end as status
 from events where event_type <> 'signup'""",
+    "v_phrases": """
+select c_custkey as id, case c_custkey % 12 when 0 then concat(cast(c_custkey as string), ' Main Street') when 1 then 'SW1A 2AA' when 2 then lpad(cast(c_custkey as string), 5, '0')
+ when 3 then concat('+33 1 23 45 ', lpad(cast(c_custkey % 100 as string), 2, '0')) when 4 then 'INVOICE SUMMARY PAGE' when 5 then concat('Invoice # ABC-', cast(1000 + c_custkey as string))
+ when 6 then concat('no. ', cast(10000 + c_custkey as string), ' / x') when 7 then concat('VAT 20%: ', cast(c_custkey as string), '.50 EUR') when 8 then 'designation date debut quantite tva'
+ when 9 then 'Total TTC - 1 234,56' when 10 then concat('info', cast(c_custkey as string), '@site.con now') else concat('Ref: ', cast(c_custkey as string), ' le 05/03/1998') end as text from customer""",
     "v_metrics": """
 select model, features, cast(acc as double) as accuracy from (select 'svm' as model, 'text' as features, 0.825 as acc union all select 'lr', 'text', 0.80 union all select 'rf', 'hybrid', 0.938 union all select 'svm', 'hybrid', 0.938 union all select 'nb', 'image', 0.638) m""",
 }
