@@ -23,8 +23,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: Characters drawn like ASCII letters.
 LOOKALIKES = dict(zip("АВСЕНІЈКМОРЅТУХаеорсухіјѕԁһΑΒΕΖΗΙΚΜΝΟΡΤΥΧοα", "ABCEHIJKMOPSTYXaeopcyxijsdhABEZHIKMNOPTYXoa"))
 DIGIT_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
-UNSEEN = "­​‌‍⁠﻿"
-ODD = re.compile("[Ͱ-֏؀-෿⁠​-‍！-～­﻿]")
+UNSEEN = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
+ODD = re.compile("[\u0370-\u058f\u0600-\u0dff\u200b-\u200d\u2060\uff01-\uff5e\u00ad\ufeff]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP_HINT = re.compile(r"[0-9]\.[0-9]")
