@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-BLOCK = 1024
+BLOCK = 4096
 
 
 def block_pairs(rows: DataFrame, key: str, few_cells: bool, block: int = BLOCK) -> DataFrame:
