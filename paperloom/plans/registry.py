@@ -1,8 +1,8 @@
 """All queries of the engine and their DuckDB statements."""
 
-from ..operators import boxes, catalog, evaluate, features, text_jobs
+from ..operators import boxes, catalog, evaluate, extract, features, layout, text_jobs
 
-MODULES = (catalog, evaluate, boxes, text_jobs, features)
+MODULES = (catalog, evaluate, boxes, text_jobs, features, layout, extract)
 
 
 def queries():
