@@ -303,8 +303,10 @@ def extract_anchors(lines: DataFrame, height: float = 12.0, pitch: float = 20.0)
     w = Window.partitionBy("doc_id").orderBy("line_no")
     rows = lines.select("doc_id", "line_no", "text", *(F.when((F.lead("line_no", k).over(w) - F.col("line_no")) * pitch <= height * (1.5 + k), F.lead("text", k).over(w)).alias(f"n{k}") for k in (1, 2)))
     rows = rows.withColumn("norm", X.normalize_text(F.col("text"))).withColumn("words", F.split(F.trim("text"), " +"))
+    every = {a for anchors, _ in RULES.values() for a in anchors}
+    rows = rows.filter(X.any_in(F.col("norm"), sorted(every)))
     found = []
-    for step, (field, (anchors, kind)) in enumerate(RULES.items()):
+    for field, (anchors, kind) in RULES.items():
         on = reduce(lambda a, b: a | b, (X.contains_anchor(F.col("norm"), a) for a in anchors))
         same = pick_value(kind, X.strip_anchor_prefix(F.col("text"), anchors))
         below = F.coalesce(*(F.coalesce(pick_value(kind, F.col(f"n{k}")), *( [F.nullif(F.trim(f"n{k}"), F.lit(""))] if kind == "text" else [])) for k in (1, 2)))
@@ -361,7 +363,7 @@ def top_issuer(lines: DataFrame, pitch: float = 20.0, height: float = 12.0) -> D
     return rows.filter(F.col("y") <= F.col("cut")).filter(ok).groupBy("doc_id").agg(F.min_by(t, "line_no").alias("value")).select("doc_id", F.lit("nom_emetteur").alias("field"), "value", F.lit("top_of_page_fallback").alias("method"))
 
 
-_AMOUNTS = f"select doc_id, arg_max(price, struct_pack(v := cast(price as double), k := -n)) as value from (select doc_id, n, price from ({_LINES}) union all select o_orderkey, 100, cast(cast(o_totalprice as decimal(14,2)) as varchar) from orders) group by doc_id"
+_AMOUNTS = f"select doc_id, arg_max(shown, struct_pack(v := v, k := -n)) as value from (select doc_id, 5 + n as n, case when length(name) <= 8 then concat(substr(name, 6), ' ', price) else price end as shown, cast(price as double) as v from ({_LINES}) union all select o_orderkey, 100, cast(cast(o_totalprice as decimal(14,2)) as varchar), cast(cast(o_totalprice as decimal(14,2)) as double) from orders union all select o_orderkey, 1, cast(100000 + o_orderkey as varchar), 100000 + o_orderkey from orders) group by doc_id"
 
 
 @register("extract_anchor_pipeline")
@@ -401,9 +403,9 @@ def q_largest_amount(spark, sf):
     return largest_amount(view(spark, sf, "v_invoice_lines")).select("doc_id", "value")
 
 
-@register("best_phone", "select id as doc_id, text as value from v_phrases where id % 12 = 3")
+@register("best_phone", "select id as doc_id, replace(text, ' 1 ', ' 01 ') as value from v_phrases where id % 12 = 3")
 def q_best_phone(spark, sf):
-    lines = view(spark, sf, "v_phrases").select(F.col("id").alias("doc_id"), F.explode(F.array(F.struct(F.lit(0).alias("n"), F.concat(F.lit("Tel: "), "text").alias("t")), F.struct(F.lit(1).alias("n"), F.col("text").alias("t")))).alias("x"))
+    lines = view(spark, sf, "v_phrases").withColumn("text", F.replace("text", F.lit(" 1 "), F.lit(" 01 "))).select(F.col("id").alias("doc_id"), F.explode(F.array(F.struct(F.lit(0).alias("n"), F.concat(F.lit("Tel: "), "text").alias("t")), F.struct(F.lit(1).alias("n"), F.col("text").alias("t")))).alias("x"))
     return best_phone(lines.filter("doc_id % 12 = 3").select("doc_id", F.col("x.n").alias("line_no"), F.col("x.t").alias("text"))).select("doc_id", "value")
 
 

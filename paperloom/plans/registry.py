@@ -1,8 +1,10 @@
 """All queries of the engine and their DuckDB statements."""
 
-from ..operators import boxes, catalog, evaluate, extract, features, layout, text_jobs
+from ..operators import boxes, catalog, evaluate, extract, features, layout, models, text_jobs
+from ..sources import readers
+from ..streaming import lifecycle
 
-MODULES = (catalog, evaluate, boxes, text_jobs, features, layout, extract)
+MODULES = (catalog, evaluate, boxes, text_jobs, features, layout, extract, models, readers, lifecycle)
 
 
 def queries():
