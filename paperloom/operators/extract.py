@@ -298,33 +298,42 @@ def pick_value(kind: str, text: Column) -> Column:
     }[kind]
 
 
+def valued(text: Column) -> Column:
+    """The value in a text of the kind that column `kind` names."""
+    return reduce(lambda rest, k: F.when(F.col("kind") == k, pick_value(k, text)).otherwise(rest), ("id", "date", "percent", "money", "ttc", "vat", "text"), F.lit(None))
+
+
 def extract_anchors(lines: DataFrame, height: float = 12.0, pitch: float = 20.0) -> DataFrame:
-    """(doc_id, field, value, method) by anchor rules, unrolled to one projection; no join of rules."""
+    """(doc_id, field, value, method) by anchor rules, unrolled to one projection; no join of rules.
+
+    A line is kept once for each field whose anchor it holds; values are looked for in these rows
+    alone: on the line, in a word right of the anchor, in the two lines below.
+    """
     w = Window.partitionBy("doc_id").orderBy("line_no")
     rows = lines.select("doc_id", "line_no", "text", *(F.when((F.lead("line_no", k).over(w) - F.col("line_no")) * pitch <= height * (1.5 + k), F.lead("text", k).over(w)).alias(f"n{k}") for k in (1, 2)))
-    rows = rows.withColumn("norm", X.normalize_text(F.col("text"))).withColumn("words", F.split(F.trim("text"), " +"))
-    every = {a for anchors, _ in RULES.values() for a in anchors}
-    rows = rows.filter(X.any_in(F.col("norm"), sorted(every)))
-    found = []
-    for field, (anchors, kind) in RULES.items():
-        on = reduce(lambda a, b: a | b, (X.contains_anchor(F.col("norm"), a) for a in anchors))
-        same = pick_value(kind, X.strip_anchor_prefix(F.col("text"), anchors))
-        below = F.coalesce(*(F.coalesce(pick_value(kind, F.col(f"n{k}")), *( [F.nullif(F.trim(f"n{k}"), F.lit(""))] if kind == "text" else [])) for k in (1, 2)))
-        value = F.coalesce(F.when(same.isNotNull(), F.struct(same.alias("value"), F.lit("anchor_same_line").alias("method"))), right_token(kind, anchors), F.when(below.isNotNull(), F.struct(below.alias("value"), F.lit("anchor_nearby_line").alias("method"))))
-        found.append(F.struct(F.lit(field).alias("field"), F.when(on, value).alias("v")))
-    hits = rows.select("doc_id", "line_no", F.explode(F.filter(F.array(*found), lambda x: x["v"].isNotNull())).alias("x")).select("doc_id", "line_no", "x.field", "x.v")
+    norm = X.normalize_text(F.col("text"))
+    rows = rows.withColumn("norm", norm)
+    flags = [F.when(reduce(lambda a, b: a | b, (X.contains_anchor(F.col("norm"), a) for a in anchors)), F.struct(F.lit(field).alias("field"), F.lit(kind).alias("kind"), F.array(*map(F.lit, anchors)).alias("anchors"))) for field, (anchors, kind) in RULES.items()]
+    rows = rows.select("doc_id", "line_no", "text", "n1", "n2", F.explode(F.array_compact(F.array(*flags))).alias("r")).select("doc_id", "line_no", "text", "n1", "n2", "r.*")
+    parts = F.split("text", "[:\\-]", 2)
+    held = F.exists("anchors", lambda a: X.normalize_text(parts[0]).contains(a))
+    rows = rows.withColumn("own", F.when((F.size(parts) == 2) & held, F.trim(F.try_element_at(parts, F.lit(2)))).otherwise(F.col("text")))
+    plain = lambda k: F.when(F.col("kind") == "text", F.nullif(F.trim(f"n{k}"), F.lit("")))
+    rows = rows.withColumn("same", valued(F.col("own"))).withColumn("right", right_token(F.split(F.trim("text"), " +"))).withColumn("below", F.coalesce(valued(F.col("n1")), plain(1), valued(F.col("n2")), plain(2)))
+    tagged = [F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("value"), F.lit(m).alias("method"))) for c, m in (("same", "anchor_same_line"), ("right", "anchor_right_token"), ("below", "anchor_nearby_line"))]
+    hits = rows.withColumn("v", F.coalesce(*tagged)).filter("v is not null")
     picked = hits.groupBy("doc_id", "field").agg(F.min_by("v", "line_no").alias("v")).select("doc_id", "field", "v.value", "v.method")
     rest = [product_rows(lines), best_phone(lines), largest_amount(lines).join(picked.filter("field = 'total_ttc'").select("doc_id"), "doc_id", "left_anti"), top_issuer(lines).join(picked.filter("field = 'nom_emetteur'").select("doc_id"), "doc_id", "left_anti")]
     return reduce(DataFrame.unionByName, [picked, *rest])
 
 
-def right_token(kind: str, anchors) -> Column:
+def right_token(words: Column) -> Column:
     """First value among the words right of the last word that is part of an anchor."""
-    inside = lambda t: (X.normalize_text(t) != "") & reduce(lambda p, q: p | q, (F.lit(a).contains(X.normalize_text(t)) for a in anchors))
-    last = F.coalesce(F.array_max(F.transform("words", lambda t, i: F.when(inside(t), i))), F.lit(0))
-    after = F.slice("words", last + 2, F.greatest(F.size("words") - last - 1, F.lit(0)))
-    value = X.head(F.filter(F.transform(after, lambda t: pick_value(kind, t)), lambda v: v.isNotNull()))
-    return F.when(value.isNotNull(), F.struct(value.alias("value"), F.lit("anchor_right_token").alias("method")))
+    plain = F.transform(words, lambda t: X.normalize_text(t))
+    inside = F.transform(plain, lambda t, i: F.when((t != "") & F.exists("anchors", lambda a: a.contains(t)), i))
+    last = F.coalesce(F.array_max(inside), F.lit(0))
+    after = F.slice(words, last + 2, F.greatest(F.size(words) - last - 1, F.lit(0)))
+    return X.head(F.filter(F.transform(after, valued), lambda v: v.isNotNull()))
 
 
 def product_rows(lines: DataFrame, most: int = 30) -> DataFrame:
@@ -388,8 +397,9 @@ def pick_field_value(spark, sf):
 
 @register("right_token_value", "select o_orderkey as doc_id, concat('INV-', cast(100000 + o_orderkey as varchar)) as value from orders")
 def right_token_value(spark, sf):
-    rows = view(spark, sf, "v_invoice_lines").filter("line_no = 1").withColumn("words", F.split(F.trim("text"), " +"))
-    return rows.select("doc_id", right_token("id", RULES["numero_facture"][0])["value"].alias("value"))
+    anchors, kind = RULES["numero_facture"]
+    rows = view(spark, sf, "v_invoice_lines").filter("line_no = 1").withColumn("kind", F.lit(kind)).withColumn("anchors", F.array(*map(F.lit, anchors)))
+    return rows.select("doc_id", right_token(F.split(F.trim("text"), " +")).alias("value"))
 
 
 @register("take_until_total", f"select doc_id, string_agg(name, ' | ' order by n) as value from (select doc_id, n, name from ({_LINES}) where n <= 30) group by doc_id")

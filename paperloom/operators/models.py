@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
@@ -33,13 +35,15 @@ SETS = {"meta": META, "letters": [f"c{i}" for i in range(len(LETTERS))], "hybrid
 
 
 def fourier(n_in: int, n_out: int = 128, gamma: float | None = None):
-    """Columns for random Fourier features: cos(w.x + b), which approximate an RBF kernel."""
-    import numpy as np
-
+    """Random Fourier features cos(w.x + b) of `scaled`, which approximate an RBF kernel."""
     rng = np.random.default_rng(SEED)
-    w, b = rng.standard_normal((n_out, n_in)) * (2 * (gamma or 1 / n_in)) ** 0.5, rng.uniform(0, 2 * np.pi, n_out)
-    dot = lambda row: F.aggregate(F.zip_with(F.array(*map(F.lit, map(float, row))), vector_to_array("scaled"), lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    return F.array(*(F.cos(dot(row) + float(c)) for row, c in zip(w, b)))
+    w, b = rng.standard_normal((n_in, n_out)) * (2 * (gamma or 1 / n_in)) ** 0.5, rng.uniform(0, 2 * np.pi, n_out)
+
+    @F.pandas_udf("array<double>")
+    def lifted(x: pd.Series) -> pd.Series:
+        return pd.Series(list(np.cos(np.stack(x.to_numpy()) @ w + b))) if len(x) else pd.Series([], dtype=object)
+
+    return lifted(vector_to_array("scaled"))
 
 
 def estimator(name: str, n: int, c: float = 1.0):
@@ -60,10 +64,10 @@ def prepared(rows: DataFrame, cols: list[str]) -> DataFrame:
 def fit_score(rows: DataFrame, name: str, cols: list[str], c: float = 1.0) -> DataFrame:
     """(doc_id, label, prediction) of the held-out part."""
     data = cached(prepared(rows, cols).select("doc_id", "label", "scaled", "val"), "vectors")
-    train, val = data.filter(~F.col("val")), data.filter("val")
     if name == "rbf":
-        lift = lambda d: d.withColumn("lifted", array_to_vector(fourier(len(cols)))).drop("scaled").withColumnRenamed("lifted", "scaled")
-        train, val, name = lift(train), lift(val), "svm"
+        lifted = data.withColumn("lifted", array_to_vector(fourier(len(cols)))).drop("scaled").withColumnRenamed("lifted", "scaled")
+        data, name = cached(lifted, "lifted"), "svm"
+    train, val = data.filter(~F.col("val")), data.filter("val")
     return estimator(name, train.count(), c).fit(train).transform(val).select("doc_id", "label", "prediction")
 
 
