@@ -10,6 +10,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: The patterns.
 EMAIL = r"(?iU)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
@@ -42,7 +43,7 @@ def clean_ocr_text(text: Column) -> Column:
     return F.array_join(words, " ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compatible(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
 

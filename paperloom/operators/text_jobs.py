@@ -13,7 +13,6 @@ from ..plans.register import Registry
 from ..plans.views import view
 
 register = Registry()
-T = F.col("text")
 _CLEAN = "array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'), '[\\s\\x0b\\x1c-\\x1f]+', ' ', 'g')), ' '), lambda t: length(t) > 1 or regexp_full_match(t, '[0-9]')), ' ')"
 _ASCII = "regexp_replace(translate(text, 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY'), '[^\\x00-\\x7F]', '', 'g')"
 _NORM = f"trim(regexp_replace(regexp_replace(lower({_ASCII}), '[^a-z0-9%@./,_#:$+\\- ]+', ' ', 'g'), ' +', ' ', 'g'))"
@@ -29,7 +28,7 @@ def phrases(name: str, expr, sql: str):
 
     @register(name, f"select id, {sql} as value from v_phrases")
     def job(spark, sf):
-        return view(spark, sf, "v_phrases").select("id", expr(T).alias("value"))
+        return view(spark, sf, "v_phrases").select("id", expr(F.col("text")).alias("value"))
 
 
 phrases("is_postal_code", X.is_postal_code, "regexp_matches(trim(text), '(?i)^(?:[A-Z]{1,2}\\d{1,2}[A-Z]?\\s*\\d[A-Z]{2}|\\d{5}(?:-\\d{4})?|[A-Z]\\d[A-Z]\\s*\\d[A-Z]\\d|\\d{4,5})$')")
@@ -53,17 +52,17 @@ phrases("find_phone", X.find_phone, f"case when contains({_NORM}, 'nif') then nu
 
 @register("clean_ocr_text", f"select doc_id, {_CLEAN} as cleaned from documents")
 def clean_ocr_text(spark, sf):
-    return view(spark, sf, "documents").select("doc_id", X.clean_ocr_text(T).alias("cleaned"))
+    return view(spark, sf, "documents").select("doc_id", X.clean_ocr_text(F.col("text")).alias("cleaned"))
 
 
 @register("normalize_text", f"select doc_id, {_NORM} as normalized from documents")
 def normalize_text(spark, sf):
-    return view(spark, sf, "documents").select("doc_id", X.normalize_text(T).alias("normalized"))
+    return view(spark, sf, "documents").select("doc_id", X.normalize_text(F.col("text")).alias("normalized"))
 
 
 @register("keyword_counts", "select doc_id, " + ", ".join(" + ".join(f"cast(contains(lower(text), '{w}') as int)" for w in ws) + f" as {n}" for n, ws in X.KEYWORDS.items()) + " from documents")
 def keyword_counts(spark, sf):
-    return view(spark, sf, "documents").select("doc_id", *(c.alias(n) for n, c in X.keyword_counts(T).items()))
+    return view(spark, sf, "documents").select("doc_id", *(c.alias(n) for n, c in X.keyword_counts(F.col("text")).items()))
 
 
 _WORDS = f"list_filter(string_split({_CLEAN}, ' '), lambda w: w <> '')"
@@ -80,7 +79,7 @@ _META = f"""select doc_id, length(text) as n_chars, len({_WORDS}) as n_words, le
 
 def meta_features(docs: DataFrame) -> DataFrame:
     rounded = lambda n, c: F.round(c, 9).alias(n) if n.startswith("avg") or n.endswith("ratio") else c.alias(n)
-    return docs.select("doc_id", *(rounded(n, c) for n, c in X.text_meta_features(T).items()))
+    return docs.select("doc_id", *(rounded(n, c) for n, c in X.text_meta_features(F.col("text")).items()))
 
 
 @register("text_meta_features", _META)
@@ -96,30 +95,30 @@ def job_text_features(spark, sf):
 
 @register("job_clean_corpus", f"select lang, source, count(*) as docs, cast(sum(len({_WORDS})) as bigint) as words, cast(sum(length({_NORM})) as bigint) as chars from documents group by lang, source")
 def job_clean_corpus(spark, sf):
-    words = F.size(F.filter(F.split(X.clean_ocr_text(T), " "), lambda w: w != ""))
-    return view(spark, sf, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("docs"), F.sum(words).cast("long").alias("words"), F.sum(F.length(X.normalize_text(T))).cast("long").alias("chars"))
+    words = F.size(F.filter(F.split(X.clean_ocr_text(F.col("text")), " "), lambda w: w != ""))
+    return view(spark, sf, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("docs"), F.sum(words).cast("long").alias("words"), F.sum(F.length(X.normalize_text(F.col("text")))).cast("long").alias("chars"))
 
 
 @register("find_dates", f"select doc_id, line_no, nullif(regexp_extract(text, '(?i){_DATE}'), '') as date_text from v_invoice_lines")
 def find_dates(spark, sf):
-    return view(spark, sf, "v_invoice_lines").select("doc_id", "line_no", X.first(T, X.DATE).alias("date_text"))
+    return view(spark, sf, "v_invoice_lines").select("doc_id", "line_no", X.first(F.col("text"), X.DATE).alias("date_text"))
 
 
 @register("find_amounts", "select o_orderkey as doc_id, cast(cast(o_totalprice as decimal(14,2)) as varchar) as amount from orders")
 def find_amounts(spark, sf):
     """The last amount of each total line; the truth is the order's price."""
-    return view(spark, sf, "v_invoice_lines").filter("line_no = 100").select("doc_id", X.last(T, X.MONEY).alias("amount"))
+    return view(spark, sf, "v_invoice_lines").filter("line_no = 100").select("doc_id", X.last(F.col("text"), X.MONEY).alias("amount"))
 
 
 @register("invoice_number_from_text", "select o_orderkey as doc_id, concat('inv-', cast(100000 + o_orderkey as varchar)) as number from orders")
 def invoice_number_from_text(spark, sf):
-    return view(spark, sf, "v_invoice_lines").filter("line_no = 1").select("doc_id", X.invoice_number(T).alias("number"))
+    return view(spark, sf, "v_invoice_lines").filter("line_no = 1").select("doc_id", X.invoice_number(F.col("text")).alias("number"))
 
 
 @register("job_contact_scan", f"select source, count(*) as docs, count({_FOUND_EMAIL}) as with_email, count(list_extract({_PHONES}, 1)) as with_phone from documents group by source")
 def job_contact_scan(spark, sf):
     docs = view(spark, sf, "documents")
-    return docs.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.count(X.first(T, X.EMAIL)).alias("with_email"), F.count(X.head(F.filter(X.every(T, X.PHONE), lambda c: X.digits(c) >= 8))).alias("with_phone"))
+    return docs.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.count(X.first(F.col("text"), X.EMAIL)).alias("with_email"), F.count(X.head(F.filter(X.every(F.col("text"), X.PHONE), lambda c: X.digits(c) >= 8))).alias("with_phone"))
 
 
 _PARSED = "coalesce(try_strptime(answer, '%d/%m/%Y'), try_strptime(answer, '%Y-%m-%d'))"
