@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 from ..plans.register import Registry
 from ..plans.views import view
+from ..sources.readers import cached
 
 register = Registry()
 #: Fields and the words that mark lines and regions.
@@ -131,18 +132,18 @@ def first_win_merge(found: DataFrame) -> DataFrame:
 def region_offers(basic: bool = False) -> list:
     has = lambda *ws: X.any_in(F.col("norm"), ws)
     client = has(*(CLIENT_BASIC if basic else CLIENT))
-    meta = has(*META_BASIC) if basic else has(*META) | number_ahead().isNotNull()
+    meta = has(*META_BASIC) if basic else has(*META) | F.col("ahead").isNotNull()
     out = [(0, "paragraph_region_products" if basic else "region_products", "Products", has(*PRODUCTS), products_of(basic))]
     if not basic:
-        out.append((0, "issuer_region", "Issuer_Name", has(*ISSUER), name_of()))
-    out += [(0, "billing_region", "Client_Name", client, name_of(basic)), (0, "billing_region", "Billing_Address", client, address_of(basic)), (0, "billing_region", "Client_Email", client, any_line("email")), (0, "billing_region", "Client_Phone", client, any_line("phone"))]
-    out.append((0, "shipping_region", "Shipping_Address", has(*SHIPPING), address_of(basic)))
+        out.append((0, "issuer_region", "Issuer_Name", has(*ISSUER), F.col("name")))
+    out += [(0, "billing_region", "Client_Name", client, F.col("name")), (0, "billing_region", "Billing_Address", client, F.col("address")), (0, "billing_region", "Client_Email", client, any_line("email")), (0, "billing_region", "Client_Phone", client, any_line("phone"))]
+    out.append((0, "shipping_region", "Shipping_Address", has(*SHIPPING), F.col("address")))
     if basic:
         number = pick(lambda x: x["norm"].contains("invoice") & x["number"].isNotNull(), lambda x: x["number"])
         date = pick(lambda x: x["norm"].contains("date") & ~x["norm"].contains("due") & x["date"].isNotNull(), lambda x: x["date"])
         due = pick(lambda x: x["norm"].contains("due") & x["date"].isNotNull(), lambda x: x["date"])
     else:
-        number, date = number_ahead(), F.coalesce(date_near("date"), date_near("fecha"))
+        number, date = F.col("ahead"), F.coalesce(date_near("date"), date_near("fecha"))
         due = date_near("due")
     out += [(0, "metadata_region", f, meta, v) for f, v in (("Invoice_Number", number), ("Invoice_Date", date), ("Due_Date", due), ("Client_Email", any_line("email")), ("Client_Phone", any_line("phone")))]
     return out + [(0, "totals_region", f, has(*SUMS), v) for f, v in totals(basic).items()]
@@ -167,16 +168,20 @@ def line_candidates(values: DataFrame, method: str, stage: int) -> DataFrame:
 
 
 def extract_regions(lines: DataFrame, basic: bool = False) -> DataFrame:
-    """All fields found in each document. One exchange by document serves all windows."""
-    values = line_values(lines, basic)
-    regions = regions_of(values)
+    """All fields found in each document.
+
+    Line values and regions feed several branches, so each is computed once and written.
+    """
+    values = cached(line_values(lines, basic), "lines")
+    regions = regions_of(values).withColumns({"name": name_of(basic), "address": address_of(basic), "ahead": number_ahead()})
+    regions = cached(regions, "regions")
     found = [candidates(regions, region_offers(basic)), line_candidates(values, "global_region_scan" if basic else "global_scan", 3)]
     if not basic:
         block = contact_block(regions)
-        offers = [(2, "contact_block_fallback", f, F.lit(True), v) for f, v in (("Client_Name", name_of()), ("Billing_Address", address_of()), ("Client_Email", any_line("email")), ("Client_Phone", any_line("phone")))]
+        offers = [(2, "contact_block_fallback", f, F.lit(True), v) for f, v in (("Client_Name", F.col("name")), ("Billing_Address", F.col("address")), ("Client_Email", any_line("email")), ("Client_Phone", any_line("phone")))]
         others = regions.join(block.select("doc_id", "ord"), ["doc_id", "ord"], "left_anti")
         top = others.filter((F.col("x1") <= 2000) & (F.col("y1") <= 1600) & ~X.any_in(F.col("norm"), NOT_ISSUER))
-        name = name_of()
+        name = F.col("name")
         found += [candidates(block, offers), candidates(top, [(4, "top_region_fallback", "Issuer_Name", F.length(name) >= 2, name)])]
     return first_win_merge(reduce(DataFrame.unionByName, found))
 
