@@ -36,6 +36,7 @@ phrases("looks_like_phone", X.looks_like_phone, "starts_with(text, '+') or (leng
 phrases("is_street_line", X.is_street_line, "regexp_matches(text, '(?i)\\b(lane|ln|street|st|avenue|ave|road|rd|drive|dr|blvd|boulevard|court|ct|place|pl|way|circle|cir)\\b')")
 phrases("is_header_line", X.is_header_line, "length(regexp_replace(text, '[^A-Za-z]', '', 'g')) > 0 and length(regexp_replace(text, '[^A-Z]', '', 'g')) > 0.8 * length(regexp_replace(text, '[^A-Za-z]', '', 'g')) and len(string_split(trim(text), ' ')) >= 2")
 phrases("find_percent", lambda t: F.trim(X.first(t, X.PERCENT)), "nullif(regexp_extract(text, '\\b\\d{1,2}(?:[.,]\\d{1,2})?\\s*%'), '')")
+phrases("first_date", lambda t: X.first(t, X.DATE), f"nullif(regexp_extract(text, '(?i){_DATE}'), '')")
 phrases("find_email", X.find_email, f"case when {_FOUND_EMAIL} is not null then replace({_FOUND_EMAIL}, '.con', '.com') else nullif(regexp_extract(replace(regexp_replace(text, '\\s+', '', 'g'), '.con', '.com'), '{_EMAIL}'), '') end")
 phrases("invoice_id_candidates", lambda t: F.array_join(X.invoice_id_candidates(t), ","), "array_to_string(list_filter(regexp_extract_all(text, '(?i)\\b[A-Z0-9][A-Z0-9./_-]{3,}\\b'), lambda t: length(regexp_replace(t, '\\D', '', 'g')) >= 4), ',')")
 phrases("looks_like_table_header", lambda t: X.looks_like_table_header(X.normalize_text(t)), f"{' + '.join(f'cast(contains({_NORM}, {chr(39)}{h}{chr(39)}) as int)' for h in X.TABLE_HEADER)} >= 3")
