@@ -30,8 +30,8 @@ from .common import table
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Fixed value: the pre-tokeniser's pattern, with white space as Unicode defines it.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-KEEP, KEEP_PAIRS = 300_000, 500_000
-ROWS = 2_000
+KEEP, KEEP_PAIRS = 300_000, 400_000
+ROWS = 1_000
 
 
 def byte_of_char() -> dict[str, int]:
@@ -41,23 +41,45 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Codec:
-    """Encoder and decoder of one vocabulary; built once in each Python worker."""
+class Decoder:
+    """Tokens' bytes end to end, with offsets; built once in each Python worker that decodes."""
 
     def __init__(self, spec: str):
-        spec = json.loads(spec)
-        chars, vocab = byte_of_char(), spec["model"]["vocab"]
-        as_bytes = lambda s: bytes(chars[c] for c in s)
-        self.tokens = [b""] * (max([*vocab.values(), *(a["id"] for a in spec["added_tokens"])]) + 1)
+        self.spec = json.loads(spec)
+        chars, vocab = byte_of_char(), self.spec["model"]["vocab"]
+        self.special = {a["content"]: a["id"] for a in self.spec["added_tokens"]}
+        self.tokens = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for s, i in vocab.items():
-            self.tokens[i] = as_bytes(s)
+            self.tokens[i] = bytes(chars[c] for c in s)
         self.ids = {b: i for i, b in enumerate(self.tokens) if b}
-        self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         for s, i in self.special.items():
             self.tokens[i] = s.encode()
+        self.sizes = np.array([len(b) for b in self.tokens], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(self.tokens), dtype=np.uint8)
+        self.prepare()
+        del self.spec
+
+    def prepare(self) -> None:
+        """What a decoder does without."""
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """Texts of many documents: ids end to end, and where each document's ids end."""
+        sizes = self.sizes[ids]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.arange(upto[-1]) + np.repeat(self.starts[ids] - upto[:-1], sizes)
+        data, marks = self.bytes[at].tobytes(), upto[np.concatenate([[0], ends])]
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(marks, marks[1:])]
+
+
+class Codec(Decoder):
+    """Encoder of one vocabulary."""
+
+    def prepare(self) -> None:
+        vocab = self.spec["model"]["vocab"]
         self.merged: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
-        for m in spec["model"]["merges"]:
+        for m in self.spec["model"]["merges"]:
             a, b = m.split(" ") if isinstance(m, str) else m
             pair, to = (vocab[a], vocab[b]), vocab[a + b]
             self.merged[pair] = to
@@ -74,10 +96,6 @@ class Codec:
         self.seen: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
         self.lengths = [len(b) for b in self.tokens]
-        sizes = np.array([len(b) for b in self.tokens], dtype=np.int64)
-        self.ends = np.cumsum(sizes)
-        self.starts, self.sizes = self.ends - sizes, sizes
-        self.bytes = np.frombuffer(b"".join(self.tokens), dtype=np.uint8)
 
     def compatible(self, left: int, right: int) -> bool:
         """The entry of the pair-compatibility table, filled as pairs come up: whether no merge across the border comes before the merges that made the two tokens.
@@ -159,23 +177,15 @@ class Codec:
                 out.append(got)
         return b"".join(out)
 
-    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
-        """Texts of many documents: ids end to end, and where each document's ids end."""
-        sizes = self.sizes[ids]
-        upto = np.concatenate([[0], np.cumsum(sizes)])
-        at = np.arange(upto[-1]) + np.repeat(self.starts[ids] - upto[:-1], sizes)
-        data, marks = self.bytes[at].tobytes(), upto[np.concatenate([[0], ends])]
-        return [data[a:b].decode("utf-8", "replace") for a, b in zip(marks, marks[1:])]
-
 
-_built: dict[int, Codec] = {}
+_built: dict[type, tuple[int, Decoder]] = {}
 
 
-def _codec(spec) -> Codec:
-    if spec.id not in _built:
-        _built.clear()
-        _built[spec.id] = Codec(spec.value)
-    return _built[spec.id]
+def _codec(spec, kind: type):
+    """This worker's codec of that vocabulary."""
+    if kind not in _built or _built[kind][0] != spec.id:
+        _built[kind] = spec.id, kind(spec.value)
+    return _built[kind][1]
 
 
 def _spec(spark, path: str):
@@ -203,7 +213,7 @@ def encode(df: DataFrame, text_col: str = "text", path: str = TOKENIZER) -> Data
     column = df.columns.index(text_col)
 
     def run(batches):
-        codec = _codec(spec)
+        codec = _codec(spec, Codec)
         for big in batches:
             for k in range(0, big.num_rows, ROWS):
                 b = big.slice(k, ROWS)
@@ -222,7 +232,7 @@ def decode(df: DataFrame, ids_col: str = "ids", out: str = "decoded", path: str
     column = df.columns.index(ids_col)
 
     def run(batches):
-        codec = _codec(spec)
+        codec = _codec(spec, Decoder)
         for big in batches:
             for k in range(0, big.num_rows, ROWS):
                 b = big.slice(k, ROWS)
