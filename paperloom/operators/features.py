@@ -20,7 +20,9 @@ def terms(docs: DataFrame, stop: list[str], grams: int = 1) -> DataFrame:
     words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), lambda w: ~w.isin(*stop))
     rows = docs.select("doc_id", words.alias("w"))
     if grams == 2:
-        pairs = F.transform(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, i: F.concat_ws(" ", a, F.get(F.col("w"), i + 1)))
+        # two slices, for an index into "w" inside the lambda would cut the text again at every word
+        count = F.greatest(F.size("w") - 1, F.lit(0))
+        pairs = F.zip_with(F.slice("w", 1, count), F.slice("w", 2, count), lambda a, b: F.concat_ws(" ", a, b))
         rows = rows.select("doc_id", F.concat("w", pairs).alias("w"))
     return rows.select("doc_id", F.explode("w").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
