@@ -4,9 +4,11 @@
    words; a target stops at twice its source's words and the excess goes to the others by weight.
    That is water-filling: target = least(2 * words, level * weight), with the level found from
    prefix sums over the sources in order of 2 * words / weight.
-2. Blocks. A source's documents fall into blocks of about BLOCK_WORDS words by hash. The mix takes
-   whole passes over a source and then blocks in a permuted order until the target is met to the
-   word; the last block is cut, within it the last document. Each taken block is a slot.
+2. Blocks. A source's documents fall into blocks by hash, of about BLOCK_WORDS words and documents
+   together, so that a source of empty texts is split as well; a source has at most MAX_BLOCKS, so
+   that the order of its blocks is one task's work at any size. The mix takes whole passes over a
+   source and then blocks in a permuted order until the target is met to the word; the last block is
+   cut, within it the last document. Each taken block is a slot.
 3. Tree. The sources' slot counts are the quotas of the root. A node splits its quotas between two
    halves of the output shards by a multivariate hypergeometric draw (each source in turn, by
    inversion of the exact distribution), down to single shards. Quotas add up exactly.
@@ -27,7 +29,7 @@ from .common import table, written
 
 WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2
-BLOCK_WORDS = 1 << 17
+BLOCK_WORDS, MAX_BLOCKS = 1 << 17, 1 << 16
 SHARDS = 16
 SEED = 97
 
@@ -44,7 +46,7 @@ def hash31(*parts) -> str:
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS) -> DataFrame:
-    """(source, source_size, target) from (source, source_size): one row per source.
+    """Add target to a table of one row per source, with source and source_size.
 
     The windows run over the source list, not over documents.
     """
@@ -52,14 +54,14 @@ def targets(sizes: DataFrame, weights=WEIGHTS) -> DataFrame:
     ranked = sizes.withColumn("_rank", F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))))
     weight = F.coalesce(*(F.when((F.col("_rank") - 1) % n == i, F.lit(float(w))) for i, w in enumerate(weights)))
     everything = Window.partitionBy(F.lit(0))
-    ranked = ranked.select("source", "source_size", "_rank", weight.alias("_w"), (F.col("source_size") * float(CAP)).alias("_cap"))
+    ranked = ranked.select(*sizes.columns, "_rank", weight.alias("_w"), (F.col("source_size") * float(CAP)).alias("_cap"))
     order = Window.orderBy(F.col("_cap") / F.col("_w"), "_rank")
     full = order.rowsBetween(Window.unboundedPreceding, -1)
     ranked = ranked.select("*", F.coalesce(F.sum("_cap").over(full), F.lit(0.0)).alias("_filled"), F.sum("_w").over(order.rowsBetween(0, Window.unboundedFollowing)).alias("_open"), F.sum("source_size").over(everything).alias("_all"))
     ranked = ranked.withColumn("_level", (F.col("_all") * F.lit(SHARE) - F.col("_filled")) / F.col("_open"))
     # the first source, in order of cap / weight, whose cap is not below level * weight sets the level
     level = F.min(F.when(F.col("_level") * F.col("_w") <= F.col("_cap"), F.struct(F.col("_cap") / F.col("_w"), "_rank", "_level"))).over(everything)
-    return ranked.select("source", "source_size", F.least(F.col("_cap"), level["_level"] * F.col("_w")).alias("target"))
+    return ranked.select(*sizes.columns, F.least(F.col("_cap"), level["_level"] * F.col("_w")).alias("target"))
 
 
 def hypergeometric(total: str, good: str, drawn: str, u: str) -> str:
@@ -106,12 +108,13 @@ def mix_plan(df: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WORDS
     """
     rows = df.drop("source_size", "target", "draws", "_h")
     rows = rows.withColumn("_h", F.expr(hash31(seed, "doc_id")))
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
     plan = targets(sizes)
     # `words` is capped, for rounding up must not ask for more than two passes
     plan = plan.withColumn("_words", F.least(F.floor(F.col("target") + 0.5), F.col("source_size") * CAP))
     plan = plan.withColumn("_passes", F.expr("if(source_size = 0, 0, _words div source_size)")).withColumn("_rest", F.expr("if(source_size = 0, 0, _words % source_size)"))
-    plan = plan.withColumn("_blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words))).withColumn("_id", F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))))
+    blocks = F.least(F.lit(MAX_BLOCKS), F.ceil((F.col("source_size") + F.col("_rows")) / block_words))
+    plan = plan.withColumn("_blocks", blocks).withColumn("_id", F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))))
     plan = written(plan, "mix-plan")
     same = rows["source"].eqNullSafe(plan["source"])
     # a row for each source; the side of a checked size is sent to all, a longer list is merged
@@ -171,13 +174,13 @@ def _h(*parts: str) -> str:
 ORACLES = {
     "op5_mixing": f"""
     WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^ \\t-\\r]+')), 0) AS BIGINT) AS size FROM documents),
-    s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+    s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n FROM d GROUP BY source),
     r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS id, CAST(source_size * 2 AS DOUBLE) AS cap FROM s),
     w AS (SELECT *, CAST(CASE (id - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS w FROM r),
     l AS (SELECT *, ((sum(source_size) OVER ()) * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM w),
     v AS (SELECT lev AS level FROM l WHERE lev * w <= cap ORDER BY cap / w, id LIMIT 1),
     p AS (SELECT *, least(cap, level * w) AS target FROM l, v),
-    q AS (SELECT *, least(CAST(floor(target + 0.5) AS BIGINT), source_size * 2) AS words, greatest(1, CAST(ceil(source_size / {BLOCK_WORDS}) AS BIGINT)) AS blocks FROM p),
+    q AS (SELECT *, least(CAST(floor(target + 0.5) AS BIGINT), source_size * 2) AS words, least({MAX_BLOCKS}, CAST(ceil((source_size + n) / {BLOCK_WORDS}) AS BIGINT)) AS blocks FROM p),
     x AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE words // source_size END AS passes, CASE WHEN source_size = 0 THEN 0 ELSE words % source_size END AS rest FROM q),
     b AS (SELECT d.doc_id, d.size, x.source_size, x.target, x.passes, x.rest, x.id, {_h(str(SEED), 'd.doc_id')} AS h, {_h(str(SEED), 'd.doc_id')} % x.blocks AS block FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source),
     bs AS (SELECT id, block, sum(size) AS bsize FROM b GROUP BY id, block),
