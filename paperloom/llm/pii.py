@@ -1,9 +1,9 @@
 """Personal data by offset-preserving deobfuscation.
 
 Base detectors run on the text as it stands. Then three transducers rewrite it and keep, for every
-rewritten stretch, where it came from: homoglyphs (full-width, Greek and Cyrillic look-alikes, other
-scripts' digits, zero-width characters), digits spelled as words (seven or more in a row), and
-at/dot disguises, in brackets or as words between parts of an address. The detectors run on the
+rewritten stretch, where it came from: homoglyphs (full-width and mathematical letters, Greek and
+Cyrillic look-alikes, other scripts' digits, zero-width characters), digits spelled as words (seven
+or more in a row, with "plus" before them or not), and at/dot disguises, in brackets or as words between parts of an address. The detectors run on the
 rewritten text as well; spans that a rewriting has touched are mapped back to source characters and
 are added unless they meet a base span of their kind.
 """
@@ -24,7 +24,7 @@ KINDS = ("email", "ip", "card", "phone")
 LOOKALIKES = dict(zip("АВСЕНІЈКМОРЅТУХаеорсухіјѕԁһΑΒΕΖΗΙΚΜΝΟΡΤΥΧοα", "ABCEHIJKMOPSTYXaeopcyxijsdhABEZHIKMNOPTYXoa"))
 DIGIT_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
 UNSEEN = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
-ODD = re.compile("[\u0370-\u058f\u0600-\u0dff\u200b-\u200d\u2060\uff01-\uff5e\u00ad\ufeff]")
+ODD = re.compile("[\u0370-\u058f\u0600-\u0f33\u1040-\u1099\u17e0-\u17e9\u1810-\u1819\u200b-\u200d\u2060\uff01-\uff5e\u00ad\ufeff\U0001d400-\U0001d7ff]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP_HINT = re.compile(r"[0-9]\.[0-9]")
@@ -33,7 +33,7 @@ CARD_HINT = re.compile(r"[0-9](?:[\x20-]?[0-9]){11}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _word = "(?:" + "|".join(DIGIT_WORDS) + ")"
-SPELLED = re.compile(rf"(?<![A-Za-z]){_word}(?:[\x20,-]{{1,2}}{_word}){{6,}}(?![A-Za-z])", re.I | re.A)
+SPELLED = re.compile(rf"(?<![A-Za-z])(plus[\x20,-]{{1,2}})?{_word}(?:[\x20,-]{{1,2}}{_word}){{6,}}(?![A-Za-z])", re.I | re.A)
 SPELLED_ONE = re.compile(rf"{_word}[\x20,-]{{0,2}}", re.I | re.A)
 BRACKETED = re.compile(r"[\x20]?[\[({<][\x20]?(at|dot|@|\.)[\x20]?[\])}>][\x20]?", re.I | re.A)
 SAID = re.compile(r"(?<![\w.])[A-Za-z0-9._%+-]+([\x20]at[\x20])[A-Za-z0-9-]+(?:[\x20]dot[\x20][A-Za-z0-9-]+)*[\x20]dot[\x20](?:com|org|net|edu|gov|io|de|fr|es|info|example)(?![\w])", re.I | re.A)
@@ -107,6 +107,8 @@ def look(c: str) -> str:
         return ""
     if "！" <= c <= "～":
         return chr(ord(c) - 0xFEE0)
+    if c >= "\U0001d400":  # mathematical letters and digits, whose Greek ones have look-alikes too
+        c = unicodedata.normalize("NFKC", c)
     digit = unicodedata.decimal(c, None)
     return LOOKALIKES.get(c, c) if digit is None else str(digit)
 
@@ -120,7 +122,8 @@ def spelled(text: str):
     if not any(w in low for w in DIGIT_WORDS):
         return []
     digits = lambda s: "".join(str(DIGIT_WORDS.index(w.strip(" ,-").lower())) for w in SPELLED_ONE.findall(s))
-    return [(m.start(), m.end(), digits(m[0])) for m in SPELLED.finditer(text)]
+    plus = lambda m: "+" if m[1] else ""
+    return [(m.start(), m.end(), plus(m) + digits(m[0][len(m[1] or "") :])) for m in SPELLED.finditer(text)]
 
 
 def disguised(text: str):
