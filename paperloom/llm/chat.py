@@ -85,23 +85,20 @@ def parse_chats(formatted, template: Template = Template()):
     return F.transform(turns, turn)
 
 
-def with_spans(segments):
-    """array<struct<start, end, loss>> of a segment list, in code points of the formatted string."""
-    zero = F.array().cast("array<struct<start:int,end:int,loss:boolean>>")
-    last = lambda a: F.coalesce(F.try_element_at(a, F.lit(-1))["end"], F.lit(0))
-    return F.aggregate(segments, zero, lambda a, s: F.concat(a, F.array(F.struct(last(a).alias("start"), (last(a) + F.length(s["text"])).alias("end"), s["loss"].alias("loss")))))
+def loss_text(segments):
+    """The texts under the loss mask, unescaped, in order, nothing between."""
+    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescaped(s["text"])), "")
 
 
 def op6_chat_format(spark, sf_dir):
-    """Digests of what is read back from the formatted strings and their loss spans."""
+    """Digests of the turns parsed from the formatted strings and of the segments under the loss mask."""
     said = "\\### Assistant: </turn> ok"
     extra = spark.range(1).select(F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.lit("user").alias("role")), F.struct(F.lit(1).alias("turn"), F.lit("assistant").alias("role")))).alias("t"))
     extra = extra.select(F.lit(-7).cast("long").alias("conv_id"), F.col("t.turn").cast("long").alias("turn"), F.col("t.role").alias("role"), F.lit(said).alias("text"))
     chats = format_chats(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra))
-    read = chats.select("conv_id", "formatted", parse_chats(F.col("formatted")).alias("turns"), F.filter(with_spans(F.col("segments")), lambda s: s["loss"]).alias("mask"), "state", "valid")
-    lossy = F.array_join(F.transform("mask", lambda s: unescaped(F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"]))), "")
+    read = chats.select("conv_id", "formatted", parse_chats(F.col("formatted")).alias("turns"), loss_text(F.col("segments")).alias("lossy"), "valid")
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    read = read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), lossy.alias("lossy"), F.length("formatted").cast("long").alias("formatted_chars"), "valid")
+    read = read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), "lossy", F.length("formatted").cast("long").alias("formatted_chars"), "valid")
     return read.select("conv_id", "n_turns", "turns_sha256", F.length("lossy").cast("long").alias("loss_chars"), F.sha2("lossy", 256).alias("loss_sha256"), "formatted_chars", "valid")
 
 
