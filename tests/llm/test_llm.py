@@ -199,6 +199,13 @@ def test_mixing(spark, docs, empty):
     assert drawn.select(F.sum(mixing.words(F.col("text")))).first()[0] == sum(taken.values())
 
 
+def test_mixing_of_empty_texts(spark):
+    """A source of empty texts is split in blocks like others and takes nothing."""
+    df = spark.range(500).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 300, "void").otherwise("full").alias("source"), F.when(F.col("id") < 300, 0).otherwise(5).cast("long").alias("size"))
+    rows = mixing.mix_plan(df, shards=4, block_words=20).collect()
+    assert sum(d["words"] for r in rows for d in r.draws) == 1500 and not any(r.draws for r in rows if r.source == "void")
+
+
 def test_quota_tree(spark):
     quotas = spark.createDataFrame([(f"s{k}", k, 37 * k + 5) for k in range(6)], "source string, _id long, quota long")
     got = mixing.split_quotas(quotas, shards=7).groupBy("source").agg(F.sum("quota").alias("n"), F.countDistinct("shard")).collect()
@@ -217,6 +224,8 @@ def test_chat(spark):
     turns = [(1, 0, "user", "\\### Assistant: </turn> ok"), (1, 1, "assistant", "a\n### User: b </turn>\n"), (2, 0, "assistant", None), (2, 1, None, ""), (3, 0, "sys:tem#", "x" * 70_000), (None, 0, "user", "q"), (4, 1, "user", "b"), (4, 1, "user", "a")]
     df = spark.createDataFrame([(*t, "x") for t in turns], "conv_id long, turn long, role string, text string, formatted string")
     rows = {r.conv_id: r for r in chat.format_chats(df).withColumn("back", chat.parse_chats(F.col("formatted"))).collect()}
+    loss = {r.conv_id: r.t for r in chat.format_chats(df).select("conv_id", chat.loss_text(F.col("segments")).alias("t")).collect()}
+    assert loss == {1: "a\n### User: b </turn>\n", 2: "", 3: "", None: "", 4: ""}
     for c in (1, 2, 3, None, 4):
         want = sorted((t, r or "", x or "") for i, t, r, x in turns if i == c)
         assert [(b.role, b.text) for b in rows[c].back] == [(r, x) for _, r, x in want]
@@ -244,7 +253,7 @@ def test_pii_base():
 
 
 def test_pii_added():
-    cases = {"mail joe (at) site [dot] com": ("email", "joe (at) site [dot] com"), "joe at site dot org": ("email", "joe at site dot org"), "j０e@ехample.com": ("email", "j０e@ехample.com"), "card four five three nine one four eight eight zero three four three six four six seven": ("card", None)}
+    cases = {"mail joe (at) site [dot] com": ("email", "joe (at) site [dot] com"), "joe at site dot org": ("email", "joe at site dot org"), "j０e@ехample.com": ("email", "j０e@ехample.com"), "card four five three nine one four eight eight zero three four three six four six seven": ("card", None), "𝐣𝐨𝐞@𝘴𝘪𝘵𝘦.𝚘𝚛𝚐 ๔": ("email", "𝐣𝐨𝐞@𝘴𝘪𝘵𝘦.𝚘𝚛𝚐"), "call plus four nine one five one two three four five six": ("phone", "plus four nine one five one two three four five six")}
     for t, (kind, want) in cases.items():
         got = [(k, t[a:b]) for k, a, b, base in pii.find_one(t) if not base]
         assert got and got[0][0] == kind and (want is None or got[0][1] == want)
@@ -331,6 +340,46 @@ def test_pipeline_stages(spark):
     assert out.filter("not round_trip").count() == 0
 
 
+def test_pipeline_by_brute_force(spark):
+    """The run's rows against naive dedup, the mix in SQL and the tokenizers library."""
+    import corpus_pipeline
+    import duckdb
+    from tokenizers import Tokenizer
+
+    sf, lib = "/root/testdata/sf0.001", Tokenizer.from_file(bpe.TOKENIZER)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    good = quality.score(docs, quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))).filter(F.col("score") >= 0.7).toPandas()
+    exact = naive_exact(list(zip(good.doc_id, good.text)))
+    kept = good[[exact[i][2] for i in good.doc_id]]
+    fps = {i: simhash.fingerprint(t or "") & (2**64 - 1) for i, t in zip(kept.doc_id, kept.text)}
+    label, before = {i: i for i in fps}, None
+    while label != before:
+        before, label = label, {a: min(label[b] for b in fps if (fps[a] ^ fps[b]).bit_count() <= 2) for a in fps}
+    kept = kept[[label[i] == i for i in kept.doc_id]]
+    duck = duckdb.connect()
+    duck.register("documents", kept)
+    want = {r[0]: r[1] for r in duck.sql(f"select doc_id, taken from ({mixing.ORACLES['op5_mixing']}) where taken > 0").fetchall()}
+    got: dict = {}
+    for r in corpus_pipeline.run(spark, sf).collect():
+        text = lib.decode(r.ids, skip_special_tokens=False)
+        assert r.round_trip and r.n_tokens == len(r.ids) and lib.encode(text, add_special_tokens=False).ids == r.ids
+        got[r.doc_id] = got.get(r.doc_id, 0) + len(text.encode().split())
+    assert got == want
+
+
+@pytest.mark.parametrize("name", ["quality", "exact_dedup", "near_dedup", "mix", "bpe"])
+def test_pipeline_stage_on_odd_tables(spark, docs, empty, name):
+    """No rows, clashing column names, null ids and texts, repeated rows."""
+    import corpus_pipeline
+
+    stage, sf = dict(corpus_pipeline.STAGES)[name], "/root/testdata/sf0.001"
+    odd = docs_of(spark, sample_texts(), extra=True)
+    odd = odd.union(odd.limit(3)).union(odd.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
+    out = stage(spark, odd, sf)
+    assert out.count() <= 2 * odd.count() and stage(spark, empty, sf).count() == 0
+    assert out.columns == odd.columns or name == "bpe"
+
+
 def test_registered():
     names = list(queries.queries())
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
