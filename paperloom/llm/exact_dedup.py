@@ -25,10 +25,14 @@ def chunks_of(norm, low: int = MIN_CHUNK, high: int = MAX_CHUNK):
     return F.regexp_extract_all(norm, F.lit(pattern), F.lit(0))
 
 
-def recipes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", low: int = MIN_CHUNK, high: int = MAX_CHUNK, hashed=F.xxhash64) -> DataFrame:
-    """(_rid, id, text_sha256, recipe) for each row of a stored table; _rid numbers its rows."""
+def recipes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", low: int = MIN_CHUNK, high: int = MAX_CHUNK, hashed=F.xxhash64, rid=None) -> DataFrame:
+    """(_rid, id, text_sha256, recipe) for each row of a stored table; _rid numbers its rows.
+
+    rid: a stored column with numbers of the rows. Numbers made here hold for the returned table
+    alone, since another scan may split the files otherwise.
+    """
     norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    rows = df.select(F.monotonically_increasing_id().alias("_rid"), F.col(id_col).alias("_id"), norm.alias("_norm"))
+    rows = df.select((F.monotonically_increasing_id() if rid is None else F.col(rid)).alias("_rid"), F.col(id_col).alias("_id"), norm.alias("_norm"))
     rows = rows.select("_rid", "_id", F.sha2("_norm", 256).alias("text_sha256"), chunks_of(F.col("_norm"), low, high).alias("_chunks"))
     known = rows.select(F.explode("_chunks").alias("chunk")).select(hashed("chunk").alias("h"), "chunk").distinct()
     shared = written(known.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared")
@@ -66,9 +70,9 @@ def exact_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", *
 
 
 def without_copies(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of a stored table that stay, with all their columns."""
-    kept = written(exact_dedup(df, text_col, id_col).filter("kept").select("_rid"), "kept")
-    numbered = df.withColumn("_rid", F.monotonically_increasing_id())
+    """The rows that stay, with all their columns. They are numbered once, and both sides read that."""
+    numbered = written(df.withColumn("_rid", F.monotonically_increasing_id()), "numbered")
+    kept = written(exact_dedup(numbered, text_col, id_col, rid="_rid").filter("kept").select("_rid"), "kept")
     return numbered.join(kept.hint("merge"), "_rid", "left_semi").drop("_rid")
 
 

@@ -108,6 +108,28 @@ def test_chunks(spark):
     assert all("".join(r.c) == r.t for r in df.collect())
 
 
+def test_exact_numbers_survive_another_split(spark, tmp_path, monkeypatch):
+    """Files are packed otherwise between the two reads of a run, as when an executor goes."""
+    texts = [f"text {k % 150}" for k in range(300)]
+    docs_of(spark, texts).repartition(6).write.parquet(str(tmp_path / "docs"))
+    stored, write, key = spark.read.parquet(str(tmp_path / "docs")), exact_dedup.written, "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+
+    def written(df, name):
+        out = write(df, name)
+        if name == "kept":
+            spark.conf.set(key, "1")
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        return out
+
+    monkeypatch.setattr(exact_dedup, "written", written)
+    try:
+        assert sorted(r.doc_id for r in exact_dedup.without_copies(stored).collect()) == list(range(150, 300))
+    finally:
+        spark.conf.set(key, before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_simhash(spark, docs, empty):
     rows = [(r.doc_id, simhash.fingerprint(r.text or "")) for r in docs.collect()]
     fps = {i: f & (2**64 - 1) for i, f in rows}
