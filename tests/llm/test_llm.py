@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, cells, chat, components, embed_dedup, exact_dedup, mixing, pii, quality, queries, secret_scan, sharding, simhash
+from paperloom.llm import bpe, cells, chat, components, embed_dedup, exact_dedup, mixing, pii, quality, queries, secret_scan, sharding, similar, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -389,6 +389,64 @@ def test_pipeline_by_brute_force(spark):
     assert got == want
 
 
+def similar_brute(rows):
+    """Ids that stay, by every pair's Jaccard similarity of five-word tuples."""
+    sets = []
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append((i, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()))
+    label = {i: i for i, _ in sets}
+    near = [(a, b) for k, (a, x) in enumerate(sets) for b, y in sets[:k] if x == y or len(x & y) * 5 >= 4 * len(x | y)]
+    before = None
+    while label != before:
+        before = dict(label)
+        for a, b in near:
+            label[a] = label[b] = min(label[a], label[b])
+    return {i for i in label if label[i] == i}, near
+
+
+def test_near_stage_by_brute_force(spark, docs, empty):
+    """The stage against every pair, with copies of which up to a fifth differs, chains and a hot passage."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    passage, texts = [word() for _ in range(30)], []
+    for _ in range(40):
+        w = [word() for _ in range(rng.randint(20, 150))]
+        texts.append(" ".join(w + passage * (rng.random() < 0.5)))
+        for _ in range(4):
+            w = [word() if rng.random() < 0.015 else x for x in w]
+            texts.append(" ".join(w + passage * (rng.random() < 0.3)).swapcase())
+    rng.shuffle(texts)
+    many = docs_of(spark, texts)
+    for df in (many, docs, spark.read.parquet("/root/testdata/sf0.001/documents.parquet")):
+        want, near = similar_brute([(r.doc_id, r.text) for r in df.collect()])
+        assert near and {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, None).collect()} == want
+    assert corpus_pipeline.drop_near_copies(spark, empty, None).count() == 0
+
+
+def test_pipeline_by_brute_force_of_similarity(spark):
+    """As test_pipeline_by_brute_force, which holds to two bits of three-word shingles, but at similarity 0.8 of five."""
+    import corpus_pipeline
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    good = quality.score(docs, quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))).filter(F.col("score") >= 0.7).toPandas()
+    exact = naive_exact(list(zip(good.doc_id, good.text)))
+    kept = good[[exact[i][2] for i in good.doc_id]]
+    stay, near = similar_brute(list(zip(kept.doc_id, kept.text)))
+    kept = kept[[i in stay for i in kept.doc_id]]
+    duck = duckdb.connect()
+    duck.register("documents", kept)
+    want = {r[0]: r[1] for r in duck.sql(f"select doc_id, taken from ({mixing.ORACLES['op5_mixing']}) where taken > 0").fetchall()}
+    codec, got = bpe.Codec(open(bpe.TOKENIZER).read()), {}
+    for r in corpus_pipeline.run(spark, sf).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + len(codec.decode(np.array(r.ids), np.array([len(r.ids)]))[0].encode().split())
+    assert near and got == want
+
+
 @pytest.mark.parametrize("name", ["quality", "exact_dedup", "near_dedup", "mix", "bpe"])
 def test_pipeline_stage_on_odd_tables(spark, docs, empty, name):
     """No rows, clashing column names, null ids and texts, repeated rows."""
