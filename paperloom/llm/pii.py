@@ -5,7 +5,7 @@ rewritten stretch, where it came from: homoglyphs (full-width and mathematical l
 Cyrillic look-alikes, other scripts' digits, zero-width characters), digits spelled as words (seven
 or more in a row, with "plus" before them or not), and at/dot disguises, in brackets or as words between parts of an address. The detectors run on the
 rewritten text as well; spans that a rewriting has touched are mapped back to source characters and
-are added unless they meet a base span of their kind.
+are added unless a base span of their kind equals or contains them.
 """
 
 from __future__ import annotations
@@ -149,7 +149,7 @@ def find_one(text: str) -> list[tuple[str, int, int, bool]]:
         for layer in reversed(layers):
             s, e, t = layer.back(s, e)
             touched |= t
-        if touched and not any(k == kind and s < b and a < e for k, a, b, _ in base):
+        if touched and not any(k == kind and a <= s and e <= b for k, a, b, _ in base):
             more.append((kind, s, e, False))
     return base + more
 

@@ -283,6 +283,15 @@ def test_pii_added():
         assert not pii.find_one(t)
 
 
+def test_pii_added_over_base_fragments():
+    """A disguised identifier of which a part matches the base pattern: both spans are there."""
+    for kind, t, part in (("email", "jоhn@example.com", "hn@example.com"), ("email", "john@example.cоm", "john@example.c"), ("phone", "+49 151 2345678９", "+49 151 2345678")):
+        got = pii.find_one(f"to {t} now")
+        spans = [(k, f"to {t} now"[a:b], base) for k, a, b, base in got]
+        assert (kind, part, True) in spans and (kind, t, False) in spans, spans
+    assert pii.find_one("a@b.com ｘ") == [("email", 0, 7, True)]
+
+
 def secrets_brute(t):
     out = [("assign", m.start(), m.end()) for m in re.finditer(secret_scan.BASE[0].pattern, t) if len(m[2]) >= 8]
     out += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
