@@ -2,8 +2,9 @@
 
 Base detectors run on the text as it stands. Then three transducers rewrite it and keep, for every
 rewritten stretch, where it came from: homoglyphs (full-width and mathematical letters, Greek and
-Cyrillic look-alikes, other scripts' digits, zero-width characters), digits spelled as words (seven
-or more in a row, with "plus" before them or not), and at/dot disguises, in brackets or as words between parts of an address. The detectors run on the
+Cyrillic look-alikes, other scripts' digits, zero-width characters), digits spelled as words,
+with "plus" before a number or not, and at/dot disguises, in brackets or as words (" at " only where
+a disguised dot follows in the host, for "look at site.com" is plain text). The detectors decide. The detectors run on the
 rewritten text as well; spans that a rewriting has touched are mapped back to source characters and
 are added unless a base span of their kind equals or contains them.
 """
@@ -32,12 +33,18 @@ IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 CARD_HINT = re.compile(r"[0-9](?:[\x20-]?[0-9]){11}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_word = "(?:" + "|".join(DIGIT_WORDS) + ")"
-SPELLED = re.compile(rf"(?<![A-Za-z])(plus[\x20,-]{{1,2}})?{_word}(?:[\x20,-]{{1,2}}{_word}){{6,}}(?![A-Za-z])", re.I | re.A)
-SPELLED_ONE = re.compile(rf"{_word}[\x20,-]{{0,2}}", re.I | re.A)
+_one = "(?:" + "|".join(DIGIT_WORDS) + ")"
+_word = f"(?<![A-Za-z]){_one}(?![A-Za-z])"
+SPELLED = re.compile(rf"{_word}|(?<![A-Za-z])plus[\x20,-]{{1,2}}(?=[0-9]|{_word})", re.I | re.A)
+GAP = re.compile(r"[\x20,-]{1,2}")
+RUN = re.compile(rf"(?<![A-Za-z])(plus[\x20,-]{{1,2}})?{_one}(?:[\x20,-]{{1,2}}{_one}){{6,}}(?![A-Za-z])", re.I | re.A)
+RUN_ONE = re.compile(rf"{_one}[\x20,-]{{0,2}}", re.I | re.A)
+PRECEDING = re.compile(r"[0-9][\x20,-]{2}\Z")
 BRACKETED = re.compile(r"[\x20]?[\[({<][\x20]?(at|dot|@|\.)[\x20]?[\])}>][\x20]?", re.I | re.A)
-SAID = re.compile(r"(?<![\w.])[A-Za-z0-9._%+-]+([\x20]at[\x20])[A-Za-z0-9-]+(?:[\x20]dot[\x20][A-Za-z0-9-]+)*[\x20]dot[\x20](?:com|org|net|edu|gov|io|de|fr|es|info|example)(?![\w])", re.I | re.A)
-SAID_DOT = re.compile(r"[\x20]dot[\x20]", re.I | re.A)
+_said = r"[\x20]{1,2}dot[\x20]{1,2}"
+_hidden = rf"(?:{_said}|[\x20]?[\[({{<][\x20]?(?:dot|\.)[\x20]?[\])}}>][\x20]?)"
+SAID_DOT = re.compile(rf"(?<=[A-Za-z0-9-]){_said}(?=[A-Za-z0-9-])", re.I | re.A)
+SAID_AT = re.compile(rf"(?<=[A-Za-z0-9._%+-])[\x20]{{1,2}}at[\x20]{{1,2}}(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*{_hidden}[A-Za-z0-9-])", re.I | re.A)
 
 
 def emails(text: str):
@@ -118,40 +125,71 @@ def homoglyphs(text: str):
 
 
 def spelled(text: str):
+    """Each digit word is its digit, and a gap between two of them goes; one to plain digits is kept as a blank or dash."""
     low = text.lower()
-    if not any(w in low for w in DIGIT_WORDS):
+    if "plus" not in low and not any(w in low for w in DIGIT_WORDS):
         return []
-    digits = lambda s: "".join(str(DIGIT_WORDS.index(w.strip(" ,-").lower())) for w in SPELLED_ONE.findall(s))
-    plus = lambda m: "+" if m[1] else ""
-    return [(m.start(), m.end(), plus(m) + digits(m[0][len(m[1] or "") :])) for m in SPELLED.finditer(text)]
+    pieces, found = [], list(SPELLED.finditer(text))
+    for k, m in enumerate(found):
+        if m[0][:4].lower() == "plus":
+            pieces.append((m.start(), m.end(), "+"))
+            continue
+        if (g := PRECEDING.search(text, max(0, m.start() - 3), m.start())) and (not pieces or pieces[-1][1] <= g.end() - 2):
+            pieces.append((g.end() - 2, g.end(), " "))
+        pieces.append((m.start(), m.end(), str(DIGIT_WORDS.index(m[0].lower()))))
+        if g := GAP.match(text, m.end()):
+            if k + 1 < len(found) and g.end() == found[k + 1].start() and found[k + 1][0][:4].lower() != "plus":
+                pieces.append((g.start(), g.end(), ""))
+            elif len(g[0]) == 2 and text[g.end() : g.end() + 1] in tuple("0123456789"):
+                pieces.append((g.start(), g.end(), " "))
+    return pieces
+
+
+def long_runs(text: str):
+    """Runs of seven or more digit words by themselves, whatever numbers stand beside them."""
+    digits = lambda s: "".join(str(DIGIT_WORDS.index(w.strip(" ,-").lower())) for w in RUN_ONE.findall(s))
+    return [(m.start(), m.end(), ("+" if m[1] else "") + digits(m[0][len(m[1] or "") :])) for m in RUN.finditer(text)]
 
 
 def disguised(text: str):
     found = [(m.start(), m.end(), "@" if m[1].lower() in ("at", "@") else ".") for m in BRACKETED.finditer(text)]
-    if " dot " in text.lower():
-        for m in SAID.finditer(text):
-            found += [(*m.span(1), "@"), *((d.start(), d.end(), ".") for d in SAID_DOT.finditer(text, m.end(1), m.end()))]
+    low = text.lower()
+    if "dot " in low:
+        found += [(m.start(), m.end(), ".") for m in SAID_DOT.finditer(text)]
+    if " at " in low:
+        found += [(m.start(), m.end(), "@") for m in SAID_AT.finditer(text)]
     found.sort()
     return [f for k, f in enumerate(found) if not k or f[0] >= found[k - 1][1]]
 
 
 def find_one(text: str) -> list[tuple[str, int, int, bool]]:
+    """Digit words and at/dot are read each alone and together: what one makes may hide what another shows."""
     base = [(*span, True) for span in detect(text)]
-    layers = []
-    for transducer in (homoglyphs, spelled, disguised):
-        if pieces := transducer(layers[-1].text if layers else text):
-            layers.append(Rewritten(layers[-1].text if layers else text, pieces))
-    if not layers:
-        return base
-    more = []
-    for kind, s, e in detect(layers[-1].text):
-        touched = False
-        for layer in reversed(layers):
-            s, e, t = layer.back(s, e)
-            touched |= t
-        if touched and not any(k == kind and a <= s and e <= b for k, a, b, _ in base):
-            more.append((kind, s, e, False))
-    return base + more
+    looks = Rewritten(text, pieces) if (pieces := homoglyphs(text)) else None
+    plain = looks.text if looks else text
+    words = spelled(plain)
+    read = [Rewritten(plain, pieces) for pieces in (words, long_runs(plain) if len(words) > 6 else []) if pieces]
+    chains = [[looks], *([looks, r] for r in read)]
+    for before in chains[:]:
+        now = before[-1].text if before[-1] else plain
+        if pieces := disguised(now):
+            chains.append([*before, Rewritten(now, pieces)])
+    more = set()
+    for chain in chains:
+        layers = [layer for layer in chain if layer]
+        for kind, s, e in detect(layers[-1].text) if layers else ():
+            touched = False
+            for layer in reversed(layers):
+                s, e, t = layer.back(s, e)
+                touched |= t
+            if touched and not any(k == kind and a <= s and e <= b for k, a, b, _ in base):
+                more.add((kind, s, e))
+    whole, last = [], None
+    for x in sorted(more, key=lambda x: (x[0], x[1], -x[2])):  # those inside another of their kind go
+        if not last or x[0] != last[0] or x[2] > last[2]:
+            whole.append(x)
+            last = x
+    return base + [(*x, False) for x in sorted(whole, key=lambda x: (x[1], x[2], x[0]))]
 
 
 def find_pii(df: DataFrame, text_col: str = "text") -> DataFrame:

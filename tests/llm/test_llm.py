@@ -292,6 +292,19 @@ def test_pii_added_over_base_fragments():
     assert pii.find_one("a@b.com ｘ") == [("email", 0, 7, True)]
 
 
+def test_pii_any_spelled_or_spoken_form():
+    cases = {"ip": ["192 dot 168 dot 0 dot 1", "one nine two dot one six eight dot zero dot one", "192.one six eight.0.1", "one zero (dot) 0 (dot) 0 (dot) seven"], "card": ["four five three nine 1488 0343 6467", "4539, one four eight eight 0343 6467", "4539 1488 zero three four three 6467"], "phone": ["plus 49 151 two three four five 678", "plus four nine 151 2345678"]}
+    cases["email"] = [f"joe at site dot {e}" for e in ("co dot uk", "it", "nl", "ch", "eu")] + ["joe@site dot nl", "joe (at) site dot nl", "joe at site (dot) nl", "john dot doe at mail.site dot eu", "one at site dot com"]
+    for kind, texts in cases.items():
+        for t in texts:
+            for before, after in (("", ""), ("see ", ".")):
+                whole = before + t + after
+                assert (kind, len(before), len(before) + len(t), False) in pii.find_one(whole), (whole, pii.find_one(whole))
+    assert ("card", 4, 23, False) in pii.find_one("one ４５３９ 1488 0343 6467")
+    for t in ("one of two at the dot", "three dot four", "300 dot one dot two dot three", "look at site.com"):
+        assert not [x for x in pii.find_one(t) if not x[3]], t
+
+
 def secrets_brute(t):
     out = [("assign", m.start(), m.end()) for m in re.finditer(secret_scan.BASE[0].pattern, t) if len(m[2]) >= 8]
     out += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
