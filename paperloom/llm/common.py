@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where it is unset (tests on one machine) a temporary folder takes its place.
+    Only where it is unset and all runs in one process (tests) a temporary folder takes its place;
+    on a cluster that would scatter the files over machines, so it is an error there.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="paperloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -39,6 +46,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+PART_ROWS, PART_BYTES = 2_000, 8 << 20
+
+
+def slices(batch: pa.RecordBatch, column: int, rows: int = PART_ROWS, size: int = PART_BYTES):
+    """Parts of a batch with at most `rows` rows and, but for a longer single text, `size` bytes of text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(), dtype=np.int64)
+    k = 0
+    while k < batch.num_rows:
+        upto = int(np.searchsorted(ends, (ends[k - 1] if k else 0) + size, "right"))
+        n = max(1, min(rows, upto - k))
+        yield batch.slice(k, n)
+        k += n
+
+
 def ascii_lower(col):
     """Lower-case A-Z only. Pure ASCII text takes the fast path of lower()."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
