@@ -25,13 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import slices, table
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = "byte_bpe_50k.json"
 #: Fixed value: the pre-tokeniser's pattern, with white space as Unicode defines it.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-KEEP, KEEP_PAIRS = 300_000, 400_000
-ROWS = 1_000
+#: Pieces and pairs that a worker keeps, some 110 MB; ids decoded at a time.
+KEEP, KEEP_PAIRS = 100_000, 150_000
+ROWS, IDS = 1_000, 1 << 18
 
 
 def byte_of_char() -> dict[str, int]:
@@ -65,10 +66,13 @@ class Decoder:
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
         """Texts of many documents: ids end to end, and where each document's ids end."""
-        sizes = self.sizes[ids]
-        upto = np.concatenate([[0], np.cumsum(sizes)])
-        at = np.arange(upto[-1]) + np.repeat(self.starts[ids] - upto[:-1], sizes)
-        data, marks = self.bytes[at].tobytes(), upto[np.concatenate([[0], ends])]
+        upto, parts = np.concatenate([[0], np.cumsum(self.sizes[ids])]), []
+        for k in range(0, len(ids), IDS):
+            some = ids[k : k + IDS]
+            sizes = self.sizes[some]
+            before = np.cumsum(sizes) - sizes
+            parts.append(self.bytes[np.arange(sizes.sum()) + np.repeat(self.starts[some] - before, sizes)].tobytes())
+        data, marks = b"".join(parts), upto[np.concatenate([[0], ends])]
         return [data[a:b].decode("utf-8", "replace") for a, b in zip(marks, marks[1:])]
 
 
@@ -188,9 +192,18 @@ def _codec(spec, kind: type):
     return _built[kind][1]
 
 
-def _spec(spark, path: str):
+def tokenizer_path(path: str | None = None) -> str:
+    """The vocabulary file: `path`, or the public tokenizers' TOKENIZER."""
+    if path:
+        return path
+    import public_tokenizers
+
+    return str(public_tokenizers.path(TOKENIZER))
+
+
+def _spec(spark, path: str | None):
     """The vocabulary file, read once on the driver: its size is fixed, 2 MB."""
-    with open(path, encoding="utf-8") as f:
+    with open(tokenizer_path(path), encoding="utf-8") as f:
         return _Spec(spark.sparkContext.broadcast(f.read()))
 
 
@@ -206,7 +219,7 @@ class _Spec:
         return self.sent.value
 
 
-def encode(df: DataFrame, text_col: str = "text", path: str = TOKENIZER) -> DataFrame:
+def encode(df: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
     """Add ids array<int>. A null text counts as empty and has no ids; a column `ids` is replaced."""
     df, spec = df.drop("ids"), _spec(df.sparkSession, path)
     schema = T.StructType([*df.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
@@ -215,8 +228,7 @@ def encode(df: DataFrame, text_col: str = "text", path: str = TOKENIZER) -> Data
     def run(batches):
         codec = _codec(spec, Codec)
         for big in batches:
-            for k in range(0, big.num_rows, ROWS):
-                b = big.slice(k, ROWS)
+            for b in slices(big, column, ROWS):
                 coded = [codec.encode(t or "") for t in b.column(column).to_pylist()]
                 ends = np.cumsum([0, *(len(c) // 4 for c in coded)], dtype=np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), dtype="<i4"), pa.int32()))
@@ -225,7 +237,7 @@ def encode(df: DataFrame, text_col: str = "text", path: str = TOKENIZER) -> Data
     return df.mapInArrow(run, schema)
 
 
-def decode(df: DataFrame, ids_col: str = "ids", out: str = "decoded", path: str = TOKENIZER) -> DataFrame:
+def decode(df: DataFrame, ids_col: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
     """Add the text of an ids column; a null list gives the empty text."""
     df, spec = df.drop(out), _spec(df.sparkSession, path)
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType(), False)])
@@ -234,8 +246,7 @@ def decode(df: DataFrame, ids_col: str = "ids", out: str = "decoded", path: str
     def run(batches):
         codec = _codec(spec, Decoder)
         for big in batches:
-            for k in range(0, big.num_rows, ROWS):
-                b = big.slice(k, ROWS)
+            for b in slices(big, column, ROWS, 4 * IDS):
                 lists = b.column(column)
                 sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
                 texts = codec.decode(lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes, dtype=np.int64))

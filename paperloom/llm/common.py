@@ -50,8 +50,9 @@ PART_ROWS, PART_BYTES = 2_000, 8 << 20
 
 
 def slices(batch: pa.RecordBatch, column: int, rows: int = PART_ROWS, size: int = PART_BYTES):
-    """Parts of a batch with at most `rows` rows and, but for a longer single text, `size` bytes of text."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(), dtype=np.int64)
+    """Parts of a batch with at most `rows` rows and, but for a longer single one, `size` bytes of text or items of a list."""
+    length = pc.list_value_length if pa.types.is_list(batch.column(column).type) else pc.binary_length
+    ends = np.cumsum(pc.fill_null(length(batch.column(column)), 0).to_numpy(), dtype=np.int64)
     k = 0
     while k < batch.num_rows:
         upto = int(np.searchsorted(ends, (ends[k - 1] if k else 0) + size, "right"))

@@ -1,12 +1,19 @@
 """Personal data by offset-preserving deobfuscation.
 
 Base detectors run on the text as it stands. Then three transducers rewrite it and keep, for every
-rewritten stretch, where it came from: homoglyphs (full-width and mathematical letters, Greek and
-Cyrillic look-alikes, other scripts' digits, zero-width characters), digits spelled as words,
-with "plus" before a number or not, and at/dot disguises, in brackets or as words (" at " only where
-a disguised dot follows in the host, for "look at site.com" is plain text). The detectors decide. The detectors run on the
-rewritten text as well; spans that a rewriting has touched are mapped back to source characters and
-are added unless a base span of their kind equals or contains them.
+rewritten stretch, where it came from:
+
+* homoglyphs: whatever Unicode's compatibility forms make ASCII (full-width, mathematical, circled and
+  raised letters and digits), other scripts' digits, Greek, Cyrillic and Latin look-alikes by a table,
+  zero-width characters, accents in a text that has an `@`, and O, I, l for 0 and 1 in numbers;
+* digits spelled as words, with "plus" before a number or not;
+* at/dot disguises, in brackets or as words (" at " only where a disguised dot follows in the host, for
+  "look at site.com" is plain text).
+
+The detectors run on the rewritten text as well and decide; spans that a rewriting has touched are
+mapped back to source characters and are added unless a base span of their kind equals or contains
+them. No pattern may start at every place of a run that it then reads whole, so all of it is linear
+in the text.
 """
 
 from __future__ import annotations
@@ -14,6 +21,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_right
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
@@ -21,11 +29,24 @@ from . import spans as S
 from .common import table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Characters drawn like ASCII letters.
-LOOKALIKES = dict(zip("АВСЕНІЈКМОРЅТУХаеорсухіјѕԁһΑΒΕΖΗΙΚΜΝΟΡΤΥΧοα", "ABCEHIJKMOPSTYXaeopcyxijsdhABEZHIKMNOPTYXoa"))
+#: Characters drawn like ASCII letters that no compatibility form maps to them.
+LOOKALIKES = dict(
+    zip(
+        "АВСЕНІЈКМОРЅТУХаеорсухіјѕԁһ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοα" + "ıȷɑɡɩ" + "ᴀʙᴄᴅᴇɢʜɪᴊᴋʟᴍɴᴏᴘʀᴛᴜᴠᴡʏᴢ",
+        "ABCEHIJKMOPSTYXaeopcyxijsdh" + "ABEZHIKMNOPTYXoa" + "ijagi" + "ABCDEGHIJKLMNOPRTUVWYZ",
+    )
+)
 DIGIT_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
 UNSEEN = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
-ODD = re.compile("[\u0370-\u058f\u0600-\u0f33\u1040-\u1099\u17e0-\u17e9\u1810-\u1819\u200b-\u200d\u2060\uff01-\uff5e\u00ad\ufeff\U0001d400-\U0001d7ff]")
+#: Blocks that hold look-alikes, compatibility forms and other scripts' digits.
+ODD = re.compile(
+    "[\u00ad\u00b2\u00b3\u00b9\u0131\u0237\u0250-\u02af\u0370-\u058f\u0600-\u0f33\u1040-\u1099\u17e0-\u17e9\u1810-\u1819\u1d00-\u1d25"
+    "\u200b-\u200d\u2024\u2060\u2070-\u209c\u2100-\u2188\u2460-\u24ff\u2776-\u2793\ufe52\ufe62\ufe6b\uff01-\uff5e\ufeff\U0001d400-\U0001d7ff\U0001f100-\U0001f189]"
+)
+ACCENTED = re.compile("[\u00c0-\u024f\u1e00-\u1eff]")
+NUMBER = re.compile(r"[0-9A-Za-z|]+")
+DIGIT_BESIDE = re.compile(r"[0-9][OoIl|]|[OoIl|][0-9]|[OoIl|][.-][0-9]|[0-9][.-][OoIl|]")
+DIGIT_LIKE = str.maketrans("OoIl|", "00111")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP_HINT = re.compile(r"[0-9]\.[0-9]")
@@ -108,20 +129,40 @@ class Rewritten:
         return (s if in_s else s + start - self.at[i]), (e if in_e else self.src[j][0] + end - self.at[j]), in_s or in_e or j > i
 
 
+@lru_cache(maxsize=8192)
 def look(c: str) -> str:
-    """The ASCII character that c stands for, or c itself; nothing for an unseen character."""
+    """The ASCII text that c stands for, or c itself; nothing for an unseen character."""
     if c in UNSEEN:
         return ""
-    if "！" <= c <= "～":
-        return chr(ord(c) - 0xFEE0)
-    if c >= "\U0001d400":  # mathematical letters and digits, whose Greek ones have look-alikes too
-        c = unicodedata.normalize("NFKC", c)
-    digit = unicodedata.decimal(c, None)
-    return LOOKALIKES.get(c, c) if digit is None else str(digit)
+    if c in LOOKALIKES:
+        return LOOKALIKES[c]
+    if (digit := unicodedata.decimal(c, None)) is not None:
+        return str(digit)
+    form = unicodedata.normalize("NFKC", c)
+    form = LOOKALIKES.get(form, form)  # mathematical Greek has look-alikes too
+    form = form if form.isascii() else "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+    form = form.strip("().,") if len(form) > 1 else form  # circled and full-stop numbers
+    return form if form.isascii() else c
 
 
 def homoglyphs(text: str):
-    return [(m.start(), m.end(), new) for m in ODD.finditer(text) if (new := look(m[0])) != m[0]] if not text.isascii() else []
+    if text.isascii():
+        return []
+    found = [*ODD.finditer(text), *(ACCENTED.finditer(text) if "@" in text else ())]
+    pieces = {(m.start(), m.end()): new for m in found if (new := look(m[0])) != m[0]}
+    return sorted((*at, new) for at, new in pieces.items())
+
+
+def digit_like(text: str):
+    """O, I, l and | in tokens of digits, or alone between a number's marks, are 0 and 1."""
+    pieces = []
+    for m in NUMBER.finditer(text):
+        as_digits = m[0].translate(DIGIT_LIKE)
+        if as_digits != m[0] and as_digits.isdigit():
+            alone = len(m[0]) == 1 and (text[max(0, m.start() - 1) : m.start()] in (".", "-") or text[m.end() : m.end() + 1] in (".", "-"))
+            if alone or any(c in "0123456789" for c in m[0]):
+                pieces.append((m.start(), m.end(), as_digits))
+    return pieces
 
 
 def spelled(text: str):
@@ -168,7 +209,7 @@ def find_one(text: str) -> list[tuple[str, int, int, bool]]:
     looks = Rewritten(text, pieces) if (pieces := homoglyphs(text)) else None
     plain = looks.text if looks else text
     words = spelled(plain)
-    read = [Rewritten(plain, pieces) for pieces in (words, long_runs(plain) if len(words) > 6 else []) if pieces]
+    read = [Rewritten(plain, pieces) for pieces in (words, long_runs(plain) if len(words) > 6 else [], digit_like(plain) if DIGIT_BESIDE.search(plain) else []) if pieces]
     chains = [[looks], *([looks, r] for r in read)]
     for before in chains[:]:
         now = before[-1].text if before[-1] else plain
@@ -193,7 +234,10 @@ def find_one(text: str) -> list[tuple[str, int, int, bool]]:
 
 
 def find_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add spans array<struct<kind, start, end, base>>. Null and empty texts have none."""
+    """Add spans array<struct<kind, start, end, base>>, row by row. Null and empty texts have none.
+
+    Repeated rows have equal spans; a column `spans` of df is replaced, other columns are kept.
+    """
     return S.with_spans(df, text_col, lambda texts: [find_one(t) for t in texts])
 
 

@@ -33,6 +33,8 @@ class Rule:
     #: least length of the group named, 0 being the whole match; shorter matches are dropped
     least: int = 0
     group: int = 0
+    #: the group that is the secret's span
+    span: int = 0
 
 
 #: The rules.
@@ -44,69 +46,153 @@ BASE = (
 MORE = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # within a run only the first eyJ is tried, for the run's end is the same for all: linear on any text
+    Rule("jwt", r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?(?=eyJ))(eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)", span=1),
     Rule("pem", r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"),
 )
 RULES = BASE + MORE
 
 
+def parsed(pattern: str):
+    """The pattern as nested tuples: ("set", characters or None for any others), ("all", parts), ("any", parts), ("times", least, most or None, part).
+
+    The rules' dialect: literals, escapes, classes, groups (plain, (?: and (?>), alternatives and
+    quantifiers. Look-around holds no characters of its own and gives an empty part.
+    """
+    at = 0
+
+    def escape() -> str | None:
+        nonlocal at
+        c = pattern[at + 1]
+        at += 4 if c == "x" else 2
+        if c == "x":
+            return chr(int(pattern[at - 2 : at], 16))
+        return {"n": "\n", "t": "\t", "r": "\r"}.get(c, None if c.isalnum() else c)
+
+    def one_set():
+        nonlocal at
+        at += 1
+        negated, chars, known = pattern[at] == "^", [], True
+        at += negated
+        begun = at
+        while pattern[at] != "]" or at == begun:
+            if pattern[at] == "\\":
+                c = escape()
+            else:
+                c, at = pattern[at], at + 1
+            if c is None:
+                known = False
+            elif pattern[at] == "-" and pattern[at + 1] != "]":
+                chars += map(chr, range(ord(c), ord(pattern[at + 1]) + 1))
+                at += 2
+            else:
+                chars.append(c)
+        at += 1
+        return ("set", frozenset(chars) if known and not negated else None)
+
+    def group():
+        nonlocal at
+        inner = next((x for x in ("(?:", "(?>", "(?=", "(?!", "(?<=", "(?<!", "(") if pattern.startswith(x, at)))
+        if inner == "(" and pattern.startswith("(?", at):
+            raise ValueError(f"not in the rules' dialect: {pattern[at:]}")
+        at += len(inner)
+        found = either()
+        at += 1
+        return ("all", ()) if inner[-1] in "=!" else found
+
+    def either():
+        nonlocal at
+        branches, parts = [], []
+        while at < len(pattern) and pattern[at] != ")":
+            c = pattern[at]
+            if c == "|":
+                branches.append(("all", tuple(parts)))
+                parts, at = [], at + 1
+                continue
+            if c == "(":
+                part = group()
+            elif c == "[":
+                part = one_set()
+            elif c == "\\":
+                part = ("set", None if (e := escape()) is None else frozenset(e))
+            else:
+                part, at = ("set", None if c == "." else frozenset() if c in "^$" else frozenset(c)), at + 1
+                part = ("all", ()) if part[1] == frozenset() else part
+            if m := COUNTED.match(pattern, at):
+                at = m.end()
+                low, high = {"*": (0, None), "+": (1, None), "?": (0, 1)}.get(m[1]) or (int(m[2]), int(m[4]) if m[4] else None if m[3] else int(m[2]))
+                part = ("times", low, high, part)
+            parts.append(part)
+        branches.append(("all", tuple(parts)))
+        return branches[0] if len(branches) == 1 else ("any", tuple(branches))
+
+    return either()
+
+
+#: A quantifier: a sign or {least}, {least,} or {least,most}; lazy and possessive ones repeat as often.
+COUNTED = re.compile(r"([*+?]|\{([0-9]+)(,?)([0-9]*)\})[?+]?")
+
+
 def trigram_query(pattern: str) -> list[tuple[frozenset[bytes], ...]]:
     """What a match must hold: a list (all of) of tuples (any of) of trigram sets (all in)."""
-    parser = re._parser
     needs: list[tuple[frozenset[bytes], ...]] = []
 
     def trigrams(s: str) -> frozenset[bytes]:
         b = s.encode().lower()
         return frozenset(b[i : i + 3] for i in range(len(b) - 2))
 
-    def flush(run: set[str], into: list) -> set[str]:
+    def flush(run: set[str]) -> None:
         options = {trigrams(s) for s in run}
         if all(options):
-            into.append(tuple(sorted((o for o in options if not any(p < o for p in options)), key=sorted)))
-        return {""}
-
-    def strings(items) -> set[str] | None:
-        """All strings that these items match, if they are few."""
+            needs.append(tuple(sorted((o for o in options if not any(p < o for p in options)), key=sorted)))
+
+    def strings(part) -> set[str] | None:
+        """All strings that a part matches, A-Z lowered, if they are few."""
+        kind, *rest = part
+        if kind == "set":
+            found = None if rest[0] is None else {c.lower() if c.isascii() else c for c in rest[0]}
+        elif kind == "any":
+            every = [strings(x) for x in rest[0]]
+            found = None if None in every else set().union(*every)
+        elif kind == "all":
+            found = joined([strings(x) for x in rest[0]])
+        else:
+            low, high, inner = rest
+            got = strings(inner) if high is not None and high <= 3 else None
+            several = [joined([got] * k) for k in range(low, high + 1)] if got is not None else [None]
+            found = None if None in several else set().union(*several)
+        return found if found is not None and len(found) <= MOST else None
+
+    def joined(sets) -> set[str] | None:
         run = {""}
-        for op, arg in items:
-            got = one(str(op), arg)
+        for got in sets:
             if got is None or len(run) * len(got) > MOST:
                 return None
             run = {a + b for a, b in product(run, got)}
         return run
 
-    def one(op: str, arg) -> set[str] | None:
-        if op == "LITERAL":
-            return {chr(arg).lower()} if chr(arg).isascii() else {chr(arg)}
-        if op == "IN" and all(str(o) == "LITERAL" for o, _ in arg):
-            return {chr(c).lower() if chr(c).isascii() else chr(c) for _, c in arg}
-        if op == "SUBPATTERN":
-            return strings(arg[3])
-        if op == "BRANCH":
-            every = [strings(b) for b in arg[1]]
-            return None if None in every or sum(map(len, every)) > MOST else set().union(*every)
-        if op in ("MAX_REPEAT", "MIN_REPEAT") and arg[1] <= 3 and (got := strings(arg[2])) is not None:
-            out = set().union(*({"".join(p) for p in product(got, repeat=k)} for k in range(arg[0], int(arg[1]) + 1)))
-            return out if len(out) <= MOST else None
-        return None
-
-    def walk(items, into: list) -> None:
+    def walk(part) -> None:
         run = {""}
-        for op, arg in items:
-            got = one(str(op), arg)
-            if got is not None and len(run) * len(got) <= MOST:
-                run = {a + b for a, b in product(run, got)}
+        for x in part[1] if part[0] == "all" else [part]:
+            got = strings(x)
+            if got is not None and (both := joined([run, got])) is not None:
+                run = both
+                continue
+            if got is None and x[0] == "times" and x[1] and (once := strings(x[3])) is not None:
+                # a part that comes once or more continues what is before it
+                run = {a + b for a, b in product(run, once)} if len(run) * len(once) <= MOST else flush(run) or once
+                flush(run)
+                run = {""}
                 continue
-            run = flush(run, into)
-            if got is not None:
-                run = got
-            elif str(op) == "SUBPATTERN":
-                walk(arg[3], into)
-            elif str(op) in ("MAX_REPEAT", "MIN_REPEAT") and arg[0]:
-                walk(arg[2], into)
-        flush(run, into)
-
-    walk(parser.parse(pattern), needs)
+            flush(run)
+            run = got if got is not None else {""}
+            if got is None and x[0] == "all":
+                walk(x)
+            elif got is None and x[0] == "times" and x[1]:
+                walk(x[3])
+        flush(run)
+
+    walk(parsed(pattern))
     return needs
 
 
@@ -158,14 +244,17 @@ def finder(rules: tuple[Rule, ...]):
             for i in index.candidates(query, everything) if query else everything:
                 for m in pattern.finditer(texts[i]):
                     if m.end(rule.group) - m.start(rule.group) >= rule.least:
-                        out[i].append((rule.kind, m.start(), m.end(), rule in BASE))
+                        out[i].append((rule.kind, m.start(rule.span), m.end(rule.span), rule in BASE))
         return out
 
     return find
 
 
 def find_secrets(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Add spans array<struct<kind, start, end, base>>. Null and empty texts have none."""
+    """Add spans array<struct<kind, start, end, base>>, row by row. Null and empty texts have none.
+
+    Repeated rows have equal spans; a column `spans` of df is replaced, other columns are kept.
+    """
     return S.with_spans(df, text_col, finder(rules))
 
 

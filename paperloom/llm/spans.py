@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slices
+
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType(), False), T.StructField("start", T.IntegerType(), False), T.StructField("end", T.IntegerType(), False), T.StructField("base", T.BooleanType(), False)]), False)
 ARROW = pa.list_(pa.struct([pa.field("kind", pa.string(), False), pa.field("start", pa.int32(), False), pa.field("end", pa.int32(), False), pa.field("base", pa.bool_(), False)]))
 
 
-def with_spans(df: DataFrame, text_col: str, find, rows: int = 2_000) -> DataFrame:
+def with_spans(df: DataFrame, text_col: str, find) -> DataFrame:
     """Add a column `spans`: find(texts) gives the (kind, start, end, base) list of each of some texts.
 
     Null texts are passed on as empty ones; a column `spans` of the input is replaced.
@@ -25,8 +27,7 @@ def with_spans(df: DataFrame, text_col: str, find, rows: int = 2_000) -> DataFra
 
     def run(batches):
         for big in batches:
-            for k in range(0, big.num_rows, rows):
-                b = big.slice(k, rows)
+            for b in slices(big, column):
                 found = find([t or "" for t in b.column(column).to_pylist()])
                 spans = pa.array([[dict(zip(("kind", "start", "end", "base"), span)) for span in one] for one in found], ARROW)
                 yield pa.RecordBatch.from_arrays([*b.columns, spans], names=[*b.schema.names, "spans"])

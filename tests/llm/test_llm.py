@@ -5,13 +5,14 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, cells, chat, components, embed_dedup, exact_dedup, mixing, pii, quality, queries, secret_scan, sharding, similar, simhash
+from paperloom.llm import bpe, cells, chat, components, embed_dedup, exact_dedup, mixing, pii, quality, queries, secret_scan, sharding, simhash, spans
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -442,15 +443,95 @@ def test_secrets(spark):
     assert secret_scan.trigram_query("[0-9a-f]{32,}") == [] and secret_scan.trigram_query("AKIA[A-Z0-9]+") == [(frozenset({b"aki", b"kia"}),)]
 
 
+def timed(f, seconds):
+    import time
+
+    begun = time.time()
+    out = f()
+    assert time.time() - begun < seconds
+    return out
+
+
+@pytest.mark.parametrize("text", ["-" * 10**7 + " dot x", "%" * 10**7 + " at x dot y", "+1" * 5 * 10**6, "+1" + " " * 10**7, "1" * 10**7, "a@" * 10**6, "1." * 10**6, "O" * 10**7 + "1", "l0." * 10**6, "one " * 10**6, "a at " * 10**6])
+def test_pii_is_linear(text):
+    timed(lambda: pii.find_one(text), 40)
+
+
+@pytest.mark.parametrize("text", ["eyJ" * 3 * 10**6, "eyJaaaaaaaaa." * 10**6, "token" + " " * 10**7, "-----BEGIN " * 10**6, "AKIA" * 10**6, ("0" * 31 + "g") * 10**5])
+def test_secrets_are_linear(text):
+    timed(lambda: secret_scan.finder(secret_scan.RULES)([text]), 40)
+
+
+def test_jwt_as_from_anywhere():
+    """The rule tries one start in a run; a plain pattern that tries all finds the same."""
+    rng, plain, n = random.Random(1), re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), 0
+    texts = ["".join(rng.choices(["eyJ", ".", ".", "abcdefgh", "a-b_", "eyJaaaaaaaaaaa", " "], k=rng.randint(1, 14))) for _ in range(20_000)]
+    for t, got in zip(texts, secret_scan.finder(secret_scan.RULES)(texts)):
+        want = [(m.start(), m.end()) for m in plain.finditer(t)]
+        assert [s[1:3] for s in got if s[0] == "jwt"] == want, t
+        n += len(want)
+    assert n > 300
+
+
+def test_trigram_queries():
+    q = secret_scan.trigram_query
+    assert q("abc|abd") == [(frozenset({b"abc"}), frozenset({b"abd"}))] and q("a?bcd") == [(frozenset({b"bcd"}),)]
+    assert q("x[^a]yzw+") == [(frozenset({b"yzw"}),)] and q(r"(?<!q)ab\.c(?=d)") == [(frozenset({b"ab.", b"b.c"}),)]
+    assert q("(?:abc)*d") == [] and q("(abcd){2,}") == [(frozenset({b"abc", b"bcd"}),)] and q("[Aa]\\x42c") == [(frozenset({b"abc"}),)]
+    with pytest.raises(ValueError):
+        q("(?P<x>abc)")
+
+
+def digest_rows(texts, kinds, brute, more):
+    """The columns that the contract asks for, from brute-force base spans and the operator's own others."""
+    for t in texts:
+        base = sorted(brute(t or ""), key=lambda s: (s[1], kinds.index(s[0])))
+        plain = ",".join(f"{k}:{a}:{b}" for k, a, b, *_ in base)
+        everything = sorted([*((k, a, b) for k, a, b, *_ in base), *more(t or "")], key=lambda s: (s[1], ALL_KINDS.index(s[0])))
+        yield (*(sum(s[0] == k for s in base) for k in kinds), hashlib.sha256(plain.encode()).hexdigest(), ",".join(f"{k}:{a}:{b}" for k, a, b in everything))
+
+
+ALL_KINDS = (*pii.KINDS, *(r.kind for r in secret_scan.RULES))
+
+
+def test_span_queries(spark):
+    """All columns of op7 and op8 on the smallest table and on planted texts, against brute force."""
+    planted = ["joe@a.com +49 151 23456789 10.0.0.256 10.0.0.1 4539 1488 0343 6467", "joe at site dot it token=abcdefgh12 AKIAABCDEFGHIJKL", "é" * 5 + " api_key: 'zzzzzzzz' " + "0af" * 20, "eyJaaaaaaaaa.bbbbbbbbb.ccccccccc", None, ""]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(10**6 + k, t) for k, t in enumerate(planted)], "doc_id long, text string"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for find, kinds, brute, added in (
+        (pii.find_pii, pii.KINDS, pii_brute, lambda t: [s[:3] for s in pii.find_one(t) if not s[3]]),
+        (secret_scan.find_secrets, tuple(r.kind for r in secret_scan.BASE), secrets_brute, lambda t: [s[:3] for s in secret_scan.finder(secret_scan.MORE)([t])[0]]),
+    ):
+        every = kinds if find is pii.find_pii else tuple(r.kind for r in secret_scan.RULES)
+        got = {r[0]: tuple(r)[1:] for r in spans.digests(find(docs).drop("text"), kinds, every).collect()}
+        assert got == dict(zip(texts, digest_rows(texts.values(), kinds, brute, added)))
+    assert spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count() == pii.op7_pii(spark, "/root/testdata/sf0.001").count() == secret_scan.op8_secrets(spark, "/root/testdata/sf0.001").count()
+
+
+def test_pii_look_alikes():
+    cases = {"email": ["ĵoe@ехample.com", "josé@example.com", "joe＠example．com", "ｊｏｅ at ｓｉｔｅ dot ｉｔ", "ᴊᴏe@example.com", "jοe@exampʟe.com"], "card": ["4O12 8888 8888 l881", "④⓪①② 8888 8888 ①881"], "ip": ["l92.l68.O.1", "¹⁹².168.0.1"], "phone": ["+49 I51 23456789"]}
+    for kind, texts in cases.items():
+        for t in texts:
+            assert (kind, 4, 4 + len(t), False) in pii.find_one(f"see {t} ."), (t, pii.find_one(f"see {t} ."))
+    for t in ("m² and 10²", "J. O. 10-l", "①②③ Él está en casa", "I 5 O 7"):
+        assert not pii.find_one(t), t
+
+
 def test_spans_on_spark(spark, docs, empty):
+    """Clashing columns keep their values, but for the spans."""
     for f in (pii.find_pii, secret_scan.find_secrets):
-        assert f(docs_of(spark, sample_texts(), extra=True)).count() == docs.count() and f(empty).count() == 0
+        odd = docs_of(spark, sample_texts(), extra=True)
+        out = f(odd)
+        assert sorted(out.columns) == sorted(odd.columns) and f(empty).count() == 0
+        rest = [c for c in odd.columns if c != "spans"]
+        assert sorted(map(repr, out.select(*rest).collect())) == sorted(map(repr, odd.select(*rest).collect()))
 
 
 def test_bpe():
     from tokenizers import Tokenizer
 
-    codec, lib = bpe.Codec(open(bpe.TOKENIZER).read()), Tokenizer.from_file(bpe.TOKENIZER)
+    codec, lib = bpe.Codec(open(bpe.tokenizer_path()).read()), Tokenizer.from_file(bpe.tokenizer_path())
     rng = random.Random(4)
     chars = [chr(i) for i in range(256)] + list(" \n\t\x0b\x85\xa0 　​\x1cÉß漢😀́١½Ⅷ") * 4
     tokens = list(codec.ids)
@@ -464,6 +545,29 @@ def test_bpe():
     assert np.frombuffer(codec.encode("ab" * 20_000), dtype="<i4").tolist() == lib.encode("ab" * 20_000, add_special_tokens=False).ids
 
 
+def test_bpe_query(spark):
+    """The digests of the query against the tokenizers library."""
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(bpe.tokenizer_path())
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = {}
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        ids = lib.encode(r.text or "", add_special_tokens=False).ids
+        want[r.doc_id] = (len(ids), sha(",".join(map(str, ids))), sha(lib.decode(ids, skip_special_tokens=False)))
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.op9_bpe(spark, "/root/testdata/sf0.001").collect()} == want
+
+
+def test_decoding_in_steps(monkeypatch):
+    codec = bpe.Codec(open(bpe.tokenizer_path()).read())
+    texts = [t or "" for t in sample_texts()]
+    coded = [np.frombuffer(codec.encode(t), dtype="<i4") for t in texts]
+    for step in (1, 7, 1 << 18):
+        monkeypatch.setattr(bpe, "IDS", step)
+        few = slice(None, 44) if step < 9 else slice(None)
+        assert codec.decode(np.concatenate(coded[few]), np.cumsum([len(c) for c in coded[few]])) == texts[few]
+
+
 def test_bpe_on_spark(spark, docs, empty):
     rows = bpe.decode(bpe.encode(docs_of(spark, sample_texts(), extra=True))).collect()
     assert all(r.decoded == (r.text or "") for r in rows) and len(rows) == docs.count()
@@ -490,6 +594,45 @@ def test_quality(spark, empty):
     assert all(r.score == 0.5 for r in quality.score(df.limit(3), none).collect())
 
 
+def test_quality_votes_by_brute_force(spark):
+    """Each cosine and vote by itself; equal texts do not vote, ties go by id."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices(["lorem", "ipsum", "Dolor,", "sit!", "42", "é"], k=rng.randint(1, 12))) for _ in range(90)] + ["", "lorem"]
+    texts += texts[:10]
+    labels = [k % 3 > 0 for k in range(len(texts))]
+    keys = np.array([quality.text_key(t) for t in texts], dtype=np.uint64)
+    model = quality.Model(quality.terms(texts), np.array(labels, dtype=np.float32), keys)
+    asked = [*texts[:30], "new text", "", "DOLOR, dolor,"]
+    got = model.score(quality.terms(asked), np.array([quality.text_key(t) for t in asked], dtype=np.uint64))
+    own = model.latent(quality.terms(asked)).astype(float)
+    for t, v, s in zip(asked, own, got):
+        votes = sorted((-round(1e5 * float(sum(a * b for a, b in zip(v, w)))), k) for k, w in enumerate(model.vectors.astype(float)) if texts[k] != t)[: quality.NEIGHBOURS]
+        weight = [(max(-c, 0) / 1e5) ** quality.POWER for c, _ in votes]
+        want = (sum(w for w, (_, k) in zip(weight, votes) if labels[k]) + 1e-9 * model.prior) / (sum(weight) + 1e-9)
+        assert s == pytest.approx(want, abs=2e-3), t
+    assert not np.allclose(got, model.prior)
+
+
+def test_word_places():
+    """Words by themselves and within a text have the same place; case A-Z and blanks do not matter."""
+    place = lambda t: quality.word_places(np.frombuffer(t.encode(), dtype=np.uint8)).tolist()
+    for words in (["a"], ["alpha", "Beta", "漢字", "x" * 300, "été"], []):
+        assert place("  ".join(words)) == [place(w)[0] for w in words] == place("\t" + "\n".join(words).replace("B", "b") + " \r")
+    assert place("alpha") != place("beta") and place("ab") != place("ba")
+
+
+def test_quality_ids_of_any_type(spark):
+    """String ids; ids that several rows share with other texts and labels give the same model in any order."""
+    rows = [(f"d{k % 40}", f"text number {k} " + "Word. " * (k % 7), k % 2) for k in range(120)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id string, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), ("d1", None)], "doc_id string, quality int")
+    one, two = (quality.fit(d, y) for d, y in ((docs, labels), (docs.repartition(5), labels.repartition(3))))
+    assert (one.keys == two.keys).all() and (one.labels == two.labels).all() and len(one.labels) <= 40
+    asked = docs.orderBy("text").limit(20)
+    a, b = ([r.score for r in quality.score(asked, m).orderBy("text").collect()] for m in (one, two))
+    assert a == pytest.approx(b)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
@@ -506,12 +649,14 @@ def test_pipeline_stages(spark):
     assert out.filter("not round_trip").count() == 0
 
 
+def five_words(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
 def similar_brute(rows):
     """Ids that stay, by every pair's Jaccard similarity of five-word tuples."""
-    sets = []
-    for i, t in rows:
-        w = (t or "").encode().lower().split()
-        sets.append((i, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()))
+    sets = [(i, five_words(t)) for i, t in rows]
     label = {i: i for i, _ in sets}
     near = [(a, b) for k, (a, x) in enumerate(sets) for b, y in sets[:k] if x == y or len(x & y) * 5 >= 4 * len(x | y)]
     before = None
@@ -549,7 +694,7 @@ def test_pipeline_by_brute_force(spark):
     import duckdb
     from tokenizers import Tokenizer
 
-    sf, lib = "/root/testdata/sf0.001", Tokenizer.from_file(bpe.TOKENIZER)
+    sf, lib = "/root/testdata/sf0.001", Tokenizer.from_file(bpe.tokenizer_path())
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     good = quality.score(docs, quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))).filter(F.col("score") >= 0.7).toPandas()
     exact = naive_exact(list(zip(good.doc_id, good.text)))
@@ -567,17 +712,60 @@ def test_pipeline_by_brute_force(spark):
     assert near and got == want
 
 
+def odd_table(spark):
+    """Clashing column names, null ids and texts, repeated rows, ids that rows of other texts share."""
+    odd = docs_of(spark, sample_texts(), extra=True)
+    shared = odd.filter("doc_id in (8, 9)").withColumn("doc_id", F.lit(10).cast("long"))
+    return odd.union(odd.filter("doc_id < 12")).union(shared).union(odd.filter("doc_id in (5, 6)").withColumn("doc_id", F.lit(None).cast("long")))
+
+
 @pytest.mark.parametrize("name", ["quality", "exact_dedup", "near_dedup", "mix", "bpe"])
-def test_pipeline_stage_on_odd_tables(spark, docs, empty, name):
-    """No rows, clashing column names, null ids and texts, repeated rows."""
+def test_pipeline_stage_on_odd_tables(spark, empty, name):
+    """By content, against brute force over the same rows."""
     import corpus_pipeline
 
     stage, sf = dict(corpus_pipeline.STAGES)[name], "/root/testdata/sf0.001"
-    odd = docs_of(spark, sample_texts(), extra=True)
-    odd = odd.union(odd.limit(3)).union(odd.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
+    odd = odd_table(spark)
     out = stage(spark, odd, sf)
-    assert out.count() <= 2 * odd.count() and stage(spark, empty, sf).count() == 0
-    assert out.columns == odd.columns or name == "bpe"
+    assert stage(spark, empty, sf).count() == 0 and (out.columns == odd.columns or name == "bpe")
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+    got = Counter((r.doc_id, r.text) for r in out.collect()) if name != "bpe" else None
+    if name == "quality":
+        scores = quality.score(odd, quality.fit(odd, spark.read.parquet(f"{sf}/labels.parquet"))).collect()
+        assert got == Counter((r.doc_id, r.text) for r in scores if r.score >= quality.KEEP)
+    elif name == "exact_dedup":
+        low = lambda t: (t or "").translate({c: c + 32 for c in range(65, 91)})
+        best = {}
+        for i, t in rows:
+            best[low(t)] = max(best.get(low(t), -1), -1 if i is None else i)
+        assert Counter((i, low(t)) for (i, t), n in got.items() for _ in range(n)) == Counter((None if i < 0 else i, t) for t, i in best.items())
+    elif name == "near_dedup":
+        sets = {t: five_words(t) for _, t in rows}
+        want = survivors(rows, lambda x, y: sets[x] == sets[y] or len(sets[x] & sets[y]) * 5 >= 4 * len(sets[x] | sets[y]))
+        stay = [(i, t or "") for (i, t), n in got.items() for _ in range(n)]
+        assert len(stay) == len(want) and all(any(s in w for s in stay) for w in want)
+    elif name == "mix":
+        plan = mixing.mix_plan(odd.drop("size").withColumn("size", mixing.words(F.col("text")))).collect()
+        taken = {s: sum(d["words"] for r in plan if r.source == s for d in r.draws) for s in {r.source for r in plan}}
+        assert all(abs(taken[r.source] - r.target) <= 0.5 for r in plan)
+        count = lambda t: len((t or "").encode().split())
+        whole = Counter((i, t) for i, t in rows)
+        assert sum(n * count(t) for (_, t), n in got.items()) == sum(taken.values())
+        cut = sum(n for (i, t), n in got.items() if (i, t) not in whole)
+        assert cut <= len(taken) and all(n <= 2 * whole[k] for k, n in got.items() if k in whole)
+    else:
+        codec = bpe.Codec(open(bpe.tokenizer_path()).read())
+        coded = Counter((r.doc_id, tuple(r.ids)) for r in out.collect())
+        assert coded == Counter((i, tuple(np.frombuffer(codec.encode(t or ""), dtype="<i4").tolist())) for i, t in rows)
+
+
+def test_sharding_of_repeated_and_null_rows(spark, monkeypatch):
+    """Runs of copies are dealt out in several pieces."""
+    monkeypatch.setattr(sharding, "COPY_RUN", 7)
+    df = spark.createDataFrame([(None, None)] * 50 + [(1, "a")] * 40 + [(1, None)] * 3 + [(2, "b")], "doc_id long, text string")
+    rows = sharding.shard_rows(df, shards=6).collect()
+    assert sorted(r.position for r in rows) == list(range(94)) and Counter((r.doc_id, r.text) for r in rows) == Counter((r.doc_id, r.text) for r in df.collect())
+    assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows))) for s in range(6))
 
 
 def test_registered():
