@@ -178,10 +178,9 @@ def trigram_query(pattern: str) -> list[tuple[frozenset[bytes], ...]]:
             if got is not None and (both := joined([run, got])) is not None:
                 run = both
                 continue
-            if got is None and x[0] == "times" and x[1] and (once := strings(x[3])) is not None:
-                # a part that comes once or more continues what is before it
-                run = {a + b for a, b in product(run, once)} if len(run) * len(once) <= MOST else flush(run) or once
-                flush(run)
+            if got is None and x[0] == "times" and x[1] and len(once := strings(x[3]) or ()) == 1:
+                # one string that comes once or more continues what is before it
+                flush(joined([run, once]))
                 run = {""}
                 continue
             flush(run)
