@@ -36,11 +36,18 @@ def any_in(text: Column, terms) -> Column:
     return reduce(lambda a, b: a | b, (text.contains(t) for t in terms))
 
 
+#: White space as Unicode defines it.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def clean_ocr_text(text: Column) -> Column:
-    """ASCII only, single blanks, no one-character words but digits."""
+    """ASCII only, single blanks, no one-character words but digits.
+
+    Patterns alone, no lambda, so that a projection which uses it several times evaluates it once.
+    """
     ascii_only = F.regexp_replace(text, r"[^\x00-\x7F]", "")
-    words = F.filter(F.split(F.trim(F.regexp_replace(ascii_only, r"[\s\x0b\x1c-\x1f]+", " ")), " "), lambda t: (F.length(t) > 1) | t.rlike("^[0-9]$"))
-    return F.array_join(words, " ")
+    single = F.trim(F.regexp_replace(ascii_only, r"[\s\x0b\x1c-\x1f]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(single, "(^| )[^0-9 ](?= |$)", "$1"), " +", " "))
 
 
 @F.pandas_udf(StringType())
@@ -231,17 +238,20 @@ def keyword_counts(text: Column) -> dict[str, Column]:
 def text_meta_features(text: Column) -> dict[str, Column]:
     """Fifteen features of a text."""
     clean = clean_ocr_text(text)
-    words = F.filter(F.split(clean, " "), lambda w: w != "")
-    lines = F.split(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), "\n")
+    # words are parted by one blank and lines by one newline, so lengths tell how many there are
+    letters = F.length(F.replace(clean, F.lit(" "), F.lit("")))
+    n_words = F.length(clean) - letters + (clean != "").cast("int")
+    stripped = F.btrim(text, F.lit(BLANKS))
+    in_lines = F.length(F.replace(stripped, F.lit("\n"), F.lit("")))
+    n_lines = F.length(stripped) - in_lines + 1
     n = F.length(text)
     share = lambda p: F.regexp_count(text, F.lit(p)) / F.greatest(n, F.lit(1))
-    mean = lambda a: F.when(F.size(a) == 0, 0.0).otherwise(F.aggregate(a, F.lit(0), lambda s, w: s + F.length(w)) / F.size(a))
     return {
         "n_chars": n.cast("long"),
-        "n_words": F.size(words).cast("long"),
-        "n_lines": F.size(lines).cast("long"),
-        "avg_word_len": mean(words),
-        "avg_line_len": mean(lines),
+        "n_words": n_words.cast("long"),
+        "n_lines": n_lines.cast("long"),
+        "avg_word_len": letters / F.greatest(n_words, F.lit(1)),
+        "avg_line_len": in_lines / n_lines,
         "digit_ratio": share(r"\p{Nd}"),
         "upper_ratio": share(r"\p{Lu}"),
         "special_ratio": share(r"[^\p{L}\p{N}\p{M}\s]"),

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..plans.register import Registry
 from ..plans.views import view
+from ..sources.scratch import new_path
 
 register = Registry()
 IOU, CONTAINED = 0.6, 0.85
@@ -301,12 +302,24 @@ def join_split_annotations(spark, sf):
     return rows.join(split, "filename").select("filename", "class", "split")
 
 
-@register("required_minus_present", "select unnest(['width', 'class']) as missing")
-def required_minus_present(spark, sf):
-    """Required columns that an annotation table lacks; here two are dropped on purpose."""
-    have = view(spark, sf, "v_annotations").drop("width", "class").columns
-    need = ("filename", "width", "height", "class", "xmin", "ymin", "xmax", "ymax")
-    return spark.range(1).select(F.explode(F.array_except(F.array(*map(F.lit, need)), F.array(*map(F.lit, have)))).alias("missing"))
+#: The columns of an annotation.
+REQUIRED = ("filename", "width", "height", "class", "xmin", "ymin", "xmax", "ymax")
+
+
+def required_minus_present(rows: DataFrame, required: tuple[str, ...] = REQUIRED) -> DataFrame:
+    """(missing, rows) over JSON lines in column `value`: required keys that records lack, and how many lack them."""
+    lacking = F.array_except(F.array(*map(F.lit, required)), F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>")))
+    return rows.select(F.explode(lacking).alias("missing")).groupBy("missing").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("required_minus_present", "select missing, count(*) as rows from (select unnest(list_filter([case when filename like '%.jpg' then 'width' end, case when filename like '%.png' or filename like '%.jpg' then 'class' end], lambda m: m is not null)) as missing from v_annotations) group by missing")
+def q_required(spark, sf):
+    """Over annotation files in which records of some image kinds lack keys."""
+    rows, jpg, png = view(spark, sf, "v_annotations"), F.col("filename").endswith(".jpg"), F.col("filename").endswith(".png")
+    partial = rows.withColumn("width", F.when(~jpg, F.col("width"))).withColumn("class", F.when(~jpg & ~png, F.col("class")))
+    path = new_path(spark, "annotations")
+    partial.write.json(path)
+    return required_minus_present(spark.read.text(path))
 
 
 @register(

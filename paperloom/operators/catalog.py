@@ -270,7 +270,7 @@ def summary_workspace(spark, sf):
 
 @register("distinct_labels", "select distinct predicted_label as label from v_class union select 'selected'")
 def distinct_labels(spark, sf):
-    one = view(spark, sf, "region").limit(1).select(F.lit("selected").alias("label"))
+    one = spark.createDataFrame([("selected",)], "label string")
     return view(spark, sf, "v_class").select(F.col("predicted_label").alias("label")).union(one).distinct().orderBy("label")
 
 

@@ -46,11 +46,12 @@ def line_values(lines: DataFrame, basic: bool = False) -> DataFrame:
     return rows.select("*", X.find_email(raw, not basic).alias("email"), X.find_phone(raw, not basic).alias("phone"), X.first(raw, X.DATE).alias("date"), X.invoice_number(raw, basic).alias("number"), X.last(raw, X.MONEY).alias("amount"), F.trim(X.first(raw, X.PERCENT)).alias("percent"))
 
 
-def regions_of(values: DataFrame, boxes: DataFrame | None = None) -> DataFrame:
-    """One row per region with its lines in order, text and place (x1, y1), ordered by `ord`."""
+def regions_of(values: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """One row per region with its lines in order, text, label and place (x1, y1), ordered by `ord`."""
     line = F.struct("line_no", "raw", "norm", "email", "phone", "date", "number", "amount", "percent")
     rows = values.groupBy("doc_id", "region").agg(F.array_sort(F.collect_list(line)).alias("l"))
     rows = rows.withColumn("x1", F.lit(0)).withColumn("y1", 20 * F.col("l")[0]["line_no"]).withColumn("text", F.array_join(F.transform("l", lambda x: x["raw"]), "\n")).withColumn("norm", F.array_join(F.transform("l", lambda x: x["norm"]), " "))
+    rows = rows.withColumn("label", F.lit("paragraph")) if labels is None else rows.join(labels.hint("merge"), ["doc_id", "region"], "left").withColumn("label", F.coalesce("label", F.lit("paragraph")))
     return rows.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("y1", "x1", "region")))
 
 
@@ -114,18 +115,18 @@ def any_line(name: str) -> Column:
 
 
 def candidates(regions: DataFrame, offers: list[tuple[int, str, str, Column, Column]]) -> DataFrame:
-    """Long rows (doc_id, field, stage, ord, step, value, method, evidence) of non-blank offers.
+    """Long rows (doc_id, field, stage, ord, step, value, method) of non-blank offers.
 
     An offer is (stage, method, field, condition, value); its step is its place in the list.
     """
     each = [F.struct(F.lit(f).alias("field"), F.lit(s).alias("stage"), F.lit(k).alias("step"), F.when(c, v).alias("value"), F.lit(m).alias("method")) for k, (s, m, f, c, v) in enumerate(offers)]
-    rows = regions.select("doc_id", "ord", F.col("text").alias("evidence"), F.explode(F.filter(F.array(*each), lambda o: F.coalesce(o["value"], F.lit("")) != "")).alias("o"))
-    return rows.select("doc_id", "ord", "evidence", "o.*")
+    rows = regions.select("doc_id", "ord", F.explode(F.filter(F.array(*each), lambda o: F.coalesce(o["value"], F.lit("")) != "")).alias("o"))
+    return rows.select("doc_id", "ord", "o.*")
 
 
 def first_win_merge(found: DataFrame) -> DataFrame:
-    """(doc_id, field, value, method, evidence): the first candidate of each field."""
-    best = F.min_by(F.struct("value", "method", "evidence"), F.struct("stage", "ord", "step"))
+    """(doc_id, field, value, method, stage, ord): the first candidate of each field."""
+    best = F.min_by(F.struct("value", "method", "stage", "ord"), F.struct("stage", "ord", "step"))
     return found.groupBy("doc_id", "field").agg(best.alias("b")).select("doc_id", "field", "b.*")
 
 
@@ -134,7 +135,9 @@ def region_offers(basic: bool = False) -> list:
     client = has(*(CLIENT_BASIC if basic else CLIENT))
     meta = has(*META_BASIC) if basic else has(*META) | F.col("ahead").isNotNull()
     out = [(0, "paragraph_region_products" if basic else "region_products", "Products", has(*PRODUCTS), products_of(basic))]
-    if not basic:
+    if basic:
+        out.insert(0, (0, "table_region", "Products", F.col("label") == "table", products_of(basic)))
+    else:
         out.append((0, "issuer_region", "Issuer_Name", has(*ISSUER), F.col("name")))
     out += [(0, "billing_region", "Client_Name", client, F.col("name")), (0, "billing_region", "Billing_Address", client, F.col("address")), (0, "billing_region", "Client_Email", client, any_line("email")), (0, "billing_region", "Client_Phone", client, any_line("phone"))]
     out.append((0, "shipping_region", "Shipping_Address", has(*SHIPPING), F.col("address")))
@@ -164,26 +167,33 @@ def line_candidates(values: DataFrame, method: str, stage: int) -> DataFrame:
     norm = F.col("norm")
     offers = {"Client_Email": F.col("email"), "Client_Phone": F.col("phone"), "Invoice_Number": F.col("number"), "Invoice_Date": F.when(norm.contains("date") & ~norm.contains("due"), F.col("date")), "Due_Date": F.when(norm.contains("due"), F.col("date"))}
     each = F.array(*(F.struct(F.lit(f).alias("field"), F.lit(stage).alias("stage"), F.lit(0).alias("step"), v.alias("value"), F.lit(method).alias("method")) for f, v in offers.items()))
-    return values.select("doc_id", F.col("line_no").alias("ord"), F.col("raw").alias("evidence"), F.explode(F.filter(each, lambda o: o["value"].isNotNull())).alias("o")).select("doc_id", "ord", "evidence", "o.*")
+    return values.select("doc_id", F.col("line_no").alias("ord"), F.explode(F.filter(each, lambda o: o["value"].isNotNull())).alias("o")).select("doc_id", "ord", "o.*")
 
 
-def extract_regions(lines: DataFrame, basic: bool = False) -> DataFrame:
-    """All fields found in each document.
+def extract_regions(lines: DataFrame, basic: bool = False, labels: DataFrame | None = None, evidence: bool = False) -> DataFrame:
+    """(doc_id, field, value, method): all fields found in each document; with evidence, also the text they come from.
 
-    Line values and regions feed several branches, so each is computed once and written.
+    labels: (doc_id, region, label) of the detector, which the basic rules read. Line values and regions
+    feed several branches, so each is computed once and written. Candidates carry the place of their
+    evidence; winners alone get its text.
     """
     values = cached(line_values(lines, basic), "lines")
-    regions = regions_of(values).withColumns({"name": name_of(basic), "address": address_of(basic), "ahead": number_ahead()})
+    regions = regions_of(values, labels).withColumns({"name": name_of(basic), "address": address_of(basic), "ahead": number_ahead()})
     regions = cached(regions, "regions")
     found = [candidates(regions, region_offers(basic)), line_candidates(values, "global_region_scan" if basic else "global_scan", 3)]
     if not basic:
         block = contact_block(regions)
         offers = [(2, "contact_block_fallback", f, F.lit(True), v) for f, v in (("Client_Name", F.col("name")), ("Billing_Address", F.col("address")), ("Client_Email", any_line("email")), ("Client_Phone", any_line("phone")))]
-        others = regions.join(block.select("doc_id", "ord"), ["doc_id", "ord"], "left_anti")
+        others = regions.join(block.select("doc_id", "ord").hint("merge"), ["doc_id", "ord"], "left_anti")
         top = others.filter((F.col("x1") <= 2000) & (F.col("y1") <= 1600) & ~X.any_in(F.col("norm"), NOT_ISSUER))
         name = F.col("name")
         found += [candidates(block, offers), candidates(top, [(4, "top_region_fallback", "Issuer_Name", F.length(name) >= 2, name)])]
-    return first_win_merge(reduce(DataFrame.unionByName, found))
+    best = first_win_merge(reduce(DataFrame.unionByName, found))
+    if not evidence:
+        return best.select("doc_id", "field", "value", "method")
+    shown = regions.select("doc_id", F.lit(False).alias("of_line"), "ord", F.col("text").alias("evidence")).unionByName(values.select("doc_id", F.lit(True).alias("of_line"), F.col("line_no").alias("ord"), F.col("raw").alias("evidence")))
+    best = best.withColumn("of_line", F.col("stage") == 3)
+    return best.join(shown.hint("merge"), ["doc_id", "of_line", "ord"]).select("doc_id", "field", "value", "method", "evidence")
 
 
 def wide(found: DataFrame) -> DataFrame:
@@ -216,54 +226,70 @@ def job_extract_invoices(spark, sf):
 @register("first_win_merge", "select o_orderkey as doc_id, 'Total' as field, cast(cast(o_totalprice as decimal(14,2)) as varchar) as value from orders")
 def q_first_win(spark, sf):
     """Of a document's amounts tagged by line, the total's stage comes first; blanks never win."""
-    lines = view(spark, sf, "v_invoice_lines").filter("line_no > 5")
-    rows = lines.select("doc_id", F.lit("Total").alias("field"), F.when(F.col("line_no") == 100, 0).otherwise(1).alias("stage"), F.col("line_no").alias("ord"), F.lit(0).alias("step"), F.explode(F.array(F.lit(""), X.last(F.col("text"), X.MONEY))).alias("value"), F.lit("m").alias("method"), F.col("text").alias("evidence"))
+    lines = view(spark, sf, "v_invoice_lines")
+    rows = lines.select("doc_id", F.lit("Total").alias("field"), F.when(F.col("line_no") == 100, 0).otherwise(1).alias("stage"), F.col("line_no").alias("ord"), F.lit(0).alias("step"), F.explode(F.array(F.lit(""), X.last(F.col("text"), X.MONEY))).alias("value"), F.lit("m").alias("method"))
     return first_win_merge(rows.filter("value <> ''")).select("doc_id", "field", "value")
 
 
-@register("extract_region_pipeline_basic")
+_HALF = "case when doc_id % 2 = 0 then 'table' else 'paragraph' end"
+
+
+@register(
+    "extract_region_pipeline_basic",
+    f"""select doc_id, field, value, method from ({_FIXED}) where field not in ('Issuer_Name')
+ union all select doc_id, field, value, 'global_region_scan' from ({_PHONE})
+ union all select doc_id, 'Products', string_agg(text, ' | ' order by line_no), any_value(case when doc_id % 2 = 0 then 'table_region' else 'paragraph_region_products' end) from v_invoice_lines where line_no between 6 and 99 group by doc_id""",
+)
 def extract_region_pipeline_basic(spark, sf):
-    return extract_regions(view(spark, sf, "v_invoice_lines"), basic=True).select("doc_id", "field", "value", "method")
+    """The detector calls the product region of every other document a table."""
+    lines = view(spark, sf, "v_invoice_lines")
+    labels = lines.filter("region = 3").select("doc_id", "region", F.expr(_HALF).alias("label")).distinct()
+    return extract_regions(lines, basic=True, labels=labels).select("doc_id", "field", "value", "method")
 
 
 def _regions(spark, sf):
     return regions_of(line_values(view(spark, sf, "v_invoice_lines")))
 
 
-@register("extract_name", f"select o_orderkey as doc_id, concat('Acme ', {_L('o_custkey')}) as name from orders")
+_REGIONS = """select doc_id, region, string_agg(text, ', ' order by line_no) as whole, string_agg(text, ', ' order by line_no) filter (line_no >= 6 and length(split_part(text, ' ', 3)) < 9) as items, min_by(text, line_no) filter (line_no >= 6 and length(split_part(text, ' ', 3)) < 9) as item,
+ string_agg(regexp_replace(text, ' [0-9.]+$', ''), ' | ' order by line_no) filter (line_no >= 6) as names, max_by(text, line_no) as final, max(text) filter (line_no = 2) as dated, max(text) filter (line_no = 1) as numbered from v_invoice_lines group by doc_id, region"""
+
+
+@register("extract_name", f"select doc_id, region, case region when 0 then whole when 2 then final when 3 then item end as name from ({_REGIONS})")
 def extract_name(spark, sf):
-    return _regions(spark, sf).filter("region = 2").select("doc_id", name_of().alias("name"))
+    return _regions(spark, sf).select("doc_id", "region", name_of().alias("name"))
 
 
-@register("extract_address", f"select o_orderkey as doc_id, concat('Acme ', {_L('o_custkey')}) as address from orders")
+@register("extract_address", f"select doc_id, region, case region when 0 then whole when 1 then whole when 2 then final when 3 then coalesce(items, 'Description') when 4 then (case when length(whole) < 16 then whole end) end as address from ({_REGIONS})")
 def extract_address(spark, sf):
-    return _regions(spark, sf).filter("region = 2").select("doc_id", address_of().alias("address"))
+    """An amount of eight digits and more passes for a phone, so its line goes."""
+    return _regions(spark, sf).select("doc_id", "region", address_of().alias("address"))
 
 
-@register("extract_products", f"select o.o_orderkey as doc_id, p.value as products from orders o left join ({_PRODUCTS}) p on p.doc_id = o.o_orderkey")
+@register("extract_products", f"select doc_id, region, case region when 0 then whole when 1 then replace(whole, ', ', ' | ') when 2 then replace(whole, ', ', ' | ') when 3 then names end as products from ({_REGIONS})")
 def extract_products(spark, sf):
-    return _regions(spark, sf).filter("region = 3").select("doc_id", products_of().alias("products"))
+    return _regions(spark, sf).select("doc_id", "region", products_of().alias("products"))
 
 
-@register("extract_totals", "select o_orderkey as doc_id, cast(cast(o_totalprice as decimal(14,2)) as varchar) as total, cast(null as varchar) as vat from orders")
+@register("extract_totals", f"select doc_id, region, case region when 4 then substr(whole, 8) end as total, cast(null as varchar) as vat, cast(null as varchar) as subtotal, cast(null as varchar) as discount from ({_REGIONS})")
 def extract_totals(spark, sf):
     t = totals()
-    return _regions(spark, sf).filter("region = 4").select("doc_id", t["Total"].alias("total"), t["VAT"].alias("vat"))
+    return _regions(spark, sf).select("doc_id", "region", t["Total"].alias("total"), t["VAT"].alias("vat"), t["Subtotal"].alias("subtotal"), t["Discount"].alias("discount"))
 
 
-@register("date_near_anchor", f"select o_orderkey as doc_id, {_D} as date_text from orders")
+@register("date_near_anchor", f"select doc_id, region, substr(dated, 7) as date_text from ({_REGIONS})")
 def date_near_anchor(spark, sf):
-    return _regions(spark, sf).filter("region = 1").select("doc_id", date_near("date").alias("date_text"))
+    return _regions(spark, sf).select("doc_id", "region", date_near("date").alias("date_text"))
 
 
-@register("value_lookahead4", "select o_orderkey as doc_id, concat('inv-', cast(100000 + o_orderkey as varchar)) as number from orders")
+@register("value_lookahead4", f"select doc_id, region, lower(substr(numbered, 13)) as number from ({_REGIONS})")
 def value_lookahead4(spark, sf):
-    return _regions(spark, sf).filter("region = 1").select("doc_id", number_ahead().alias("number"))
+    return _regions(spark, sf).select("doc_id", "region", number_ahead().alias("number"))
 
 
-@register("best_contact_block")
+@register("best_contact_block", "select doc_id, case when b > a then 2 else 1 end as region, 3 + greatest(a, b) as score from (select doc_id, count(*) filter (region = 1 and regexp_matches(text, '@|[+]|www')) as a, count(*) filter (region = 2 and regexp_matches(text, ' St| Road')) as b from v_contact_lines group by doc_id)")
 def best_contact_block(spark, sf):
-    return contact_block(_regions(spark, sf)).select("doc_id", "region", "score")
+    return contact_block(regions_of(line_values(view(spark, sf, "v_contact_lines")))).select("doc_id", "region", F.col("score").cast("long").alias("score"))
 
 
 # Anchor rules: fields by words on a line, then the same line, a token to the right, or a line below.
@@ -275,8 +301,11 @@ RULES = {
     "echeance": (("due date", "echeance", "date d echeance", "date limite"), "date"),
     "nom_emetteur": (("from", "from:", "issued by", "emis par", "emetteur", "vendeur", "fournisseur", "supplier", "seller", "societe"), "text"),
     "nom_client": (("bill to", "billed to", "client", "customer", "nom client", "sold to"), "text"),
+    "email_client": (("email", "e-mail", "mail"), "email"),
+    "tel_client": (("tel", "telephone", "phone", "mobile"), "phone"),
     "adresse_facturation": (("billing address", "adresse facturation", "adresse de facturation", "bill to", "address"), "text"),
     "adresse_livraison": (("shipping address", "adresse livraison", "adresse de livraison", "ship to", "delivery address"), "text"),
+    "produits": (("description", "item", "items", "produits", "designation"), "text"),
     "total_hors_tva": (("subtotal", "total ht", "total h t", "total hors tva", "hors taxes", "net amount"), "money"),
     "tva": (("montant tva", "total tva", "vat amount", "tax amount", "tva"), "vat"),
     "total_ttc": (("total ttc", "montant ttc", "ttc", "total due", "amount due", "balance due", "grand total"), "ttc"),
@@ -284,127 +313,195 @@ RULES = {
     "pourcentage_tva": (("vat rate", "tax rate", "pourcentage tva", "taux tva"), "percent"),
     "pourcentage_remise": (("discount rate", "pourcentage remise", "taux remise"), "percent"),
 }
-PRODUCT_WORDS = ("description", "item", "items", "produits", "designation")
 NOT_TOP = ("invoice", "facture", "bill to", "billed to", "ship to", "shipping", "customer", "subtotal", "total", "tva", "vat", "discount", "tax", "amount due", "balance due")
+PRODUCTS_END = ("total", "sous-total", "subtotal", "montant total")
+TTC_WORDS = ("ttc", "amount due", "balance due")
+VAT_WORDS = ("montant tva", "total tva", "vat amount", "tax amount")
+PHONE_WORDS = ("tel", "telephone", "phone", "mobile", "gsm")
+KINDS = ("id", "date", "percent", "money", "ttc", "vat", "email", "phone", "text")
 
 
-def pick_value(kind: str, text: Column) -> Column:
-    """The value of a kind in a text."""
-    norm, money = X.normalize_text(text), X.every(text, X.MONEY)
+def pick_value(kind: str, text: Column, norm: Column | None = None) -> Column:
+    """The value of a kind in a text; norm is its normal form, where it is at hand."""
+    norm, money = X.normalize_text(text) if norm is None else norm, X.every(text, X.MONEY)
     last = F.try_element_at(money, F.lit(-1))
     return {
         "id": F.try_element_at(X.invoice_id_candidates(text), F.lit(-1)),
         "date": X.last(text, X.DATE),
         "percent": X.last(text, X.PERCENT),
         "money": last,
-        "ttc": F.when(X.any_in(norm, ("ttc", "amount due", "balance due")), last),
-        "vat": F.when(X.any_in(norm, ("montant tva", "total tva", "vat amount", "tax amount")), last).when(X.looks_like_table_header(norm) | (F.size(money) < 2), None).otherwise(last),
+        "ttc": F.when(X.any_in(norm, TTC_WORDS), last),
+        "vat": F.when(X.any_in(norm, VAT_WORDS), last).when(X.looks_like_table_header(norm) | (F.size(money) < 2), None).otherwise(last),
+        "email": X.first(text, X.EMAIL),
+        "phone": X.find_phone_noise(text),
         "text": X.regex_or_strip(text, None),
     }[kind]
 
 
-def valued(text: Column) -> Column:
-    """The value in a text of the kind that column `kind` names."""
-    return reduce(lambda rest, k: F.when(F.col("kind") == k, pick_value(k, text)).otherwise(rest), ("id", "date", "percent", "money", "ttc", "vat", "text"), F.lit(None))
+def valued(text: Column, norm: Column | None = None) -> Column:
+    """The value in a text of the kind that column `kind` names; blank ones are none."""
+    return F.nullif(reduce(lambda rest, k: F.when(F.col("kind") == k, pick_value(k, text, norm)).otherwise(rest), KINDS, F.lit(None)), F.lit(""))
 
 
-def extract_anchors(lines: DataFrame, height: float = 12.0, pitch: float = 20.0) -> DataFrame:
-    """(doc_id, field, value, method) by anchor rules, unrolled to one projection; no join of rules.
+def with_confidence(lines: DataFrame) -> DataFrame:
+    """Lines that come without a confidence have 0."""
+    return lines if "confidence" in lines.columns else lines.withColumn("confidence", F.lit(0.0))
+
 
-    A line is kept once for each field whose anchor it holds; values are looked for in these rows
-    alone: on the line, in a word right of the anchor, in the two lines below.
+def anchored_lines(lines: DataFrame) -> DataFrame:
+    """A line once for each field of which it holds an anchor, with the rule; few rules, so they unroll to one projection."""
+    rows = lines.withColumn("norm", X.normalize_text(F.col("text")))
+    flags = [F.when(reduce(lambda a, b: a | b, (X.contains_anchor(F.col("norm"), a) for a in anchors)), F.struct(F.lit(field).alias("field"), F.lit(kind).alias("kind"), F.array(*map(F.lit, anchors)).alias("anchors"))) for field, (anchors, kind) in RULES.items()]
+    return rows.select(*lines.columns, F.explode(F.array_compact(F.array(*flags))).alias("r")).select(*lines.columns, "r.*")
+
+
+#: Columns of a candidate; of each field the one with the least (stage, line_no, tier, place) wins.
+CANDIDATE = ["doc_id", "field", "value", "method", "confidence", "evidence", "stage", "line_no", "tier", "place"]
+
+
+def anchor_candidates(lines: DataFrame, height: float = 12.0, pitch: float = 20.0) -> DataFrame:
+    """Values of anchored lines: on the line, in a word right of the anchor, in the two lines below.
+
+    The texts to look in become rows of their own, so one expression reads them all.
     """
     w = Window.partitionBy("doc_id").orderBy("line_no")
-    rows = lines.select("doc_id", "line_no", "text", *(F.when((F.lead("line_no", k).over(w) - F.col("line_no")) * pitch <= height * (1.5 + k), F.lead("text", k).over(w)).alias(f"n{k}") for k in (1, 2)))
-    norm = X.normalize_text(F.col("text"))
-    rows = rows.withColumn("norm", norm)
-    flags = [F.when(reduce(lambda a, b: a | b, (X.contains_anchor(F.col("norm"), a) for a in anchors)), F.struct(F.lit(field).alias("field"), F.lit(kind).alias("kind"), F.array(*map(F.lit, anchors)).alias("anchors"))) for field, (anchors, kind) in RULES.items()]
-    rows = rows.select("doc_id", "line_no", "text", "n1", "n2", F.explode(F.array_compact(F.array(*flags))).alias("r")).select("doc_id", "line_no", "text", "n1", "n2", "r.*")
+    below = [F.when((F.lead("line_no", k).over(w) - F.col("line_no")) * pitch <= height * (1.5 + k), F.struct(F.lead("text", k).over(w).alias("text"), F.lead("confidence", k).over(w).alias("confidence"))).alias(f"n{k}") for k in (1, 2)]
+    rows = anchored_lines(lines.select("doc_id", "line_no", "text", "confidence", *below))
     parts = F.split("text", "[:\\-]", 2)
     held = F.exists("anchors", lambda a: X.normalize_text(parts[0]).contains(a))
-    rows = rows.withColumn("own", F.when((F.size(parts) == 2) & held, F.trim(F.try_element_at(parts, F.lit(2)))).otherwise(F.col("text")))
-    plain = lambda k: F.when(F.col("kind") == "text", F.nullif(F.trim(f"n{k}"), F.lit("")))
-    rows = rows.withColumn("same", valued(F.col("own"))).withColumn("right", right_token(F.split(F.trim("text"), " +"))).withColumn("below", F.coalesce(valued(F.col("n1")), plain(1), valued(F.col("n2")), plain(2)))
-    tagged = [F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("value"), F.lit(m).alias("method"))) for c, m in (("same", "anchor_same_line"), ("right", "anchor_right_token"), ("below", "anchor_nearby_line"))]
-    hits = rows.withColumn("v", F.coalesce(*tagged)).filter("v is not null")
-    picked = hits.groupBy("doc_id", "field").agg(F.min_by("v", "line_no").alias("v")).select("doc_id", "field", "v.value", "v.method")
-    rest = [product_rows(lines), best_phone(lines), largest_amount(lines).join(picked.filter("field = 'total_ttc'").select("doc_id"), "doc_id", "left_anti"), top_issuer(lines).join(picked.filter("field = 'nom_emetteur'").select("doc_id"), "doc_id", "left_anti")]
-    return reduce(DataFrame.unionByName, [picked, *rest])
+    own = F.when((F.size(parts) == 2) & held, F.trim(F.try_element_at(parts, F.lit(2)))).otherwise(F.col("text"))
+    look = lambda tier, place, text, shown, confidence: F.struct(F.lit(tier).alias("tier"), place.alias("place"), text.alias("look"), shown.alias("evidence"), confidence.alias("confidence"))
+    right = F.transform(right_words(F.split(F.trim("text"), " +")), lambda t, i: look(2, i, t, F.col("text"), F.col("confidence")))
+    near = [look(3, F.lit(k), F.col(f"n{k}.text"), F.col(f"n{k}.text"), F.col(f"n{k}.confidence")) for k in (1, 2)]
+    places = F.concat(F.array(look(1, F.lit(0), own, F.col("text"), F.col("confidence"))), right, F.array(*near))
+    rows = rows.select("doc_id", "line_no", "field", "kind", F.explode(places).alias("p")).select("doc_id", "line_no", "field", "kind", "p.*").filter("look is not null")
+    rows = rows.withColumn("norm", X.normalize_text(F.col("look")))
+    plain = F.when((F.col("tier") == 3) & (F.col("kind") == "text"), F.nullif(F.trim("look"), F.lit("")))
+    method = F.element_at(F.array(*map(F.lit, ("anchor_same_line", "anchor_right_token", "anchor_nearby_line"))), F.col("tier"))
+    return rows.select("doc_id", "field", F.coalesce(valued(F.col("look"), F.col("norm")), plain).alias("value"), method.alias("method"), "confidence", "evidence", F.lit(1).alias("stage"), "line_no", "tier", "place")
 
 
-def right_token(words: Column) -> Column:
-    """First value among the words right of the last word that is part of an anchor."""
+def extract_anchors(lines: DataFrame, height: float = 12.0, pitch: float = 20.0) -> DataFrame:
+    """(doc_id, field, value, method, confidence, evidence) by anchor rules.
+
+    E-mail and phone are looked for on all lines first, then come the anchors, then the largest amount and
+    the top of the page. Candidates carry their stage and place, and one aggregate keeps each field's first.
+    lines: doc_id, line_no, text, and confidence where it is known.
+    """
+    lines = with_confidence(lines).select("doc_id", "line_no", "text", "confidence")
+    found = [best_email(lines), best_phone(lines), anchor_candidates(lines, height, pitch), product_rows(lines), largest_amount(lines), top_issuer(lines, pitch, height)]
+    every = reduce(DataFrame.unionByName, [f.select(*CANDIDATE) for f in found]).filter("value is not null")
+    best = F.min_by(F.struct("value", "method", "confidence", "evidence"), F.struct("stage", "line_no", "tier", "place"))
+    return every.groupBy("doc_id", "field").agg(best.alias("b")).select("doc_id", "field", "b.*")
+
+
+def right_words(words: Column) -> Column:
+    """The words right of the last word that is part of an anchor."""
     plain = F.transform(words, lambda t: X.normalize_text(t))
     inside = F.transform(plain, lambda t, i: F.when((t != "") & F.exists("anchors", lambda a: a.contains(t)), i))
     last = F.coalesce(F.array_max(inside), F.lit(0))
-    after = F.slice(words, last + 2, F.greatest(F.size(words) - last - 1, F.lit(0)))
-    return X.head(F.filter(F.transform(after, valued), lambda v: v.isNotNull()))
+    return F.slice(words, last + 2, F.greatest(F.size(words) - last - 1, F.lit(0)))
+
+
+def right_token(words: Column) -> Column:
+    """First value among the words right of the anchor."""
+    return X.head(F.filter(F.transform(right_words(words), valued), lambda v: v.isNotNull()))
+
+
+def tagged(rows: DataFrame, field: str, method: str, stage: int) -> DataFrame:
+    """Candidates of one field from rows of (doc_id, line_no, value, confidence, evidence)."""
+    return rows.select("doc_id", F.lit(field).alias("field"), "value", F.lit(method).alias("method"), "confidence", "evidence", F.lit(stage).alias("stage"), "line_no", F.lit(0).alias("tier"), F.lit(0).alias("place"))
 
 
 def product_rows(lines: DataFrame, most: int = 30) -> DataFrame:
-    """Rows after a product header up to the first total line, at most 30 lines, noise skipped."""
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    norm = X.normalize_text(F.col("text"))
-    rows = lines.select("doc_id", "line_no", "text", norm.alias("norm"), F.row_number().over(w).alias("k"))
-    head = reduce(lambda a, b: a | b, (X.contains_anchor(F.col("norm"), a) for a in PRODUCT_WORDS))
-    rows = rows.withColumn("start", F.min(F.when(head, F.col("k"))).over(Window.partitionBy("doc_id"))).filter((F.col("k") > F.col("start")) & (F.col("k") <= F.col("start") + most))
-    stop = X.any_in(F.col("norm"), ("total", "sous-total", "subtotal", "montant total")).cast("int")
-    rows = rows.withColumn("ended", F.max(stop).over(w)).filter("ended = 0")
+    """Rows after the first product header up to the first total line, at most 30 lines, noise skipped."""
+    lines = with_confidence(lines)
+    w, doc = Window.partitionBy("doc_id").orderBy("line_no"), Window.partitionBy("doc_id")
+    rows = lines.select("doc_id", "line_no", "text", "confidence", X.normalize_text(F.col("text")).alias("norm"), F.row_number().over(w).alias("k"))
+    head = reduce(lambda a, b: a | b, (X.contains_anchor(F.col("norm"), a) for a in RULES["produits"][0]))
+    start = F.min(F.when(head, F.struct("k", "line_no"))).over(doc)
+    rows = rows.withColumn("s", start).withColumn("sure", F.max(F.when(F.col("k") == F.col("s.k") + 1, F.col("confidence"))).over(doc))
+    rows = rows.filter((F.col("k") > F.col("s.k")) & (F.col("k") <= F.col("s.k") + most))
+    rows = rows.withColumn("ended", F.max(X.any_in(F.col("norm"), PRODUCTS_END).cast("int")).over(w)).filter("ended = 0")
     keep = ~X.looks_like_table_header(F.col("norm")) & ~X.any_in(F.col("norm"), X.PRODUCT_NOISE) & (F.regexp_count("text", F.lit("[A-Za-z]")) >= 5)
-    made = rows.filter(keep).select("doc_id", "line_no", X.strip_product_noise(F.col("text")).alias("v")).filter("v is not null")
-    return made.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "v"))), lambda r: r["v"]), " | ").alias("value")).select("doc_id", F.lit("produits").alias("field"), "value", F.lit("anchor_product_rows").alias("method"))
+    made = rows.filter(keep).select("doc_id", "k", F.col("s.line_no").alias("at"), "sure", X.strip_product_noise(F.col("text")).alias("v")).filter("v is not null")
+    whole = made.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda r: r["v"]).alias("v"), F.first("at").alias("line_no"), F.first("sure").alias("confidence"))
+    return tagged(whole.select("doc_id", "line_no", F.array_join("v", " | ").alias("value"), "confidence", F.col("v")[0].alias("evidence")), "produits", "anchor_product_rows", 1)
+
+
+def best_email(lines: DataFrame) -> DataFrame:
+    """The address on the line of the highest confidence, first on ties."""
+    rows = with_confidence(lines).withColumn("v", X.first(F.col("text"), X.EMAIL)).filter("v is not null")
+    best = rows.groupBy("doc_id").agg(F.max_by(F.struct("line_no", F.col("v").alias("value"), "confidence", F.col("text").alias("evidence")), F.struct("confidence", -F.col("line_no"))).alias("b"))
+    return tagged(best.select("doc_id", "b.*"), "email_client", "global_regex", 0)
 
 
 def best_phone(lines: DataFrame) -> DataFrame:
-    """The phone with most digits on a line that names one; first on ties."""
+    """The phone with most digits, then confidence, on a line that names one; first on ties."""
     norm = X.normalize_text(F.col("text"))
-    rows = lines.filter(~X.any_in(norm, (*X.SUMMARY_NOISE, *X.PAYMENT_NOISE)) & X.any_in(norm, ("tel", "telephone", "phone", "mobile", "gsm")))
-    each = rows.select("doc_id", "line_no", F.posexplode(X.every(F.col("text"), X.PHONE)).alias("at", "p")).withColumn("d", X.digits(F.col("p"))).filter("d >= 7")
-    return each.groupBy("doc_id").agg(F.max_by("p", F.struct("d", -F.col("line_no"), -F.col("at"))).alias("value")).select("doc_id", F.lit("tel_client").alias("field"), "value", F.lit("global_regex").alias("method"))
+    rows = with_confidence(lines).filter(~X.any_in(norm, (*X.SUMMARY_NOISE, *X.PAYMENT_NOISE)) & X.any_in(norm, PHONE_WORDS))
+    each = rows.select("doc_id", "line_no", "text", "confidence", F.posexplode(X.every(F.col("text"), X.PHONE)).alias("at", "p")).withColumn("d", X.digits(F.col("p"))).filter("d >= 7")
+    best = F.max_by(F.struct("line_no", F.col("p").alias("value"), "confidence", F.col("text").alias("evidence")), F.struct("d", "confidence", -F.col("line_no"), -F.col("at")))
+    return tagged(each.groupBy("doc_id").agg(best.alias("b")).select("doc_id", "b.*"), "tel_client", "global_regex", 0)
 
 
 def largest_amount(lines: DataFrame) -> DataFrame:
-    each = lines.select("doc_id", "line_no", F.posexplode(X.every(F.col("text"), X.MONEY)).alias("at", "a")).withColumn("v", X.parse_amount_float(F.col("a"))).filter("v is not null")
-    return each.groupBy("doc_id").agg(F.max_by("a", F.struct("v", -F.col("line_no"), -F.col("at"))).alias("value")).select("doc_id", F.lit("total_ttc").alias("field"), "value", F.lit("largest_amount_fallback").alias("method"))
+    each = with_confidence(lines).select("doc_id", "line_no", "text", "confidence", F.posexplode(X.every(F.col("text"), X.MONEY)).alias("at", "a")).withColumn("v", X.parse_amount_float(F.col("a"))).filter("v is not null")
+    best = F.max_by(F.struct("line_no", F.col("a").alias("value"), "confidence", F.col("text").alias("evidence")), F.struct("v", -F.col("line_no"), -F.col("at")))
+    return tagged(each.groupBy("doc_id").agg(best.alias("b")).select("doc_id", "b.*"), "total_ttc", "largest_amount_fallback", 2)
 
 
 def top_issuer(lines: DataFrame, pitch: float = 20.0, height: float = 12.0) -> DataFrame:
     """First acceptable line in the top 35 % of the page."""
     w = Window.partitionBy("doc_id")
-    rows = lines.withColumn("y", F.col("line_no") * pitch + height / 2).withColumn("cut", F.min(F.col("line_no") * pitch).over(w) + (F.max(F.col("line_no") * pitch + height).over(w) - F.min(F.col("line_no") * pitch).over(w)) * 0.35)
+    top, bottom = F.min(F.col("line_no") * pitch).over(w), F.max(F.col("line_no") * pitch + height).over(w)
+    rows = with_confidence(lines).withColumn("y", F.col("line_no") * pitch + height / 2).withColumn("cut", top + (bottom - top) * 0.35).filter(F.col("y") <= F.col("cut"))
     t = F.trim("text")
     ok = (F.regexp_count(t, F.lit("[A-Za-z]")) >= 3) & ~X.any_in(X.normalize_text(t), NOT_TOP) & X.first(t, X.EMAIL).isNull() & X.find_phone_noise(t).isNull() & (F.size(X.invoice_id_candidates(t)) == 0) & X.first(t, X.DATE).isNull()
-    return rows.filter(F.col("y") <= F.col("cut")).filter(ok).groupBy("doc_id").agg(F.min_by(t, "line_no").alias("value")).select("doc_id", F.lit("nom_emetteur").alias("field"), "value", F.lit("top_of_page_fallback").alias("method"))
+    best = F.min_by(F.struct("line_no", t.alias("value"), "confidence", t.alias("evidence")), "line_no")
+    return tagged(rows.filter(ok).groupBy("doc_id").agg(best.alias("b")).select("doc_id", "b.*"), "nom_emetteur", "top_of_page_fallback", 2)
 
 
 _AMOUNTS = f"select doc_id, arg_max(shown, struct_pack(v := v, k := -n)) as value from (select doc_id, 5 + n as n, case when length(name) <= 8 then concat(substr(name, 6), ' ', price) else price end as shown, cast(price as double) as v from ({_LINES}) union all select o_orderkey, 100, cast(cast(o_totalprice as decimal(14,2)) as varchar), cast(cast(o_totalprice as decimal(14,2)) as double) from orders union all select o_orderkey, 1, cast(100000 + o_orderkey as varchar), 100000 + o_orderkey from orders) group by doc_id"
 
 
-@register("extract_anchor_pipeline")
+_MONEY = "case when line_no = 1 then substr(text, 17) when line_no = 2 then right(text, 4) when line_no = 100 then substr(text, 8) when line_no between 6 and 99 then (case when length(split_part(text, ' ', 2)) <= 3 then substr(text, 6) else split_part(text, ' ', 3) end) end"
+_SURE = "0.5 + (line_no % 5) / 10.0::double"
+_ITEMS = "select doc_id, string_agg(t, ' | ' order by line_no) as value, min_by(t, line_no) as evidence from (select doc_id, line_no, regexp_replace(text, ' [0-9.]+$', '') as t from v_invoice_lines where line_no between 6 and 35) group by doc_id"
+
+
+@register(
+    "extract_anchor_pipeline",
+    f"""select doc_id, 'nom_emetteur' as field, substr(text, 7) as value, 'anchor_same_line' as method, {_SURE} as confidence, text as evidence from v_invoice_lines where line_no = 0
+ union all select doc_id, 'nom_emetteur', text, 'top_of_page_fallback', {_SURE}, text from v_invoice_lines where line_no = 4 and doc_id not in (select l_orderkey from lineitem)
+ union all select doc_id, f, text, 'anchor_same_line', {_SURE}, text from v_invoice_lines cross join (values ('nom_client'), ('adresse_facturation')) t(f) where line_no = 3
+ union all select doc_id, 'produits', value, 'anchor_product_rows', 0.5 + (6 % 5) / 10.0::double, evidence from ({_ITEMS})
+ union all select doc_id, 'produits', text, 'anchor_same_line', {_SURE}, text from v_invoice_lines where line_no = 5 and doc_id not in (select l_orderkey from lineitem)
+ union all select doc_id, 'total_ttc', b.m, 'largest_amount_fallback', b.s, b.t from (select doc_id, arg_max(struct_pack(m := m, s := {_SURE}, t := text), struct_pack(v := v, k := -line_no)) as b from (select *, cast(split_part(m, ' ', -1) as double) as v from (select *, {_MONEY} as m from v_invoice_lines) where m is not null) group by doc_id)""",
+)
 def extract_anchor_pipeline(spark, sf):
-    return extract_anchors(view(spark, sf, "v_invoice_lines"))
+    """Lines come with a confidence of their own."""
+    return extract_anchors(view(spark, sf, "v_invoice_lines").withColumn("confidence", F.expr("0.5D + (line_no % 5) / 10D")))
 
 
-@register("join_anchor_rules", "select doc_id, line_no, field from (select doc_id, line_no, unnest(list_filter([case when line_no = 1 then 'numero_facture' end, case when line_no = 2 then 'date_facturation' end, case when line_no = 0 then 'nom_emetteur' end, case when line_no = 3 then 'nom_client' end, case when line_no = 3 then 'adresse_facturation' end], lambda f: f is not null)) as field from v_invoice_lines where line_no <= 3)")
+@register("join_anchor_rules", "select doc_id, line_no, unnest(case line_no when 0 then ['nom_emetteur'] when 3 then ['nom_client', 'adresse_facturation'] when 5 then ['produits'] else [] end) as field from v_invoice_lines")
 def join_anchor_rules(spark, sf):
-    """Lines that hold an anchor of a field; few rules, so they unroll to one projection."""
-    # a line's closing colon is no part of the anchor phrase
-    norm = F.regexp_replace(X.normalize_text(F.col("text")), ":", "")
-    flags = [F.when(reduce(lambda a, b: a | b, (X.contains_anchor(norm, a) for a in anchors)), F.lit(field)) for field, (anchors, _) in RULES.items()]
-    rows = view(spark, sf, "v_invoice_lines").filter("line_no <= 3")
-    return rows.select("doc_id", "line_no", F.explode(F.array_compact(F.array(*flags))).alias("field"))
+    """Lines that hold an anchor of a field as whole words: "Date:" is not "date", but "from:" is an anchor of its own."""
+    return anchored_lines(view(spark, sf, "v_invoice_lines").select("doc_id", "line_no", "text")).select("doc_id", "line_no", "field")
+
 
 
-@register("pick_field_value", "select o_orderkey as doc_id, cast(cast(o_totalprice as decimal(14,2)) as varchar) as money, cast(null as varchar) as ttc from orders")
+@register("pick_field_value", f"select doc_id, line_no, {_MONEY} as money, cast(null as varchar) as ttc from v_invoice_lines")
 def pick_field_value(spark, sf):
-    return view(spark, sf, "v_invoice_lines").filter("line_no = 100").select("doc_id", pick_value("money", F.col("text")).alias("money"), pick_value("ttc", F.col("text")).alias("ttc"))
+    return view(spark, sf, "v_invoice_lines").select("doc_id", "line_no", pick_value("money", F.col("text")).alias("money"), pick_value("ttc", F.col("text")).alias("ttc"))
 
 
-@register("right_token_value", "select o_orderkey as doc_id, concat('INV-', cast(100000 + o_orderkey as varchar)) as value from orders")
+@register("right_token_value", "select doc_id, line_no, case when line_no = 1 then substr(text, 13) when line_no = 2 then substr(text, 7) when line_no = 100 then substr(text, 8) when line_no between 6 and 99 then split_part(text, ' ', 3) end as value from v_invoice_lines")
 def right_token_value(spark, sf):
+    """What an invoice number's rule finds right of its anchor, on every line."""
     anchors, kind = RULES["numero_facture"]
-    rows = view(spark, sf, "v_invoice_lines").filter("line_no = 1").withColumn("kind", F.lit(kind)).withColumn("anchors", F.array(*map(F.lit, anchors)))
-    return rows.select("doc_id", right_token(F.split(F.trim("text"), " +")).alias("value"))
+    rows = view(spark, sf, "v_invoice_lines").withColumn("kind", F.lit(kind)).withColumn("anchors", F.array(*map(F.lit, anchors)))
+    return rows.select("doc_id", "line_no", right_token(F.split(F.trim("text"), " +")).alias("value"))
 
 
 @register("take_until_total", f"select doc_id, string_agg(name, ' | ' order by n) as value from (select doc_id, n, name from ({_LINES}) where n <= 30) group by doc_id")
@@ -421,7 +518,7 @@ def q_largest_amount(spark, sf):
 @register("best_phone", "select id as doc_id, replace(text, ' 1 ', ' 01 ') as value from v_phrases where id % 12 = 3")
 def q_best_phone(spark, sf):
     lines = view(spark, sf, "v_phrases").withColumn("text", F.replace("text", F.lit(" 1 "), F.lit(" 01 "))).select(F.col("id").alias("doc_id"), F.explode(F.array(F.struct(F.lit(0).alias("n"), F.concat(F.lit("Tel: "), "text").alias("t")), F.struct(F.lit(1).alias("n"), F.col("text").alias("t")))).alias("x"))
-    return best_phone(lines.filter("doc_id % 12 = 3").select("doc_id", F.col("x.n").alias("line_no"), F.col("x.t").alias("text"))).select("doc_id", "value")
+    return best_phone(lines.select("doc_id", F.col("x.n").alias("line_no"), F.col("x.t").alias("text"))).select("doc_id", "value")
 
 
 @register("top_of_page_35", f"select l_orderkey as doc_id, concat('From: Supplier ', {_L('min(l_suppkey)')}) as value from lineitem group by l_orderkey union all select o_orderkey, concat('Acme ', {_L('o_custkey')}) from orders where o_orderkey not in (select l_orderkey from lineitem)")
@@ -512,9 +609,10 @@ _LEGACY = {
     "recipient_name": f"concat('Acme ', {_L('o_custkey')})",
     "total_amount": "cast(cast(o_totalprice as decimal(14,2)) as varchar)",
 }
+_ISSUER = f"select doc_id, min_by(text, line_no) as value from (select *, row_number() over (partition by doc_id order by line_no) as n from v_invoice_lines) where n <= 10 and length(text) > 3 and regexp_matches(text, '{LEGACY_COMPANY}') group by doc_id"
 for _name, _key in (("invoice_number", "legacy_invoice_number"), ("invoice_date", "legacy_invoice_date"), ("due_date", "legacy_due_date"), ("issuer_name", "legacy_issuer"), ("recipient_name", "legacy_recipient"), ("total_amount", "legacy_total")):
 
-    @register(_key, f"select o_orderkey as doc_id, {_LEGACY[_name]} as value from orders" if _name in _LEGACY else None)
+    @register(_key, f"select o_orderkey as doc_id, {_LEGACY[_name]} as value from orders" if _name in _LEGACY else _ISSUER)
     def _legacy(spark, sf, field=_name):
         return page_texts(spark, sf).select("doc_id", LEGACY[field](F.col("text")).alias("value"))
 
@@ -529,7 +627,7 @@ def legacy_date_patterns(spark, sf):
     return page_texts(spark, sf).select("doc_id", legacy_any_date(F.col("text")).alias("value"))
 
 
-@register("legacy_extract_all")
+@register("legacy_extract_all", "select o_orderkey as doc_id, " + ", ".join(f"{v} as {k}" for k, v in _LEGACY.items()) + f", i.value as issuer_name from orders join ({_ISSUER}) i on i.doc_id = o_orderkey")
 def legacy_extract_all(spark, sf):
     return page_texts(spark, sf).select("doc_id", *(f(F.col("text")).alias(n) for n, f in LEGACY.items()))
 

@@ -105,15 +105,19 @@ def find_dates(spark, sf):
     return view(spark, sf, "v_invoice_lines").select("doc_id", "line_no", X.first(F.col("text"), X.DATE).alias("date_text"))
 
 
-@register("find_amounts", "select o_orderkey as doc_id, cast(cast(o_totalprice as decimal(14,2)) as varchar) as amount from orders")
+_LAST = "case when line_no = 1 then substr(text, 17) when line_no = 2 then right(text, 4) when line_no = 100 then substr(text, 8) when line_no between 6 and 99 then (case when length(split_part(text, ' ', 2)) <= 3 then substr(text, 6) else split_part(text, ' ', 3) end) end"
+
+
+@register("find_amounts", f"select doc_id, line_no, {_LAST} as amount from v_invoice_lines")
 def find_amounts(spark, sf):
-    """The last amount of each total line; the truth is the order's price."""
-    return view(spark, sf, "v_invoice_lines").filter("line_no = 100").select("doc_id", X.last(F.col("text"), X.MONEY).alias("amount"))
+    """The last amount of each line. Up to three capital letters before a number belong to it."""
+    return view(spark, sf, "v_invoice_lines").select("doc_id", "line_no", X.last(F.col("text"), X.MONEY).alias("amount"))
 
 
-@register("invoice_number_from_text", "select o_orderkey as doc_id, concat('inv-', cast(100000 + o_orderkey as varchar)) as number from orders")
+@register("invoice_number_from_text", "select doc_id, line_no, case when line_no = 1 then lower(substr(text, 13)) when line_no = 2 then substr(text, 7) when line_no = 100 then (case when length(text) < 16 then substr(text, 8) end) when line_no between 6 and 99 and length(split_part(text, ' ', 3)) < 9 then split_part(text, ' ', 3) end as number from v_invoice_lines")
 def invoice_number_from_text(spark, sf):
-    return view(spark, sf, "v_invoice_lines").filter("line_no = 1").select("doc_id", X.invoice_number(F.col("text")).alias("number"))
+    """On every line; an amount of eight digits and more passes for a phone."""
+    return view(spark, sf, "v_invoice_lines").select("doc_id", "line_no", X.invoice_number(F.col("text")).alias("number"))
 
 
 @register("job_contact_scan", f"select source, count(*) as docs, count({_FOUND_EMAIL}) as with_email, count(list_extract({_PHONES}, 1)) as with_phone from documents group by source")
@@ -292,12 +296,12 @@ def text_source_choice(spark, sf):
     return rows.select("doc_id", F.when((F.col("content_type") == "application/pdf") & (F.length(F.trim("native")) > 50), "native").otherwise("ocr").alias("source"))
 
 
-@register("engine_fallback", "select doc_id, max_by(model, k) as engine, string_agg(case when k < kk then model end, ',' order by k) as failed from (select *, min(k) filter (p >= 0.3) over (partition by doc_id) as kk from (select doc_id, model, max(p) as p, case model when 'svm' then 1 when 'lr' then 2 else 3 end as k from v_probs where label <> 'en' group by doc_id, model)) where k <= kk group by doc_id")
+@register("engine_fallback", "select doc_id, max_by(model, k) as engine, string_agg(case when k < kk then model end, ',' order by k) as failed from (select *, min(k) filter (p >= 0.45) over (partition by doc_id) as kk from (select doc_id, model, max(p) as p, case model when 'svm' then 1 when 'lr' then 2 else 3 end as k from v_probs group by doc_id, model)) where k <= kk group by doc_id")
 def engine_fallback(spark, sf):
     """The first engine, by rank, whose output is usable; those before it failed."""
     rank = F.when(F.col("model") == "svm", 1).when(F.col("model") == "lr", 2).otherwise(3)
-    runs = view(spark, sf, "v_probs").filter("label <> 'en'").groupBy("doc_id", "model").agg(F.max("p").alias("p")).withColumn("k", rank)
-    tried = runs.withColumn("kk", F.min(F.when(F.col("p") >= 0.3, F.col("k"))).over(Window.partitionBy("doc_id"))).filter("k <= kk")
+    runs = view(spark, sf, "v_probs").groupBy("doc_id", "model").agg(F.max("p").alias("p")).withColumn("k", rank)
+    tried = runs.withColumn("kk", F.min(F.when(F.col("p") >= 0.45, F.col("k"))).over(Window.partitionBy("doc_id"))).filter("k <= kk")
     done = tried.groupBy("doc_id").agg(F.min_by("model", -F.col("k")).alias("engine"), F.array_sort(F.collect_list(F.when(F.col("k") < F.col("kk"), F.struct("k", "model")))).alias("f"))
     return done.select("doc_id", "engine", F.nullif(F.array_join(F.transform("f", lambda r: r["model"]), ","), F.lit("")).alias("failed"))
 

@@ -40,6 +40,15 @@ union all select o_orderkey, 3, 5, 'Description' from orders
 union all select l_orderkey, 3, cast(5 + row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as int),
    concat('Part ', translate(cast(l_partkey as string),'0123456789','ABCDEFGHIJ'), ' ', cast(cast(l_extendedprice as decimal(14,2)) as string)) from lineitem
 union all select o_orderkey, 4, 100, concat('Total: ', cast(cast(o_totalprice as decimal(14,2)) as string)) from orders""",
+    "v_contact_lines": """
+select c_custkey as doc_id, 0 as region, 0 as line_no, 'Invoice summary' as text from customer
+union all select c_custkey, 1, 1, concat('Company ', translate(cast(c_custkey as string),'0123456789','ABCDEFGHIJ')) from customer
+union all select c_custkey, 1, 2, case when c_custkey % 2 = 0 then concat('info', cast(c_custkey as string), '@site.com') else 'no mail here' end from customer
+union all select c_custkey, 1, 3, case when c_custkey % 3 = 0 then '+33 01 23 45 67' else 'call us soon' end from customer
+union all select c_custkey, 1, 4, case when c_custkey % 5 = 0 then 'www.site.com' else 'open daily' end from customer
+union all select c_custkey, 2, 5, 'Second Office' from customer
+union all select c_custkey, 2, 6, case when c_custkey % 4 = 1 then '12 Main St' else 'closed' end from customer
+union all select c_custkey, 2, 7, case when c_custkey % 7 = 1 then 'Some Road' else 'by car' end from customer""",
     "v_detections": """
 select image_id, det_no, label, confidence, x1, y1, x1 + 20 + w * 4 as x2, y1 + 20 + w * 2 as y2 from (
 select l_orderkey as image_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as det_no,

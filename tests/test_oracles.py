@@ -9,7 +9,7 @@ from paperloom.plans.views import TABLES
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
 #: Trained or compiled for long; they have tests of their own.
-SLOW = {"extract_anchor_pipeline", "compare_models", "ablation", "select_config", "grid_c_gamma", "grid_vocab", "train_rbf_svm_approx", "train_rf", "train_logreg", "train_linear_svm", "tfidf_bigrams", "job_extract_invoices"}
+SLOW = {"compare_models", "ablation", "select_config", "grid_c_gamma", "grid_vocab", "train_rbf_svm_approx", "train_rf", "train_logreg", "train_linear_svm"}
 
 
 def plain(value):
