@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,18 +33,49 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+_open: list[list[DataFrame]] = []
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back.
 
     This cuts the lineage (a lost executor costs no recomputation of what is above) and gives
-    Spark true sizes for later joins. The files go when the Spark application ends.
+    Spark true sizes for later joins. The files go at the end of the scratch() around the call, or of the
+    one around that if they are kept, or else when the Spark application ends.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/paperloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    jpath, fs = _file(spark, path)
+    fs.deleteOnExit(jpath)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    scopes = _open[:-1] if keep else _open
+    if scopes:
+        scopes[-1].append(out)
+    return out
+
+
+def _file(spark: SparkSession, path: str):
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    return jpath, jpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of written tables that nothing reads any more."""
+    for t in tables:
+        jpath, fs = _file(t.sparkSession, t._written_to)
+        fs.delete(jpath, True)
+
+
+@contextmanager
+def scratch():
+    """Tables written inside go at its end, but for those that are kept: what is returned must read only these."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        discard(*_open.pop())
 
 
 PART_ROWS, PART_BYTES = 2_000, 8 << 20

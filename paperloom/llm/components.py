@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, scratch, written
 
 
 def _star(pairs: DataFrame, kept: str) -> DataFrame:
@@ -31,9 +31,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before or not mark[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = mark
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = written(_star(both, "v > u").distinct(), "edges")
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("v"))
-        now = written(_star(down, "v <> m").unionByName(low).distinct(), "edges")
+        before, last = mark, now
+        with scratch():
+            both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            large = written(_star(both, "v > u").distinct(), "edges")
+            down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+            low = down.groupBy("u").agg(F.min("v").alias("v"))
+            now = written(_star(down, "v <> m").unionByName(low).distinct(), "edges", keep=True)
+        discard(last)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import cells
-from .common import table, written
+from .common import scratch, table, written
 from .components import connected_components
 
 THRESHOLD = 0.9
@@ -207,13 +207,14 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     gives no rows; other columns of df play no part.
     """
     rows = written(df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).withColumn("uid", F.monotonically_increasing_id()), "vectors")
-    found = written(near_pairs(rows.filter(usable(F.col("vector"))), threshold), "links")
-    roots = written(connected_components(found.select("u", "v")), "roots")
-    ids = rows.select("uid", "id")
-    named = roots.join(ids.hint("merge"), roots["node"] == ids["uid"]).select("node", "root", "id")
-    least = written(named.groupBy("root").agg(F.min("id").alias("component")), "components")
-    links = found.groupBy("u").agg(F.sum("n").alias("n_links"))
-    known = written(roots.join(least.hint("merge"), "root").join(links.hint("merge"), F.col("node") == F.col("u")).select("node", "component", "n_links"), "known")
+    with scratch():
+        found = written(near_pairs(rows.filter(usable(F.col("vector"))), threshold), "links")
+        roots = written(connected_components(found.select("u", "v")), "roots")
+        ids = rows.select("uid", "id")
+        named = roots.join(ids.hint("merge"), roots["node"] == ids["uid"]).select("node", "root", "id")
+        least = written(named.groupBy("root").agg(F.min("id").alias("component")), "components")
+        links = found.groupBy("u").agg(F.sum("n").alias("n_links"))
+        known = written(roots.join(least.hint("merge"), "root").join(links.hint("merge"), F.col("node") == F.col("u")).select("node", "component", "n_links"), "known", keep=True)
     out = ids.join(known.hint("merge"), ids["uid"] == known["node"], "left")
     out = out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import cells
-from .common import slices, table, written
+from .common import scratch, slices, table, written
 from .components import connected_components
 
 WORDS, BITS = 3, 2
@@ -206,10 +206,11 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     id or repeat; each gives a row.
     """
     rows = written(with_fingerprints(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text", words).select("_id", "fp"), "fingerprints")
-    labels = _labels(rows, bits)
-    firsts = rows.groupBy("fp").agg(F.min("_id").alias("first")).join(labels.hint("merge"), "fp")
-    least = written(firsts.groupBy("root").agg(F.min("first").alias("component_id")), "components")
-    known = written(labels.join(least.hint("merge"), "root").select("fp", "component_id"), "known")
+    with scratch():
+        labels = _labels(rows, bits)
+        firsts = rows.groupBy("fp").agg(F.min("_id").alias("first")).join(labels.hint("merge"), "fp")
+        least = written(firsts.groupBy("root").agg(F.min("first").alias("component_id")), "components")
+        known = written(labels.join(least.hint("merge"), "root").select("fp", "component_id"), "known", keep=True)
     return rows.join(known.hint("merge"), "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
 
 
@@ -221,9 +222,10 @@ def without_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     numbered = written(df.withColumn("_rid", F.monotonically_increasing_id()), "numbered")
     found = with_fingerprints(numbered.select("_rid", F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text", words)
-    rows = written(found.select("fp", F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_rid").alias("rid")).alias("row")), "fingerprints")
-    firsts = rows.groupBy("fp").agg(F.min("row").alias("row")).join(_labels(rows, bits).hint("merge"), "fp")
-    kept = written(firsts.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.rid").alias("_rid")), "kept")
+    with scratch():
+        rows = written(found.select("fp", F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_rid").alias("rid")).alias("row")), "fingerprints")
+        firsts = rows.groupBy("fp").agg(F.min("row").alias("row")).join(_labels(rows, bits).hint("merge"), "fp")
+        kept = written(firsts.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.rid").alias("_rid")), "kept", keep=True)
     return numbered.join(kept.hint("merge"), "_rid", "left_semi").select(*df.columns)
 
 

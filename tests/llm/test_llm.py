@@ -117,8 +117,8 @@ def test_exact_numbers_survive_another_split(spark, tmp_path, monkeypatch):
     stored, write, key = spark.read.parquet(str(tmp_path / "docs")), exact_dedup.written, "spark.sql.files.maxPartitionBytes"
     before = spark.conf.get(key)
 
-    def written(df, name):
-        out = write(df, name)
+    def written(df, name, **more):
+        out = write(df, name, **more)
         if name == "kept":
             spark.conf.set(key, "1")
             spark.conf.set("spark.sql.files.openCostInBytes", "1")
