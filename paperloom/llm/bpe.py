@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, table
+from .common import over_texts, slices, table
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Fixed value: the pre-tokeniser's pattern, with white space as Unicode defines it.
@@ -161,6 +161,11 @@ class Codec(Decoder):
                     return out
                 at, left, token = end, token, longest[end]
 
+    def forget(self) -> None:
+        """Empty the caches, so that an idle worker holds the vocabulary alone."""
+        self.seen.clear()
+        self.pairs.clear()
+
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit numbers."""
         seen, out = self.seen, []
@@ -233,8 +238,9 @@ def encode(df: DataFrame, text_col: str = "text", path: str | None = None) -> Da
                 ends = np.cumsum([0, *(len(c) // 4 for c in coded)], dtype=np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), dtype="<i4"), pa.int32()))
                 yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, "ids"])
+        codec.forget()
 
-    return df.mapInArrow(run, schema)
+    return over_texts(df, run, schema)
 
 
 def decode(df: DataFrame, ids_col: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
@@ -252,7 +258,7 @@ def decode(df: DataFrame, ids_col: str = "ids", out: str = "decoded", path: str
                 texts = codec.decode(lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes, dtype=np.int64))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])
 
-    return df.mapInArrow(run, schema)
+    return over_texts(df, run, schema)
 
 
 def op9_bpe(spark, sf_dir):

@@ -79,6 +79,20 @@ def scratch():
 
 
 PART_ROWS, PART_BYTES = 2_000, 8 << 20
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS, BATCH_CONF = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def over_texts(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow for tables of texts, in batches of at most BATCH_ROWS rows.
+
+    A batch exists in the JVM and in the worker at once, for each task, so the default of 10,000 rows
+    costs hundreds of MB an executor. The setting is the session's and is only ever lowered.
+    """
+    rows = int(df.sparkSession.conf.get(BATCH_CONF))
+    if not 0 < rows <= BATCH_ROWS:
+        df.sparkSession.conf.set(BATCH_CONF, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
 
 
 def slices(batch: pa.RecordBatch, column: int, rows: int = PART_ROWS, size: int = PART_BYTES):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, table
+from .common import over_texts, slices, table
 
 SAMPLE, DIMS, NEIGHBOURS, POWER = 4096, 64, 48, 8
 KEEP = 0.7
@@ -158,7 +158,7 @@ def fit(df: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str =
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array([text_key(t) - 2**63 for t in some], pa.int64())], names=["id", "label", "terms", "key"])
 
     kind = once.schema["_id"].dataType.simpleString()
-    got = once.mapInArrow(run, f"id {kind}, label int, terms binary, key long").toArrow().sort_by("id")
+    got = over_texts(once, run, f"id {kind}, label int, terms binary, key long").toArrow().sort_by("id")
     rows = np.frombuffer(b"".join(got["terms"].to_pylist()), dtype=np.float16).reshape(-1, TERMS).astype(np.float32)
     keys = np.array([k + 2**63 for k in got["key"].to_pylist()], dtype=np.uint64)
     return Model(rows, np.array(got["label"].to_pylist(), dtype=np.float32), keys)
@@ -180,7 +180,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 scores = sent.value.score(terms(some), np.array([text_key(t) for t in some], dtype=np.uint64))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.clip(scores, 0, 1), pa.float64())], names=[*b.schema.names, "score"])
 
-    return df.mapInArrow(run, schema)
+    return over_texts(df, run, schema)
 
 
 def op10_quality(spark, sf_dir):

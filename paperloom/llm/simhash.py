@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import cells
-from .common import scratch, slices, table, written
+from .common import over_texts, scratch, slices, table, written
 from .components import connected_components
 
 WORDS, BITS = 3, 2
@@ -84,7 +84,7 @@ def with_fingerprints(df: DataFrame, text_col: str = "text", words: int = WORDS)
                 fps = np.array([fingerprint(t or "", words) for t in b.column(column).to_pylist()], dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], names=[*b.schema.names, "fp"])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("fp", T.LongType(), False)]))
+    return over_texts(df, run, T.StructType([*df.schema.fields, T.StructField("fp", T.LongType(), False)]))
 
 
 @dataclass

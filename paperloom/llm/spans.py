@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import over_texts, slices
 
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType(), False), T.StructField("start", T.IntegerType(), False), T.StructField("end", T.IntegerType(), False), T.StructField("base", T.BooleanType(), False)]), False)
 ARROW = pa.list_(pa.struct([pa.field("kind", pa.string(), False), pa.field("start", pa.int32(), False), pa.field("end", pa.int32(), False), pa.field("base", pa.bool_(), False)]))
@@ -32,7 +32,7 @@ def with_spans(df: DataFrame, text_col: str, find) -> DataFrame:
                 spans = pa.array([[dict(zip(("kind", "start", "end", "base"), span)) for span in one] for one in found], ARROW)
                 yield pa.RecordBatch.from_arrays([*b.columns, spans], names=[*b.schema.names, "spans"])
 
-    return df.mapInArrow(run, schema)
+    return over_texts(df, run, schema)
 
 
 def joined(spans, kinds: tuple[str, ...]):
