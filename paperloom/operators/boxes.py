@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..plans.register import Registry
 from ..plans.views import view
-from ..sources.scratch import new_path
+from ..sources.scratch import new_path, stored
 
 register = Registry()
 IOU, CONTAINED = 0.6, 0.85
@@ -59,8 +59,8 @@ def dedup_detections(boxes: DataFrame) -> DataFrame:
     fold = f"aggregate(b, cast(array() as array<struct<{fields}>>), (k, d) -> if(size(filter(k, e -> e.label = d.label)) < {cap} and not exists(k, e -> e.label = d.label and {meets}), concat(k, array(d)), k))"
     row = F.struct((-F.col("confidence")).cast("double").alias("q"), F.col("det_no").cast("long").alias("det_no"), "label", *(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")))
     kept = boxes.groupBy("image_id").agg(F.array_sort(F.collect_list(row)).alias("b")).withColumn("k", F.expr(fold))
-    ordered = F.array_sort(F.transform("k", lambda r: F.struct(r["y1"].alias("y"), r["x1"].alias("x"), r["det_no"].alias("det_no"), r["label"].alias("label"))))
-    return kept.select("image_id", F.posexplode(ordered).alias("at", "r")).select("image_id", "r.det_no", "r.label", (F.col("at") + 1).alias("region_index"))
+    ordered = F.array_sort(F.transform("k", lambda r: F.struct(*(r[c].alias(c) for c in ("y1", "x1", "det_no", "label", "x2", "y2")))))
+    return kept.select("image_id", F.posexplode(ordered).alias("at", "r")).select("image_id", "r.det_no", "r.label", (F.col("at") + 1).alias("region_index"), "r.x1", "r.y1", "r.x2", "r.y2")
 
 
 def padded(x1: str, y1: str, x2: str, y2: str, width, height, ratio: float = 0.02, least: int = 12) -> list[Column]:
@@ -92,9 +92,19 @@ def join_boxes_overlap(spark, sf):
     return box_pairs(view(spark, sf, "v_detections")).filter((box_iou() >= IOU) | (containment_ratio() >= CONTAINED)).select("a.image_id", F.col("a.det_no").alias("left_no"), F.col("b.det_no").alias("right_no"))
 
 
-@register("dedup_detections")
+_MEETS = f"e.label = d.label and {_I} > 0 and ({_I} >= {IOU}::double * ({_S} + {_T} - {_I}) or {_I} >= {CONTAINED}::double * least({_S}, {_T}))".replace("a.", "e.").replace("b.", "d.")
+#: One step of the recursion for each box of an image, best first.
+KEPT_SQL = f"""select image_id, e.det_no as det_no, e.label as label, row_number() over (partition by image_id order by e.y1, e.x1, e.det_no) as region_index, e.x1 as x1, e.y1 as y1, e.x2 as x2, e.y2 as y2 from (
+ with recursive best as (select *, row_number() over (partition by image_id order by confidence desc, det_no) as k from v_detections),
+ fold as (select image_id, 0 as k, count(*) as n, cast([] as struct(det_no bigint, label varchar, x1 double, y1 double, x2 double, y2 double)[]) as kept from v_detections group by image_id
+  union all select f.image_id, f.k + 1, f.n, case when len(list_filter(f.kept, lambda e: e.label = d.label)) < (case when d.label = 'table' then {CAPS['table']} else {CAPS['paragraph']} end) and len(list_filter(f.kept, lambda e: {_MEETS})) = 0
+   then list_append(f.kept, struct_pack(det_no := d.det_no, label := d.label, x1 := d.x1::double, y1 := d.y1::double, x2 := d.x2::double, y2 := d.y2::double)) else f.kept end from fold f join best d on d.image_id = f.image_id and d.k = f.k + 1)
+ select image_id, unnest(kept) as e from fold where k = n)"""
+
+
+@register("dedup_detections", f"select image_id, det_no, label, region_index from ({KEPT_SQL})")
 def q_dedup(spark, sf):
-    return dedup_detections(view(spark, sf, "v_detections"))
+    return dedup_detections(view(spark, sf, "v_detections")).select("image_id", "det_no", "label", "region_index")
 
 
 @register("region_index", "select image_id, det_no, row_number() over (partition by image_id order by y1, x1, det_no) as region_index from v_detections")
@@ -167,19 +177,34 @@ def to_yolo_row(spark, sf):
 
 @register("sink_label_files", f"select filename, string_agg(row, chr(10) order by row) as content, case when filename < 'doc_5' then 'train' else 'val' end as split from (select filename, {_YOLO} as row from v_annotations a join ({_CLASSES}) c on c.class = a.class) group by filename")
 def sink_label_files(spark, sf):
-    """Label text of each image; `label_files` writes it by split."""
+    """Label text of each image, written by split and read back."""
     rows = view(spark, sf, "v_annotations")
     rows = rows.join(class_index(rows.select("class")), "class").withColumn("row", yolo_row(F.col("class_id")))
-    return rows.groupBy("filename").agg(F.array_join(F.array_sort(F.collect_list("row")), "\n").alias("content")).withColumn("split", F.when(F.col("filename") < "doc_5", "train").otherwise("val"))
+    files = label_texts(rows, "filename").withColumn("split", F.when(F.col("filename") < "doc_5", "train").otherwise("val"))
+    path = new_path(spark, "labels")
+    write_label_files(files, path)
+    return spark.read.schema(files.schema).json(path)
+
+
+def label_texts(rows: DataFrame, *by: str) -> DataFrame:
+    return rows.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list("row")), "\n").alias("content"))
 
 
 def write_label_files(files: DataFrame, path: str) -> None:
-    files.write.mode("overwrite").partitionBy("split").parquet(path)
+    """A folder for each split, with a JSON record for each image: a file for each would swamp a store of millions."""
+    files.write.partitionBy("split").json(path)
 
 
 @register("sink_class_manifest", f"select '{{\"names\":[' || string_agg('\"' || class || '\"', ',' order by class_id) || '],\"nc\":' || count(*) || '}}' as manifest from ({_CLASSES})")
 def sink_class_manifest(spark, sf):
     names = class_index(view(spark, sf, "v_annotations").select("class")).agg(F.transform(F.array_sort(F.collect_list(F.struct("class_id", "class"))), lambda c: c["class"]).alias("names"))
+    path = new_path(spark, "manifest")
+    manifest(names).write.text(path)  # one row
+    return spark.read.text(path).toDF("manifest")
+
+
+def manifest(names: DataFrame) -> DataFrame:
+    """The class list, in the order of ids, and its length as JSON."""
     return names.select(F.to_json(F.struct("names", F.size("names").alias("nc"))).alias("manifest"))
 
 
@@ -322,15 +347,35 @@ def q_required(spark, sf):
     return required_minus_present(spark.read.text(path))
 
 
+def prepare_dataset(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """(part, name, split, content): label text of each image that is stored, a report of those that are not, and the manifest.
+
+    Annotations get class ids, images a split; rows are written once, for three parts read them.
+    """
+    rows = split_grouped(rows.join(class_index(rows.select("class")), "class"), "filename").withColumn("row", yolo_row(F.col("class_id")))
+    rows = stored(rows.select("filename", "split", "row", "class", "class_id"), "dataset")
+    there = rows.join(files, "filename", "left_semi")
+    labels = label_texts(there, "filename", "split").select(F.lit("label").alias("part"), F.col("filename").alias("name"), "split", "content")
+    missing = rows.select("filename", "split").distinct().join(files, "filename", "left_anti").select(F.lit("missing"), "filename", "split", F.lit(""))
+    names = rows.select("class_id", "class").distinct().agg(F.transform(F.array_sort(F.collect_list(F.struct("class_id", "class"))), lambda c: c["class"]).alias("names"))
+    return labels.union(missing).union(manifest(names).select(F.lit("manifest"), F.lit("classes"), F.lit(""), "manifest"))
+
+
+_STORED = "cast(regexp_extract(filename, '[0-9]+') as bigint) % 23 <> 0"
+_DATASET = f"""select a.filename, a.class, c.class_id, case when k.r <= k.v then 'val' else 'train' end as split, {_YOLO} as row from v_annotations a join ({_CLASSES}) c on c.class = a.class
+ join (select filename, row_number() over (order by md5('42:' || filename)) as r, greatest(1, cast(floor((count(*) over ()) * 0.2) as bigint)) as v from (select distinct filename from v_annotations)) k on k.filename = a.filename"""
+
+
 @register(
     "prepare_dataset",
-    f"select f.filename, f.split, string_agg(f.row, chr(10) order by f.row) as content from (select a.filename, case when k.r <= k.v then 'val' else 'train' end as split, {_YOLO} as row from v_annotations a join ({_CLASSES}) c on c.class = a.class join (select filename, row_number() over (order by md5('42:' || filename)) as r, greatest(1, cast(floor((count(*) over ()) * 0.2) as bigint)) as v from (select distinct filename from v_annotations)) k on k.filename = a.filename) f group by f.filename, f.split",
+    f"""select 'label' as part, filename as name, split, string_agg(row, chr(10) order by row) as content from ({_DATASET}) where {_STORED} group by filename, split
+ union all select distinct 'missing', filename, split, '' from ({_DATASET}) where not {_STORED}
+ union all select 'manifest', 'classes', '', '{{"names":[' || string_agg('"' || class || '"', ',' order by class_id) || '],"nc":' || count(*) || '}}' from ({_CLASSES})""",
 )
-def prepare_dataset(spark, sf):
-    """Annotations -> class ids -> grouped split -> label text of each image."""
+def q_prepare_dataset(spark, sf):
     rows = view(spark, sf, "v_annotations")
-    rows = split_grouped(rows.join(class_index(rows.select("class")), "class"), "filename").withColumn("row", yolo_row(F.col("class_id")))
-    return rows.groupBy("filename", "split").agg(F.array_join(F.array_sort(F.collect_list("row")), "\n").alias("content"))
+    files = rows.select("filename").distinct().filter(F.regexp_extract("filename", "[0-9]+", 0).cast("long") % 23 != 0)
+    return prepare_dataset(rows, files)
 
 
 @register("job_dataset_labels", f"select case when right(md5(filename), 1) < '4' then 'val' else 'train' end as split, class_id, count(*) as rows from v_annotations a join ({_CLASSES}) c on c.class = a.class group by 1, 2")
@@ -340,10 +385,26 @@ def job_dataset_labels(spark, sf):
     return rows.groupBy(F.when(F.right(F.md5("filename"), F.lit(1)) < "4", "val").otherwise("train").alias("split"), "class_id").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@register("job_box_quality", f"select label, count(*) as pairs, round(avg({_IOU}), 6) as mean_iou, count(*) filter ({_CON} >= {CONTAINED}) as contained from (select a.label, a.x1, a.x2, a.y1, a.y2, struct_pack(x1 := b.x1, x2 := b.x2, y1 := b.y1, y2 := b.y2) as b from {_PAIRS}) a group by label")
+def box_quality(truth: DataFrame, boxes: DataFrame) -> DataFrame:
+    """By label: true boxes, those that a kept detection of the image meets at IOU or more, rate, mean best IoU, and how many are contained.
+
+    Detections are de-duplicated first, so a true box meets at most 15.
+    """
+    a, b = truth.alias("a"), dedup_detections(boxes).alias("b")
+    both = a.join(b.hint("merge"), (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.label") == F.col("b.label")), "left")
+    met = F.col("b.det_no").isNotNull()
+    best = both.groupBy("a.image_id", "a.det_no", "a.label").agg(F.coalesce(F.max(F.when(met, box_iou())), F.lit(0.0)).alias("iou"), F.coalesce(F.max(F.when(met, containment_ratio())), F.lit(0.0)).alias("held"))
+    found = F.count_if(F.col("iou") >= IOU)
+    return best.groupBy("label").agg(F.count(F.lit(1)).alias("truth"), found.alias("found"), F.round(found / F.count(F.lit(1)), 6).alias("rate"), F.round(F.avg("iou"), 6).alias("mean_iou"), F.count_if(F.col("held") >= CONTAINED).alias("contained"))
+
+
+@register("job_box_quality", f"""select label, count(*) as truth, count(*) filter (iou >= {IOU}) as found, round(count(*) filter (iou >= {IOU}) / count(*), 6) as rate, round(avg(iou), 6) as mean_iou, count(*) filter (held >= {CONTAINED}) as contained from (
+ select a.image_id, a.det_no, a.label, coalesce(max(case when b.det_no is not null then {_IOU} end), 0) as iou, coalesce(max(case when b.det_no is not null then {_CON} end), 0) as held
+ from v_detections a left join ({KEPT_SQL}) b on a.image_id = b.image_id and a.label = b.label group by a.image_id, a.det_no, a.label) group by label""")
 def job_box_quality(spark, sf):
-    pairs = box_pairs(view(spark, sf, "v_detections")).select(F.col("a.label").alias("label"), box_iou().alias("iou"), containment_ratio().alias("contained"))
-    return pairs.groupBy("label").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg("iou"), 6).alias("mean_iou"), F.count_if(F.col("contained") >= CONTAINED).alias("contained"))
+    """All boxes are the truth, those that de-duplication keeps the detections."""
+    boxes = view(spark, sf, "v_detections")
+    return box_quality(boxes, boxes)
 
 
 QUERIES, ORACLES = register.queries, register.oracles

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..plans.register import Registry
 from ..plans.views import view
+from .boxes import KEPT_SQL, dedup_detections
 
 register = Registry()
 LEAST_CONFIDENCE, COLUMN_GAP = 0.3, 4.0
@@ -36,12 +37,16 @@ def upper_median(array):
 def cluster_regions(df: DataFrame) -> DataFrame:
     """Add region: a new one starts where the gap to the token before exceeds max(2 * median height, 30).
 
-    Gaps and islands over one window per document.
+    Gaps and islands. The median is the height in the middle of a document's ranks, so all windows
+    share one shuffle, nothing is joined and no array grows with the document.
     """
-    heights = df.groupBy("doc_id").agg(upper_median(F.collect_list(F.greatest(F.lit(1.0), F.col("ymax") - F.col("ymin")))).alias("mh"))
-    order = Window.partitionBy("doc_id").orderBy("ymin", "xmin", "tok_no")
+    doc = Window.partitionBy("doc_id")
+    ranked = df.withColumn("h", F.greatest(F.lit(1.0), F.col("ymax") - F.col("ymin")))
+    ranked = ranked.withColumn("r", F.row_number().over(doc.orderBy("h"))).withColumn("n", F.count(F.lit(1)).over(doc))
+    ranked = ranked.withColumn("mh", F.max(F.when(F.col("r") == F.floor(F.col("n") / 2) + 1, F.col("h"))).over(doc)).drop("h", "r", "n")
+    order = doc.orderBy("ymin", "xmin", "tok_no")
     gap = F.col("ymin") - F.lag("ymax").over(order)
-    rows = df.join(heights, "doc_id").withColumn("new", F.when(gap > F.greatest(2 * F.col("mh"), F.lit(30.0)), 1).otherwise(0))
+    rows = ranked.withColumn("new", F.when(gap > F.greatest(2 * F.col("mh"), F.lit(30.0)), 1).otherwise(0))
     return rows.withColumn("region", F.sum("new").over(order)).drop("new", "mh")
 
 
@@ -142,12 +147,27 @@ def raw_text(spark, sf):
     return view(spark, sf, "v_invoice_lines").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda r: r["text"]), "\n").alias("raw_text"))
 
 
-@register("detect_to_regions", "select image_id, det_no, count(*) as lines from v_detections d join v_invoice_lines l on l.doc_id = d.image_id where 300 between x1 and x2 and 20 * line_no + 6 between y1 and y2 group by image_id, det_no")
-def detect_to_regions(spark, sf):
-    """Lines assigned to the boxes that hold their centre; the join goes by document first."""
-    boxes, lines = view(spark, sf, "v_detections"), view(spark, sf, "v_invoice_lines")
+_REGION_LINES = "'\"' || text || '\"', ',' order by line_no"
+
+
+def detect_to_regions(boxes: DataFrame, lines: DataFrame) -> DataFrame:
+    """(image_id, region_index, det_no, label, lines, text, payload): boxes without doubles, with the lines whose centre they hold.
+
+    An image has at most 15 boxes left, so a line meets that many at most; a box without lines stays.
+    """
+    kept = dedup_detections(boxes)
     at = (F.lit(300).between(F.col("x1"), F.col("x2"))) & (20 * F.col("line_no") + 6).between(F.col("y1"), F.col("y2"))
-    return boxes.join(lines, (F.col("doc_id") == F.col("image_id")) & at).groupBy("image_id", "det_no").agg(F.count(F.lit(1)).alias("lines"))
+    held = F.collect_list(F.when(F.col("line_no").isNotNull(), F.struct("line_no", "text")))
+    made = kept.join(lines.hint("merge"), (F.col("doc_id") == F.col("image_id")) & at, "left").groupBy("image_id", "region_index", "det_no", "label").agg(F.transform(F.array_sort(held), lambda r: r["text"]).alias("held"))
+    payload = F.to_json(F.struct("region_index", "label", F.col("held").alias("lines")))
+    return made.select("image_id", "region_index", "det_no", "label", F.size("held").alias("lines"), F.array_join("held", "\n").alias("text"), payload.alias("payload"))
+
+
+@register("detect_to_regions", f"""select image_id, region_index, det_no, label, count(line_no) as lines, coalesce(string_agg(text, chr(10) order by line_no), '') as text,
+ '{{"region_index":' || region_index || ',"label":"' || label || '","lines":[' || coalesce(string_agg({_REGION_LINES}), '') || ']}}' as payload
+ from ({KEPT_SQL}) d left join v_invoice_lines l on l.doc_id = d.image_id and 300 between x1 and x2 and 20 * line_no + 6 between y1 and y2 group by image_id, region_index, det_no, label""")
+def q_detect_to_regions(spark, sf):
+    return detect_to_regions(view(spark, sf, "v_detections"), view(spark, sf, "v_invoice_lines"))
 
 
 @register("join_neighbor_lines", "select doc_id, line_no, lag(text) over w as before, lead(text) over w as after, lead(text, 4) over w as fourth from v_invoice_lines window w as (partition by doc_id order by line_no)")

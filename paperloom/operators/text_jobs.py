@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..plans.register import Registry
 from ..plans.views import view
+from ..sources.scratch import new_path
 
 register = Registry()
 _CLEAN = "array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'), '[\\s\\x0b\\x1c-\\x1f]+', ' ', 'g')), ' '), lambda t: length(t) > 1 or regexp_full_match(t, '[0-9]')), ' ')"
@@ -120,10 +121,34 @@ def invoice_number_from_text(spark, sf):
     return view(spark, sf, "v_invoice_lines").select("doc_id", "line_no", X.invoice_number(F.col("text")).alias("number"))
 
 
-@register("job_contact_scan", f"select source, count(*) as docs, count({_FOUND_EMAIL}) as with_email, count(list_extract({_PHONES}, 1)) as with_phone from documents group by source")
+KINDS = {
+    "email": lambda t: X.every(t, X.EMAIL),
+    "phone": lambda t: F.filter(X.every(t, X.PHONE), lambda c: X.digits(c) >= 8),
+    "date": lambda t: X.every(t, X.DATE),
+    "percent": lambda t: X.every(t, X.PERCENT),
+    "invoice_id": X.invoice_id_candidates,
+    "amount": lambda t: X.every(t, X.MONEY),
+}
+
+
+def mentions(rows: DataFrame, *kinds: str) -> DataFrame:
+    """(doc_id, source, kind, pos, value): what each text mentions, numbered from 0 in a text by kind; all KINDS unless named."""
+    found = [F.struct(F.lit(k).alias("kind"), KINDS[k](F.col("text")).alias("values")) for k in kinds or KINDS]
+    each = rows.select("doc_id", "source", F.explode(F.array(*found)).alias("f")).select("doc_id", "source", "f.*")
+    return each.select("doc_id", "source", "kind", F.posexplode("values").alias("pos", "value"))
+
+
+_TEXTS = "select source, text from documents union all select 'conversations', text from conversations"
+_MENTIONS = {"email": f"regexp_extract_all(text, '{_EMAIL}')", "phone": _PHONES, "date": f"regexp_extract_all(text, '(?i){_DATE}')", "percent": "regexp_extract_all(text, '\\b\\d{1,2}(?:[.,]\\d{1,2})?\\s*%')",
+             "invoice_id": "list_filter(regexp_extract_all(text, '(?i)\\b[A-Z0-9][A-Z0-9./_-]{3,}\\b'), lambda t: length(regexp_replace(t, '\\D', '', 'g')) >= 4)"}
+
+
+@register("job_contact_scan", "select source, kind, cast(sum(n) as bigint) as mentions, count(*) as texts from (" + " union all ".join(f"select source, '{k}' as kind, len({v}) as n from ({_TEXTS})" for k, v in _MENTIONS.items()) + ") where n > 0 group by source, kind")
 def job_contact_scan(spark, sf):
-    docs = view(spark, sf, "documents")
-    return docs.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.count(X.first(F.col("text"), X.EMAIL)).alias("with_email"), F.count(X.head(F.filter(X.every(F.col("text"), X.PHONE), lambda c: X.digits(c) >= 8))).alias("with_phone"))
+    """Mentions by source and kind, over documents and turns. Amounts, whose pattern looks around, are left to `mentions`: no SQL states them."""
+    docs, turns = view(spark, sf, "documents").select("doc_id", "source", "text"), view(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit("conversations").alias("source"), "text")
+    found = mentions(docs.union(turns), *_MENTIONS)
+    return found.groupBy("source", "kind").agg(F.count(F.lit(1)).alias("mentions"), F.count_if(F.col("pos") == 0).alias("texts"))
 
 
 _PARSED = "coalesce(try_strptime(answer, '%d/%m/%Y'), try_strptime(answer, '%Y-%m-%d'))"
@@ -167,10 +192,14 @@ def qa_first_confident(answers: DataFrame) -> DataFrame:
 
 def typed_output(answers: DataFrame) -> DataFrame:
     """Six typed columns, currency of the total, and how many fields have a value."""
-    wide = qa_first_confident(answers).groupBy("doc_id").pivot("field", list(FIELDS)).agg(F.first("answer"))
+    return typed(qa_first_confident(answers).groupBy("doc_id").pivot("field", list(FIELDS)).agg(F.first("answer")))
+
+
+def typed(wide: DataFrame, *more: Column) -> DataFrame:
+    """Typed columns from an answer column for each field."""
     text = lambda f: F.coalesce(f, F.lit(""))
     known = reduce(lambda a, b: a + b, (F.when(text(f) != "", 0.8).otherwise(0.0) for f in FIELDS))
-    return wide.select("doc_id", text("Invoice_Number").alias("invoice_number"), X.parse_date(F.col("Invoice_Date")).alias("invoice_date"), X.parse_date(F.col("Due_Date")).alias("due_date"), text("Issuer_Name").alias("issuer_name"), text("Client_Name").alias("recipient_name"), X.parse_amount_decimal(F.col("Total")).alias("total_amount"), X.infer_currency(F.col("Total")).alias("currency"), F.round(known / len(FIELDS), 6).alias("mean_confidence"))
+    return wide.select("doc_id", text("Invoice_Number").alias("invoice_number"), X.parse_date(F.col("Invoice_Date")).alias("invoice_date"), X.parse_date(F.col("Due_Date")).alias("due_date"), text("Issuer_Name").alias("issuer_name"), text("Client_Name").alias("recipient_name"), X.parse_amount_decimal(F.col("Total")).alias("total_amount"), X.infer_currency(F.col("Total")).alias("currency"), F.round(known / len(FIELDS), 6).alias("mean_confidence"), *more)
 
 
 _FIRST = f"select doc_id, field, answer from (select *, row_number() over (partition by doc_id, field order by q_rank) as k from v_qa where trim(answer) <> '' and score >= {QA_LEAST}) where k = 1"
@@ -198,9 +227,21 @@ def qa_merge_typed_output(spark, sf):
     return typed_output(view(spark, sf, "v_qa"))
 
 
-@register("job_type_invoices", f"select currency, count(*) as invoices, count(total_amount) as with_amount, count(due_date) as with_due_date, sum(total_amount) as amount from ({_TYPED}) group by currency")
+_REASONS = "concat_ws(',', " + ", ".join(f"case when {c} is null then '{FIELDS[f]}: not answered' end" for c, f in zip("nduict", FIELDS)) + ", case when d is not null and invoice_date is null then 'invoice_date: not a date' end, case when u is not null and due_date is null then 'due_date: not a date' end, case when t is not null and total_amount is null then 'total_amount: not an amount' end)"
+
+
+def typed_and_rejected(answers: DataFrame) -> DataFrame:
+    """typed_output with `reason`: empty for the typed table; rows with one, or several, make the reject table."""
+    wide = qa_first_confident(answers).groupBy("doc_id").pivot("field", list(FIELDS)).agg(F.first("answer"))
+    reasons = [F.when(F.col(f).isNull(), f"{name}: not answered") for f, name in FIELDS.items()]
+    for f, parse, what in (("Invoice_Date", X.parse_date, "a date"), ("Due_Date", X.parse_date, "a date"), ("Total", X.parse_amount_decimal, "an amount")):
+        reasons.append(F.when(F.col(f).isNotNull() & parse(F.col(f)).isNull(), f"{FIELDS[f]}: not {what}"))
+    return typed(wide, F.concat_ws(",", *reasons).alias("reason"))
+
+
+@register("job_type_invoices", _TYPED.replace(" as mean_confidence", f" as mean_confidence, {_REASONS} as reason"))
 def job_type_invoices(spark, sf):
-    return typed_output(view(spark, sf, "v_qa")).groupBy("currency").agg(F.count(F.lit(1)).alias("invoices"), F.count("total_amount").alias("with_amount"), F.count("due_date").alias("with_due_date"), F.sum("total_amount").alias("amount"))
+    return typed_and_rejected(view(spark, sf, "v_qa"))
 
 
 @register("confidence_map", f"select doc_id, f.field, case when a.answer is not null then 0.8 else 0.0 end as confidence from (select distinct doc_id from ({_FIRST})) d cross join (select unnest({list(FIELDS)}) as field) f left join ({_FIRST}) a using (doc_id, field)")
@@ -285,9 +326,12 @@ def parse_generated_json(spark, sf):
     return rows.select("doc_id", F.try_element_at(m, F.lit("raw_output")).alias("raw_output"), F.try_element_at(m, F.lit("total")).alias("total"))
 
 
-@register("sink_json", f"select doc_id, '{{\"field\":\"' || field || '\",\"answer\":\"' || answer || '\"}}' as json from ({_FIRST})")
+@register("sink_json", f"select doc_id, '{{\"doc_id\":' || doc_id || ',\"field\":\"' || field || '\",\"answer\":\"' || answer || '\"}}' as json from ({_FIRST})")
 def sink_json(spark, sf):
-    return qa_first_confident(view(spark, sf, "v_qa")).select("doc_id", F.to_json(F.struct("field", "answer")).alias("json"))
+    """A JSON record for each answer, written and read back as lines."""
+    path = new_path(spark, "fields")
+    qa_first_confident(view(spark, sf, "v_qa")).select("doc_id", "field", "answer").write.json(path)
+    return spark.read.text(path).select(F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"), F.col("value").alias("json"))
 
 
 @register("text_source_choice", "select doc_id, case when content_type = 'application/pdf' and length(trim(native)) > 50 then 'native' else 'ocr' end as source from (select d.doc_id, content_type, repeat(filename, cast(d.doc_id % 6 as int)) as native from v_docs d)")
