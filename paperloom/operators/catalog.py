@@ -92,19 +92,28 @@ def validate_extension() -> Column:
 def summary(docs: DataFrame, classes: DataFrame, extracts: DataFrame, recent: int = 5) -> DataFrame:
     """One row per owner: totals, dominant label, invoice sum and newest documents.
 
-    All parts come from one pass over the joined rows: a conditional aggregate, then one window per
-    part on keys of the same hash partitioning.
+    The joined rows are read once: counts by owner and label, then sums and the commonest label of an
+    owner from those, so a hot owner is summed before the second shuffle. The newest documents come
+    from a window over the documents alone.
     """
-    rows = with_children(docs, classes, extracts)
-    totals = rows.groupBy("owner_id").agg(
-        F.count(F.lit(1)).alias("uploads"),
-        F.count_if(F.col("status") == "done").alias("processed"),
-        F.count_if(F.col("status") == "error").alias("errors"),
-        F.count_if(F.coalesce(F.col("predicted_label") == "invoice", F.lit(False))).alias("invoices"),
-        F.sum("total_amount").cast("string").alias("recent_invoice_total"),
+    label = F.col("predicted_label")
+    counted = with_children(docs, classes, extracts).groupBy("owner_id", "predicted_label").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("status") == "done").alias("done"),
+        F.count_if(F.col("status") == "error").alias("error"),
+        F.sum("total_amount").alias("amount"),
+    )
+    totals = counted.groupBy("owner_id").agg(
+        F.sum("n").alias("uploads"),
+        F.sum("done").alias("processed"),
+        F.sum("error").alias("errors"),
+        F.sum(F.when(label == "invoice", F.col("n")).otherwise(0)).alias("invoices"),
+        F.sum("amount").cast("string").alias("recent_invoice_total"),
+        F.min_by(label, F.when(label.isNotNull(), F.struct(-F.col("n"), label))).alias("dominant_label"),
+        F.max(F.when(label.isNotNull(), F.col("n"))).alias("dominant_count"),
     )
     newest = ranked(docs, "newest").filter(F.col("place") <= recent).groupBy("owner_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "filename"))), lambda r: r["filename"]), ",").alias("recent_activity"))
-    return totals.join(dominant_label(rows), "owner_id", "left").join(newest, "owner_id", "left")
+    return totals.join(newest, "owner_id", "left")
 
 
 def dominant_label(rows: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 from ..plans.register import Registry
 from ..plans.views import view
+from ..sources.scratch import stored
 
 register = Registry()
 VOCABULARY = 300
@@ -42,7 +43,7 @@ def tfidf_fit(tf: DataFrame, n_docs: DataFrame, k: int = VOCABULARY) -> DataFram
 
 
 def tfidf_transform(tf: DataFrame, model: DataFrame) -> DataFrame:
-    """(doc_id, term, weight): (1 + ln tf) * idf, each document of length 1. The model has k rows."""
+    """(doc_id, term, weight): (1 + ln tf) * idf, each document of length 1. The model has k rows. Store tf first: the model reads it too."""
     raw = tf.join(F.broadcast(model), "term").select("doc_id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
     return raw.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))).drop("w")
 
@@ -92,14 +93,14 @@ def q_tfidf_fit(spark, sf):
 
 @register("tfidf_transform", f"select doc_id, term, round(w / sqrt(sum(w * w) over (partition by doc_id)), 7) as weight from (select t.doc_id, t.term, (1 + ln(tf)) * idf as w from ({_TF}) t join ({_IDF}) m on m.term = t.term)")
 def q_tfidf_transform(spark, sf):
-    tf = _tf(spark, sf)
+    tf = stored(_tf(spark, sf), "tf")
     return tfidf_transform(tf, tfidf_fit(tf, _n(spark, sf))).select("doc_id", "term", F.round("weight", 7).alias("weight"))
 
 
 @register("tfidf_bigrams")
 def tfidf_bigrams(spark, sf):
     """Uni- and bigrams with Spark's English stop words."""
-    tf = terms(view(spark, sf, "documents"), STOP("english"), 2)
+    tf = stored(terms(view(spark, sf, "documents"), STOP("english"), 2), "tf")
     return tfidf_transform(tf, tfidf_fit(tf, _n(spark, sf), 750)).groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.round(F.sum("weight"), 4).alias("weight"))
 
 
