@@ -1,8 +1,8 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import bpe, chat, embed_dedup, exact_dedup, merkle, mixing, pii, quality, secret_scan, sharding, simhash, whitening
+from . import bpe, chat, embed_dedup, exact_dedup, lm, merkle, mixing, pii, quality, secret_scan, sharding, simhash, whitening
 
-MODULES = (sharding, exact_dedup, mixing, chat, pii, secret_scan, bpe, quality, simhash, embed_dedup, merkle, whitening)
+MODULES = (sharding, exact_dedup, mixing, chat, pii, secret_scan, bpe, quality, simhash, embed_dedup, merkle, whitening, lm)
 
 
 def queries():

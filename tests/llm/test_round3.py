@@ -3,13 +3,16 @@ texts, ties, repeated rows, no rows, clashing names."""
 
 import hashlib
 import math
+import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.llm import merkle, whitening
+from paperloom.llm import lm, merkle, whitening
 
 LEAVES = "id long, source string, leaf string, claim string"
 
@@ -186,3 +189,81 @@ def test_inertia():
     assert whitening.inertia(*whitening.tridiagonal(a), shifts).tolist() == [(np.linalg.eigvalsh(a) < s).sum() for s in shifts]
     parts = whitening.intervals(a, 12)
     assert sum(n for *_, n in parts) >= 12 and all(((np.linalg.eigvalsh(a) > low) & (np.linalg.eigvalsh(a) < high)).sum() == n for low, high, n in parts)
+
+
+def naive_katz(rows, many):
+    """[(n_tokens, n_known, base, score, {context: probabilities sum})] of (train, text) rows by plain dictionaries."""
+    low = {c: c + 32 for c in range(65, 91)}
+    cut = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)), None]
+    docs = [(use, cut(t)) for use, t in rows]
+    one, two = Counter(), Counter()
+    for use, ws in docs:
+        if use:
+            one.update(ws)
+            two.update(zip(["<start>", *ws], ws))
+    n, total = sum(one.values()), sum(one.values()) + len(one) + 1
+    context = Counter()
+    after = {}
+    for (v, w), c in two.items():
+        context[v] += c
+        after.setdefault(v, {})[w] = c
+    d = lm.discounts([sum(c == r for c in two.values()) for r in range(1, lm.K + 2)])
+    p1 = lambda w: (one[w] + 1) / total
+    cut_off = lambda c: d[min(c, lm.K + 1)]
+
+    def p2(v, w):
+        seen = after.get(v)
+        if not seen:
+            return p1(w)
+        freed = sum((1 - cut_off(c)) * c for c in seen.values())
+        den = context[v] + (freed == 0 or context[v] >= many)
+        if w in seen:
+            return cut_off(seen[w]) * seen[w] / den
+        rest = 1 - sum(cut_off(c) * c / den for c in seen.values())
+        return rest / (1 - sum(p1(x) for x in seen)) * p1(w)
+
+    for v in [*after][:40]:  # one class stands for all unknown words
+        assert abs(sum(p2(v, w) for w in [*one, "an unknown word"]) - 1) < 1e-9
+    return n, [(len(ws), sum(one[w] > 0 for w in ws), sum(math.log10(p1(w)) for w in ws), sum(math.log10(p2(v, w)) for v, w in zip(["<start>", *ws], ws))) for _, ws in docs]
+
+
+LM_SIZES = {"small": {}, "many blocks": {"block": 300, "bucket": 512, "chunk": 7, "docs": 5}, "rare words": {"block": 2000, "bucket": 256, "common": 5, "least_local": 2, "many": 40}, "no heavy pair": {"heavy": 0, "bucket": 128, "block": 500}}
+
+
+@pytest.mark.parametrize("name", LM_SIZES)
+def test_lm(spark, name):
+    sizes = lm.Sizes(**({"many": 60} | LM_SIZES[name]))
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(60)] + ["The", "the", "été", "漢字", " x", "Ünder"]
+    texts = [" ".join(words[min(int(rng.expovariate(0.12)), len(words) - 1)] + rng.choice(["", "", "", ".", "!"]) for _ in range(rng.randint(1, 90))) for _ in range(150)]
+    texts += [None, "", " \t\x0b\n", "same pair " * 400, *["a copy of a text"] * 30, "never seen words here", texts[0], texts[0].upper(), "x" * 5000]
+    rows = [(None if i == 7 else i // 2, t, i % 5 != 1, "x") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, use boolean, score string").repartition(4)
+    model = lm.fit(df, F.col("use"), sizes=sizes)
+    got = lm.scores(model).collect()
+    n, want = naive_katz([(r[2], r[1]) for r in rows], sizes.many)
+    assert {r.train_tokens for r in got} == {n}
+    line = lambda i, held, a, b, base, score: (-1 if i is None else i, held, a, b, round(base, 6) + 0.0, round(score, 6) + 0.0)
+    assert sorted(line(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.base_score, r.score) for r in got) == sorted(line(r[0], not r[2], *w) for r, w in zip(rows, want))
+    assert bool(len(model.words.heavy)) == (name != "no heavy pair") and (name != "rare words" or model.hot)
+
+
+def test_lm_of_odd_tables(spark):
+    kind = "doc_id string, text string, use boolean"
+    assert lm.scores(lm.fit(spark.createDataFrame([], kind), F.col("use"))).count() == 0
+    untrained = lm.scores(lm.fit(spark.createDataFrame([("a", "b c", False), ("a", None, None)], kind), F.col("use"))).collect()
+    assert sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in untrained) == [("a", True, 1, 0, 0, 0.0, 0.0), ("a", True, 3, 0, 0, 0.0, 0.0)]
+    long = lm.scores(lm.fit(spark.createDataFrame([("a", "ab cd " * 700_000, True), ("b", "ab", True)], kind), F.col("use"))).collect()
+    assert {r.doc_id: r.n_tokens for r in long} == {"a": 1_400_001, "b": 2}
+
+
+def test_discounts():
+    d = lm.discounts([1000, 400, 220, 140, 100, 75])
+    assert d[0] == d[6] == 1 and all(0 < a < 1 for a in d[1:6])
+    assert lm.discounts([10, 0, 0, 0, 0, 0])[1:6].tolist() == [0.5, 0.75, 2.5 / 3, 0.875, 0.9]
+
+
+def test_lm_held_out_gain(spark):
+    """Pairs must help where they were not learned from."""
+    rows = [r for r in lm.op13_lm(spark, "/root/testdata/sf0.001").collect() if r.held_out]
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
