@@ -29,12 +29,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import over_texts, scratch, table, written
+from .common import over_texts, scratch, slices, table, written
 
 K = 5
 END, BOS = (xxhash.xxh3_64_intdigest(b" " * n) >> 2 for n in (1, 2))  # no word holds a blank
@@ -48,7 +49,7 @@ class Sizes:
     common: int = 1 << 18
     heavy: int = 1 << 16
     least_local: int = 8
-    block: int = 1 << 20
+    block: int = 4 << 20
     bucket: int = 1 << 20
     chunk: int = 512
     docs: int = 500_000
@@ -77,33 +78,21 @@ class Block:
 
 
 def blocks(batches, size: int):
-    """Blocks of about `size` tokens from batches of (id, train, text)."""
-    ids, train, tokens, ends = [], [], [], []
-
-    def made():
-        coded = pa.array(tokens, pa.binary()).dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        cur = coded.indices.to_numpy().astype(np.int64)
-        lengths = np.diff(ends, prepend=0)
-        first = np.array([0, *ends[:-1]])
-        known = hashes(words)
-        known[words.index(b" ")] = END
-        prev = np.concatenate([[0], cur[:-1]])
-        prev[first] = len(words)
-        return Block(pa.concat_arrays(ids), np.array(train), np.append(known, BOS), cur, prev, np.repeat(np.arange(len(ends)), lengths))
-
-    for b in batches:
-        for k, (use, text) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
-            tokens += (text or "").encode("utf-8", "replace").lower().split()
-            tokens.append(b" ")
-            ids.append(b.column(0).slice(k, 1))
-            train.append(bool(use))
-            ends.append(len(tokens))
-            if len(tokens) >= size:
-                yield made()
-                ids, train, tokens, ends = [], [], [], []
-    if ends:
-        yield made()
+    """Blocks of up to `size` bytes of text, or one text, from batches of (id, train, text)."""
+    for big in batches:
+        for b in slices(big, 2, big.num_rows, size):
+            words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(b.column(2), "")))
+            doc, words = pc.list_parent_indices(words), words.flatten()
+            whole = pc.not_equal(pc.binary_length(words), 0)  # what is before a leading blank is empty
+            doc, coded = doc.filter(whole).to_numpy(), words.filter(whole).dictionary_encode()
+            known = hashes(coded.dictionary.cast(pa.binary()).to_pylist())
+            n, m = len(known), b.num_rows
+            ends = np.cumsum(np.bincount(doc, minlength=m) + 1) - 1
+            cur = np.full(len(doc) + m, n)  # an end after each document
+            cur[np.delete(np.arange(len(cur)), ends)] = coded.indices.to_numpy()
+            prev = np.append(n + 1, cur[:-1])
+            prev[ends[:-1] + 1] = n + 1
+            yield Block(b.column(0), pc.fill_null(b.column(1), False).to_numpy(zero_copy_only=False), np.append(known, [END, BOS]), cur, prev, np.repeat(np.arange(m), np.diff(ends, prepend=-1)))
 
 
 def packed(a: np.ndarray) -> bytes:
@@ -136,12 +125,13 @@ def places(of: np.ndarray, among: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    """Common words: sorted hashes and their counts; the context mark is one of them. N, V, buckets.
+    """Common words, the context mark among them: sorted hashes, each one's code, and counts by code. N, V, buckets.
 
-    Codes are places among the sorted hashes, so they are below len(hashes), and rare words keep hashes beyond.
+    A code is a rank by frequency, so those met most are small; a rare word's is its hash, moved beyond them.
     """
 
     hashes: np.ndarray
+    codes: np.ndarray
     counts: np.ndarray
     n: int
     v: int
@@ -157,7 +147,7 @@ class Words:
 
     def coded(self, word: np.ndarray) -> np.ndarray:
         at = places(word, self.hashes)
-        return np.where(at >= 0, at, word + len(self.hashes))
+        return np.where(at >= 0, self.codes[at], word + len(self.hashes))
 
     def count(self, code: np.ndarray) -> np.ndarray:
         """Training count of common codes; -1 for rare words."""
@@ -195,12 +185,12 @@ def fit_words(counted: DataFrame, sizes: Sizes) -> Words:
     whole = words.agg(F.sum(F.when(~mark, F.col("c"))).alias("n"), F.count_if(~mark).alias("v"), F.sum(F.when(mark, F.col("c"))).alias("docs")).first()
     n, v, n_docs = (int(whole[c] or 0) for c in ("n", "v", "docs"))
     top = words.filter(~mark).orderBy(F.desc("c"), "a").limit(sizes.common).toArrow()
-    known = np.concatenate([top["a"].to_numpy(), [BOS]]).astype(np.int64)
+    known, counts = (np.append(top[c].to_numpy(), x).astype(np.int64) for c, x in (("a", BOS), ("c", n_docs)))
     order = np.argsort(known)
-    model = Words(known[order], np.concatenate([top["c"].to_numpy(), [n_docs]]).astype(np.int64)[order], n, v, n_docs, max(1, -(-n * 7 // 6 // sizes.bucket)), np.zeros(0, np.int64), np.zeros(0, np.int64), sizes)
+    model = Words(known[order], order, counts, n, v, n_docs, max(1, -(-n * 7 // 6 // sizes.bucket)), np.zeros(0, np.int64), np.zeros(0, np.int64), sizes)
     pairs = counted.filter("b is not null").orderBy(F.desc("c"), "a", "b").limit(sizes.heavy).toArrow()
-    a, b = (places(pairs[c].to_numpy(), model.hashes) for c in ("a", "b"))
-    keep = (a >= 0) & (b >= 0) & (model.counts[a] >= sizes.many)
+    a, b = (model.coded(pairs[c].to_numpy()) for c in ("a", "b"))
+    keep = (b < len(model.hashes)) & (model.count(a) >= sizes.many)
     model.heavy = np.sort(a[keep] * len(model.hashes) + b[keep])
     return model
 
@@ -252,7 +242,7 @@ def packs(docs: DataFrame, model: Words, id_kind: str) -> DataFrame:
             base = np.bincount(x.doc[here], weights=np.log10(cw[x.cur[here]] + 1.0), minlength=m)
             tokens, known = np.bincount(x.doc, minlength=m), np.bincount(x.doc[here], minlength=m)
             kind = pa.list_(x.ids.type)
-            rows = [[-1 - block, None, None, None, None, None, x.ids.to_pylist(), (~x.train).tolist(), np.concatenate([score, base, tokens, known]).tobytes()]]
+            rows = [[-1 - block, None, None, None, None, None, x.ids.to_pylist(), (~x.train).tolist(), np.stack([score, base, tokens, known]).astype(float).tobytes()]]
             # pairs in order of bucket, context and word; their documents in the same order
             bucket = model.bucket(code[v], code[w])
             order = np.lexsort([code[w], code[v], bucket])

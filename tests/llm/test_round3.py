@@ -252,7 +252,7 @@ def test_lm_of_odd_tables(spark):
     kind = "doc_id string, text string, use boolean"
     assert lm.scores(lm.fit(spark.createDataFrame([], kind), F.col("use"))).count() == 0
     untrained = lm.scores(lm.fit(spark.createDataFrame([("a", "b c", False), ("a", None, None)], kind), F.col("use"))).collect()
-    assert sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in untrained) == [("a", True, 1, 0, 0, 0.0, 0.0), ("a", True, 3, 0, 0, 0.0, 0.0)]
+    assert sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in untrained) == [("a", True, 1, 0, 0, 0, 0), ("a", True, 3, 0, 0, 0, 0)]
     long = lm.scores(lm.fit(spark.createDataFrame([("a", "ab cd " * 700_000, True), ("b", "ab", True)], kind), F.col("use"))).collect()
     assert {r.doc_id: r.n_tokens for r in long} == {"a": 1_400_001, "b": 2}
 
