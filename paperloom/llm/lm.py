@@ -49,10 +49,10 @@ class Sizes:
     common: int = 1 << 18
     heavy: int = 1 << 16
     least_local: int = 8
-    block: int = 4 << 20
-    bucket: int = 1 << 20
-    chunk: int = 512
-    docs: int = 500_000
+    block: int = 2 << 20
+    bucket: int = 1 << 19
+    chunk: int = 256
+    docs: int = 100_000
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
