@@ -36,7 +36,7 @@ def shared_root(spark: SparkSession) -> str:
 _open: list[list[DataFrame]] = []
 
 
-def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str, keep: bool = False, codec: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back.
 
     This cuts the lineage (a lost executor costs no recomputation of what is above) and gives
@@ -45,7 +45,7 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/paperloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**({"compression": codec} if codec else {})).parquet(path)
     jpath, fs = _file(spark, path)
     fs.deleteOnExit(jpath)
     out = spark.read.schema(df.schema).parquet(path)

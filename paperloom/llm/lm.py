@@ -49,10 +49,10 @@ class Sizes:
     common: int = 1 << 18
     heavy: int = 1 << 16
     least_local: int = 8
-    block: int = 2 << 20
+    block: int = 3 << 20
     bucket: int = 1 << 19
-    chunk: int = 256
-    docs: int = 100_000
+    chunk: int = 512
+    docs: int = 1_000_000
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
@@ -183,11 +183,12 @@ def fit_words(counted: DataFrame, sizes: Sizes) -> Words:
     words = counted.filter("b is null")
     mark = F.col("a") == BOS
     whole = words.agg(F.sum(F.when(~mark, F.col("c"))).alias("n"), F.count_if(~mark).alias("v"), F.sum(F.when(mark, F.col("c"))).alias("docs")).first()
+    partitions = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n, v, n_docs = (int(whole[c] or 0) for c in ("n", "v", "docs"))
     top = words.filter(~mark).orderBy(F.desc("c"), "a").limit(sizes.common).toArrow()
     known, counts = (np.append(top[c].to_numpy(), x).astype(np.int64) for c, x in (("a", BOS), ("c", n_docs)))
     order = np.argsort(known)
-    model = Words(known[order], order, counts, n, v, n_docs, max(1, -(-n * 7 // 6 // sizes.bucket)), np.zeros(0, np.int64), np.zeros(0, np.int64), sizes)
+    model = Words(known[order], order, counts, n, v, n_docs, max(partitions, -(-n * 7 // 6 // sizes.bucket)), np.zeros(0, np.int64), np.zeros(0, np.int64), sizes)
     pairs = counted.filter("b is not null").orderBy(F.desc("c"), "a", "b").limit(sizes.heavy).toArrow()
     a, b = (model.coded(pairs[c].to_numpy()) for c in ("a", "b"))
     keep = (b < len(model.hashes)) & (model.count(a) >= sizes.many)
@@ -217,7 +218,8 @@ def requests(docs: DataFrame, model: Words) -> DataFrame:
     return over_texts(docs, run, "bucket long, word long, c long").groupBy("bucket", "word").agg(F.sum("c").alias("c"))
 
 
-#: A document's number: its task, block in the task, and place in the block.
+#: A document's number: its task, block in the task (together: its block), and place in the block.
+DOC_BITS = 24
 PACK = "bucket long, v binary, w binary, c binary, posts binary, docs binary, ids array<{id}>, held array<boolean>, sums binary"
 NAMES = ["bucket", "v", "w", "c", "posts", "docs", "ids", "held", "sums"]
 
@@ -228,10 +230,10 @@ def packs(docs: DataFrame, model: Words, id_kind: str) -> DataFrame:
     logs = np.log10(model.heavy_counts / (model.counts[model.heavy // len(model.hashes)] + 1.0))
 
     def run(batches):
-        task = TaskContext.get().partitionId() << 40
+        task = TaskContext.get().partitionId() << 16 + DOC_BITS
         for number, x in enumerate(blocks(batches, sizes.block)):
             v, w, of = x.pairs()
-            code, block = model.coded(x.word), task + (number << 24)
+            code, block = model.coded(x.word), task + (number << DOC_BITS)
             count = np.bincount(of[x.train[x.doc]], minlength=len(v))
             cw = model.count(code)
             key = np.where((code[v] < len(model.hashes)) & (code[w] < len(model.hashes)), code[v] * len(model.hashes) + code[w], -1)
@@ -379,7 +381,7 @@ def fit(df: DataFrame, train, text_col: str = "text", id_col: str = "doc_id", si
     model.heavy, model.heavy_counts = model.heavy[count > K], count[count > K]
     words = counted.filter("b is null").select(F.col("a").alias("word"), F.col("c").alias("known"))
     rare = asked.filter("bucket >= 0").drop("c").join(words.hint("merge"), "word").select("bucket", "word", F.col("known").alias("c"))
-    stored = written(grams(packs(docs, model, kind), rare, model, kind), "grams", keep=True)
+    stored = written(grams(packs(docs, model, kind), rare, model, kind), "grams", keep=True, codec="zstd")
     small = stored.filter(F.col("kind").isin(COUNTS, HOT)).select("kind", "v", "stats")
 
     def added(batches):
@@ -405,50 +407,63 @@ def scores(model: Katz, id_col: str = "doc_id") -> DataFrame:
     base_score is that of P(w) alone.
     """
     total, rare_from, d, hot = model.words.total, len(model.words.hashes), model.d, model.hot
-    many, most = model.words.sizes.many, model.words.sizes.docs
+    many, most, n = model.words.sizes.many, model.words.sizes.docs, model.words.n
     kind = model.grams.schema["ids"].dataType.elementType.simpleString()
 
     def run(batches):
-        sums: dict[int, list[float]] = {}
+        held, size = [], 0
 
-        def rows(uid, score, base, tokens, known, ids, held):
-            columns = [pa.array(uid, pa.int64()), pa.array(score, pa.float64()), pa.array(base, pa.float64()), pa.array(tokens, pa.float64()), pa.array(known, pa.float64()), ids, held]
-            return pa.RecordBatch.from_arrays(columns, names=["uid", "score", "base", "tokens", "known", "id", "held"])
+        def settled():
+            """What is held, added up for each document: their numbers, and rows of log P, rare base, rare known."""
+            uid, of = np.unique(np.concatenate([u for u, _ in held]), return_inverse=True)
+            return uid, np.stack([np.bincount(of, weights=np.concatenate([x[i] for _, x in held]), minlength=len(uid)) for i in range(3)])
 
-        def flushed(ids: pa.DataType):
-            n, parts = len(sums), np.array(list(sums.values())).reshape(-1, 3).T
-            return rows(list(sums), parts[0], parts[1], np.zeros(n), parts[2], pa.nulls(n, ids), pa.nulls(n, pa.bool_()))
+        def rows(uid, x, ids: pa.DataType):
+            block = uid >> DOC_BITS
+            cut = np.flatnonzero(np.diff(block, prepend=-1, append=-1))
+            parts = [(int(block[i]), packed(uid[i:j] & (1 << DOC_BITS) - 1), x[:, i:j].tobytes(), None, None) for i, j in zip(cut, cut[1:])]
+            kinds = pa.int64(), pa.binary(), pa.binary(), ids, pa.list_(pa.bool_())
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*parts), kinds)], names=["block", "docs", "sums", "ids", "held"])
 
         for b in batches:
-            of_ids = b.schema.field("ids").type.value_type
-            for r in range(b.num_rows):
-                get = lambda n: b[n][r]  # noqa: E731, B023
-                if get("kind").as_py() == HOME:
-                    parts = np.frombuffer(get("sums").as_py()).reshape(4, -1)
-                    yield rows(unpacked(get("docs").as_py())[0] + np.arange(parts.shape[1]), *parts, get("ids").values, get("held").values)
-                    continue
-                v, w, count, cw, posts, docs, stats = (unpacked(get(n).as_py()) for n in ("v", "w", "c", "cw", "posts", "docs", "stats"))
+            of_ids, home = b.schema.field("ids").type, pc.equal(b["kind"], HOME)
+            if pc.any(home).as_py():
+                own = b.filter(home)
+                block = pa.array([int(unpacked(x)[0]) >> DOC_BITS for x in own["docs"].to_pylist()], pa.int64())
+                yield pa.RecordBatch.from_arrays([block, pa.nulls(len(block), pa.binary()), own["sums"], own["ids"], own["held"]], names=["block", "docs", "sums", "ids", "held"])
+            for cells in zip(*(b.filter(pc.invert(home))[n].to_pylist() for n in ("v", "w", "c", "cw", "posts", "docs", "stats"))):
+                v, w, count, cw, posts, docs, stats = map(unpacked, cells)
                 stats, start = stats.reshape(-1, K + 2), np.flatnonzero(np.diff(v, prepend=-1))
-                stats = np.stack([hot.get(a, own) for a, own in zip(v[start].tolist(), stats)])
-                log = probabilities(count, cw, stats, np.cumsum(np.diff(v, prepend=v[0]) != 0), d, total, many)
-                doc, of = np.unique(docs, return_inverse=True)
-                rare = w >= rare_from
-                add = (log, np.where(rare, np.log10(cw + 1.0), 0), (rare & (cw > 0)).astype(float))
-                for u, *more in zip(doc.tolist(), *(np.bincount(of, weights=np.repeat(x, posts), minlength=len(doc)).tolist() for x in add)):
-                    old = sums.get(u)
-                    sums[u] = more if old is None else [x + y for x, y in zip(old, more)]
-                if len(sums) >= most:
-                    yield flushed(of_ids)
-                    sums.clear()
-        if sums:
-            yield flushed(of_ids)
-
-    # sizes.docs documents at most are summed before they are sent
+                if hot:
+                    stats = np.stack([hot.get(a, own) for a, own in zip(v[start].tolist(), stats)])
+                log, rare = probabilities(count, cw, stats, np.cumsum(np.diff(v, prepend=v[0]) != 0), d, total, many), w >= rare_from
+                held.append((docs, np.repeat(np.stack([log, np.where(rare, np.log10(cw + 1.0), 0), rare & (cw > 0)]), posts, axis=1)))
+                size += len(docs)
+                if size >= 2 * most:
+                    done = settled()
+                    held[:], size = [done], len(done[0])
+                    if size >= most:
+                        yield rows(*done, of_ids)
+                        held.clear()
+                        size = 0
+        if size:
+            yield rows(*settled(), of_ids)
+
+    def whole(group: pa.Table) -> pa.Table:
+        """A block's documents: what was scored at home and what came back from buckets."""
+        at_home = group.filter(group["ids"].is_valid())
+        sums = np.frombuffer(at_home["sums"][0].as_py()).reshape(4, -1).copy()
+        back = group.filter(group["ids"].is_null())
+        for docs, x in zip(back["docs"].to_pylist(), back["sums"].to_pylist()):
+            sums[np.ix_([0, 1, 3], unpacked(docs))] += np.frombuffer(x).reshape(3, -1)
+        score, base, tokens, known = sums
+        columns = [at_home["ids"].combine_chunks().flatten(), at_home["held"].combine_chunks().flatten(), pa.array(tokens.astype(np.int64)), pa.array(known.round().astype(np.int64)), pa.array(np.full(len(score), n)), pa.array(base - tokens * np.log10(total)), pa.array(score)]
+        return pa.table(columns, names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    # a task sends a row for each block that its contexts were met in, and up to sizes.docs documents at a time
     stored = model.grams.filter(F.col("kind").isin(HOME, PAIRS)).select("kind", "v", "w", "c", "cw", "posts", "docs", "stats", "ids", "held", "sums")
-    parts = over_texts(stored, run, f"uid long, score double, base double, tokens double, known double, id {kind}, held boolean")
-    whole = parts.groupBy("uid").agg(*(F.sum(c).alias(c) for c in ("score", "base", "tokens", "known")), F.first("id", ignorenulls=True).alias("id"), F.max("held").alias("held"))
-    base = F.col("base") - F.col("tokens") * float(np.log10(total))
-    return whole.select(F.col("id").alias(id_col), F.col("held").alias("held_out"), F.col("tokens").cast("long").alias("n_tokens"), F.col("known").cast("long").alias("n_known"), F.lit(model.words.n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    parts = over_texts(stored, run, f"block long, docs binary, sums binary, ids array<{kind}>, held array<boolean>")
+    return parts.groupBy("block").applyInArrow(whole, f"{id_col} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op13_lm(spark, sf_dir):
