@@ -51,8 +51,8 @@ class Sizes:
     least_local: int = 8
     block: int = 3 << 20
     bucket: int = 1 << 19
-    chunk: int = 512
-    docs: int = 1_000_000
+    chunk: int = 256
+    docs: int = 200_000
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
