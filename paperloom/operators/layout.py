@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..plans.register import Registry
 from ..plans.views import view
+from ..sources.readers import cached
 from .boxes import KEPT_SQL, dedup_detections
 
 register = Registry()
@@ -50,43 +50,75 @@ def cluster_regions(df: DataFrame) -> DataFrame:
     return rows.withColumn("region", F.sum("new").over(order)).drop("new", "mh")
 
 
-def group_lines(df: DataFrame) -> DataFrame:
-    """(doc_id, line_no, text, box, n_tokens): first-fit lines of tokens in (center_y, xmin) order.
+LINE = ("text", "xmin", "ymin", "xmax", "ymax", "n_tokens")
+
+
+def lines_of(group: pa.Table) -> list[tuple]:
+    """First-fit lines of some tokens, in (centre, xmin) order, as rows of LINE.
 
     A token joins the first line whose mean centre is within max(6, half the median height) and that
-    is not farther than four heights aside. Each choice depends on those before, so a document is one
-    sequential group in an Arrow batch; documents are dealt out by hash.
+    is not farther than four heights aside. Each choice depends on those before. Centres rise, so a line
+    that is once too far above is never looked at again: the work is linear but for lines side by side.
+    """
+    token = list(zip(*(group[c].to_pylist() for c in ("ymin", "ymax", "xmin", "xmax", "tok_no", "text"))))
+    token.sort(key=lambda t: ((t[0] + t[1]) / 2, t[2], t[4]))
+    height = sorted(max(1.0, t[1] - t[0]) for t in token)[len(token) // 2]
+    near, aside = max(6.0, height * 0.5), height * COLUMN_GAP
+    lines, open_ = [], []
+    for t in token:
+        cy = (t[0] + t[1]) / 2
+        open_ = [x for x in open_ if abs(cy - x[0] / len(x[3])) <= near]
+        line = next((x for x in open_ if t[2] <= x[2] + aside and t[3] >= x[1] - aside), None)
+        if line is None:
+            line = [0.0, t[2], t[3], []]
+            open_.append(line)
+            lines.append(line)
+        line[0], line[1], line[2] = line[0] + cy, min(line[1], t[2]), max(line[2], t[3])
+        line[3].append(t)
+    rows = []
+    for _, low, high, held in lines:
+        held.sort(key=lambda t: t[2])
+        rows.append((" ".join(t[5] for t in held), low, min(t[0] for t in held), high, max(t[1] for t in held), len(held)))
+    rows.sort(key=lambda r: ((r[2] + r[4]) / 2, r[1]))
+    return rows
+
+
+def group_lines(df: DataFrame) -> DataFrame:
+    """(doc_id, line_no, text, box, n_tokens): the lines of each document.
+
+    A document is one sequential group in an Arrow batch; documents are dealt out by hash.
     """
 
     def fold(group: pa.Table) -> pa.Table:
-        cy = (group["ymin"].to_numpy() + group["ymax"].to_numpy()) / 2
-        order = np.lexsort([group["tok_no"].to_numpy(), group["xmin"].to_numpy(), cy])
-        cy, x0, x1, y0, y1 = cy[order], *(group[c].to_numpy()[order] for c in ("xmin", "xmax", "ymin", "ymax"))
-        height = np.sort(np.maximum(1.0, y1 - y0))[len(order) // 2]
-        near, aside = max(6.0, height * 0.5), height * COLUMN_GAP
-        total, size, low, high = (np.zeros(len(order)) for _ in range(4))
-        line, n = np.zeros(len(order), dtype=np.int64), 0
-        for k in range(len(order)):
-            fits = (np.abs(cy[k] - total[:n] / size[:n]) <= near) & (x0[k] <= high[:n] + aside) & (x1[k] >= low[:n] - aside)
-            at = int(fits.argmax()) if fits.any() else n
-            if at == n:
-                low[n], high[n], n = x0[k], x1[k], n + 1
-            line[k], total[at], size[at] = at, total[at] + cy[k], size[at] + 1
-            low[at], high[at] = min(low[at], x0[k]), max(high[at], x1[k])
-        rows = pd.DataFrame({"line": line, "xmin": x0, "xmax": x1, "ymin": y0, "ymax": y1, "text": group["text"].to_pandas().to_numpy()[order]})
-        made = rows.sort_values(["line", "xmin"], kind="stable").groupby("line").agg(text=("text", " ".join), xmin=("xmin", "min"), ymin=("ymin", "min"), xmax=("xmax", "max"), ymax=("ymax", "max"), n_tokens=("text", "size"))
-        made = made.assign(cy=(made["ymin"] + made["ymax"]) / 2).sort_values(["cy", "xmin"], kind="stable").drop(columns="cy")
-        made.insert(0, "line_no", np.arange(len(made)))
-        made.insert(0, "doc_id", group["doc_id"][0].as_py())
-        return pa.Table.from_pandas(made, preserve_index=False)
+        made = lines_of(group)
+        return pa.table({"doc_id": [group["doc_id"][0].as_py()] * len(made), "line_no": range(len(made)), **dict(zip(LINE, zip(*made)))})
 
     return df.groupBy("doc_id").applyInArrow(fold, "doc_id long, line_no long, text string, xmin double, ymin double, xmax double, ymax double, n_tokens long")
 
 
+def lines_within(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, xmin, ymin, xmax, ymax, n_tokens, lines) for each group of tokens: its box, and its lines found among its own tokens.
+
+    Lines that are blank go, and groups without a line left. Keys are longs; null ones are kept.
+    """
+
+    def fold(group: pa.Table) -> pa.Table:
+        lines = [r[0] for r in lines_of(group) if r[0].strip()]
+        if not lines:
+            return pa.table({f.name: pa.array([], f.type) for f in shape}, schema=shape)
+        edge = lambda c, of: [of(group[c].to_numpy())]
+        box = {"xmin": edge("xmin", np.min), "ymin": edge("ymin", np.min), "xmax": edge("xmax", np.max), "ymax": edge("ymax", np.max)}
+        return pa.table({**{k: [group[k][0].as_py()] for k in keys}, **box, "n_tokens": [group.num_rows], "lines": [lines]}, schema=shape)
+
+    shape = pa.schema([*((k, pa.int64()) for k in keys), *((c, pa.float64()) for c in ("xmin", "ymin", "xmax", "ymax")), ("n_tokens", pa.int64()), ("lines", pa.list_(pa.string()))])
+    typed = df.select(*(F.col(k).cast("long").alias(k) for k in keys), "tok_no", "text", "xmin", "ymin", "xmax", "ymax")
+    return typed.groupBy(*keys).applyInArrow(fold, ", ".join(f"{k} long" for k in keys) + ", xmin double, ymin double, xmax double, ymax double, n_tokens long, lines array<string>")
+
+
 def region_bbox(df: DataFrame) -> DataFrame:
-    """Box, text and line count of each region; its lines are grouped within it."""
-    keyed = cluster_regions(df)
-    return keyed.groupBy("doc_id", "region").agg(*(F.min(c).alias(c) for c in ("xmin", "ymin")), *(F.max(c).alias(c) for c in ("xmax", "ymax")), F.count(F.lit(1)).alias("n_tokens"))
+    """Box, text and line count of each region; its lines are grouped within it, and regions without text go."""
+    made = lines_within(cluster_regions(df), ["doc_id", "region"])
+    return made.select("doc_id", "region", "xmin", "ymin", "xmax", "ymax", "n_tokens", F.array_join("lines", "\n").alias("text"), F.size("lines").alias("line_count"))
 
 
 _T = """select doc_id, tok_no, text, cast((doc_id * 31 + tok_no * 17) % 100 as double) / 100 as confidence, cast((tok_no % 10) * 50 as double) as xmin, cast((tok_no % 10) * 50 as double) + 5.0 * length(text) as xmax,
@@ -95,6 +127,11 @@ _T = """select doc_id, tok_no, text, cast((doc_id * 31 + tok_no * 17) % 100 as d
 _K = f"select * from ({_T}) where confidence > 0.3"
 _R = f"select doc_id, tok_no, xmin, xmax, ymin, ymax, sum(case when ymin - p > 30 then 1 else 0 end) over (partition by doc_id order by ymin, xmin, tok_no) as region from (select *, lag(ymax) over (partition by doc_id order by ymin, xmin, tok_no) as p from ({_K}))"
 
+#: Lines of tokens at one height, 12 high: first fit starts another where the gap to all before exceeds four heights.
+_LINES_SQL = """(select {keys}, ymin, min(xmin) as xmin, max(xmax) as xmax, max(ymax) as ymax, string_agg(text, ' ' order by xmin, tok_no) as text, count(*) as n from (
+ select *, sum(case when xmin > before + 48 then 1 else 0 end) over (partition by {keys}, ymin order by xmin, tok_no) as island from (
+  select *, max(xmax) over (partition by {keys}, ymin order by xmin, tok_no rows between unbounded preceding and 1 preceding) as before from ({of}))) group by {keys}, ymin, island)"""
+
 
 def _tok(spark, sf):
     return filter_tokens(tokens(view(spark, sf, "documents")))
@@ -125,7 +162,7 @@ def cluster_regions_by_gap(spark, sf):
     return cluster_regions(_tok(spark, sf)).select("doc_id", "tok_no", "region")
 
 
-@register("region_bbox", f"select doc_id, region, min(xmin) as xmin, min(ymin) as ymin, max(xmax) as xmax, max(ymax) as ymax, count(*) as n_tokens from ({_R}) group by doc_id, region")
+@register("region_bbox", f"select doc_id, region, min(xmin) as xmin, min(ymin) as ymin, max(xmax) as xmax, max(ymax) as ymax, cast(sum(n) as bigint) as n_tokens, string_agg(text, chr(10) order by ymin, xmin) as text, count(*) as line_count from {_LINES_SQL.format(keys='doc_id, region', of=f'select k.*, r.region from ({_K}) k join ({_R}) r using (doc_id, tok_no)')} group by doc_id, region")
 def q_region_bbox(spark, sf):
     return region_bbox(_tok(spark, sf))
 
@@ -136,10 +173,10 @@ def q_group_lines(spark, sf):
     return group_lines(tokens(view(spark, sf, "documents")))
 
 
-@register("line_bbox", f"select doc_id, ymin, min(xmin) as xmin, max(xmax) as xmax, max(ymax) as ymax, string_agg(text, ' ' order by xmin, tok_no) as text from ({_K}) group by doc_id, ymin")
+@register("line_bbox", f"select doc_id, ymin, xmin, xmax, ymax, text from {_LINES_SQL.format(keys='doc_id', of=_K)}")
 def line_bbox(spark, sf):
-    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("xmin", "tok_no", "text"))), lambda t: t["text"]), " ")
-    return _tok(spark, sf).groupBy("doc_id", "ymin").agg(F.min("xmin").alias("xmin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"), ordered.alias("text"))
+    """Tokens of low confidence are gone, so wide gaps cut rows into several lines."""
+    return group_lines(_tok(spark, sf)).select("doc_id", "ymin", "xmin", "xmax", "ymax", "text")
 
 
 @register("raw_text", "select doc_id, string_agg(text, chr(10) order by line_no) as raw_text from v_invoice_lines group by doc_id")
@@ -147,27 +184,52 @@ def raw_text(spark, sf):
     return view(spark, sf, "v_invoice_lines").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda r: r["text"]), "\n").alias("raw_text"))
 
 
-_REGION_LINES = "'\"' || text || '\"', ',' order by line_no"
+CELL = 64
+
+
+def tokens_in_boxes(boxes: DataFrame, tokens: DataFrame, cell: int = CELL) -> DataFrame:
+    """Tokens (doc_id, tok_no, text, box) with each box (image_id, region_index, x1, y1, x2, y2) that holds their centre, borders included.
+
+    Boxes are entered in all cells of a grid that they touch, a token in the one of its centre, so the join is on
+    equal cells; the exact test comes after. A token in several boxes comes once for each. No box needs more cells
+    than its image has.
+    """
+    at = lambda c: F.floor(F.col(c) / cell)
+    entered = boxes.filter("x1 <= x2 and y1 <= y2").select("image_id", "region_index", "x1", "y1", "x2", "y2", F.explode(F.sequence(at("x1"), at("x2"))).alias("cx"))
+    entered = entered.select("*", F.explode(F.sequence(at("y1"), at("y2"))).alias("cy"))
+    mid = tokens.withColumn("mx", (F.col("xmin") + F.col("xmax")) / 2).withColumn("my", (F.col("ymin") + F.col("ymax")) / 2)
+    placed = mid.withColumn("cx", at("mx")).withColumn("cy", at("my")).withColumnRenamed("doc_id", "image_id")
+    met = placed.join(entered.hint("merge"), ["image_id", "cx", "cy"])
+    return met.filter(F.col("mx").between(F.col("x1"), F.col("x2")) & F.col("my").between(F.col("y1"), F.col("y2"))).select("image_id", "region_index", "tok_no", "text", "xmin", "ymin", "xmax", "ymax")
 
 
-def detect_to_regions(boxes: DataFrame, lines: DataFrame) -> DataFrame:
-    """(image_id, region_index, det_no, label, lines, text, payload): boxes without doubles, with the lines whose centre they hold.
+def detect_to_regions(boxes: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(image_id, region_index, det_no, label, lines, text, payload): boxes without doubles, with the lines of the tokens whose centre they hold.
 
-    An image has at most 15 boxes left, so a line meets that many at most; a box without lines stays.
+    Lines are found among a box's own tokens. A box without tokens stays, with no lines.
     """
-    kept = dedup_detections(boxes)
-    at = (F.lit(300).between(F.col("x1"), F.col("x2"))) & (20 * F.col("line_no") + 6).between(F.col("y1"), F.col("y2"))
-    held = F.collect_list(F.when(F.col("line_no").isNotNull(), F.struct("line_no", "text")))
-    made = kept.join(lines.hint("merge"), (F.col("doc_id") == F.col("image_id")) & at, "left").groupBy("image_id", "region_index", "det_no", "label").agg(F.transform(F.array_sort(held), lambda r: r["text"]).alias("held"))
+    kept = cached(dedup_detections(boxes), "kept")
+    made = lines_within(tokens_in_boxes(kept, tokens), ["image_id", "region_index"]).select("image_id", "region_index", F.col("lines").alias("held"))
+    rows = kept.join(made.hint("merge"), ["image_id", "region_index"], "left").withColumn("held", F.coalesce("held", F.array().cast("array<string>")))
     payload = F.to_json(F.struct("region_index", "label", F.col("held").alias("lines")))
-    return made.select("image_id", "region_index", "det_no", "label", F.size("held").alias("lines"), F.array_join("held", "\n").alias("text"), payload.alias("payload"))
+    return rows.select("image_id", "region_index", "det_no", "label", F.size("held").alias("lines"), F.array_join("held", "\n").alias("text"), payload.alias("payload"))
+
+
+_BOXED = f"select d.image_id, d.region_index, d.det_no, d.label, t.tok_no, t.text, t.xmin, t.ymin, t.xmax, t.ymax from ({KEPT_SQL}) d join v_page_tokens t on t.doc_id = d.image_id and (t.xmin + t.xmax) / 2 between d.x1 and d.x2 and (t.ymin + t.ymax) / 2 between d.y1 and d.y2"
+
+
+@register("tokens_in_boxes", f"select image_id, region_index, tok_no from ({_BOXED})")
+def q_tokens_in_boxes(spark, sf):
+    boxes = cached(dedup_detections(view(spark, sf, "v_detections")), "kept")
+    return tokens_in_boxes(boxes, view(spark, sf, "v_page_tokens")).select("image_id", "region_index", "tok_no")
 
 
-@register("detect_to_regions", f"""select image_id, region_index, det_no, label, count(line_no) as lines, coalesce(string_agg(text, chr(10) order by line_no), '') as text,
- '{{"region_index":' || region_index || ',"label":"' || label || '","lines":[' || coalesce(string_agg({_REGION_LINES}), '') || ']}}' as payload
- from ({KEPT_SQL}) d left join v_invoice_lines l on l.doc_id = d.image_id and 300 between x1 and x2 and 20 * line_no + 6 between y1 and y2 group by image_id, region_index, det_no, label""")
+@register("detect_to_regions", f"""select d.image_id, d.region_index, d.det_no, d.label, coalesce(n, 0) as lines, coalesce(l.text, '') as text,
+ '{{"region_index":' || d.region_index || ',"label":"' || d.label || '","lines":[' || coalesce(quoted, '') || ']}}' as payload
+ from ({KEPT_SQL}) d left join (select image_id, region_index, count(*) as n, string_agg(text, chr(10) order by ymin, xmin) as text, string_agg('"' || text || '"', ',' order by ymin, xmin) as quoted
+  from {_LINES_SQL.format(keys='image_id, region_index', of=_BOXED)} group by image_id, region_index) l on l.image_id = d.image_id and l.region_index = d.region_index""")
 def q_detect_to_regions(spark, sf):
-    return detect_to_regions(view(spark, sf, "v_detections"), view(spark, sf, "v_invoice_lines"))
+    return detect_to_regions(view(spark, sf, "v_detections"), view(spark, sf, "v_page_tokens"))
 
 
 @register("join_neighbor_lines", "select doc_id, line_no, lag(text) over w as before, lead(text) over w as after, lead(text, 4) over w as fourth from v_invoice_lines window w as (partition by doc_id order by line_no)")
@@ -176,7 +238,7 @@ def join_neighbor_lines(spark, sf):
     return view(spark, sf, "v_invoice_lines").select("doc_id", "line_no", F.lag("text").over(w).alias("before"), F.lead("text").over(w).alias("after"), F.lead("text", 4).over(w).alias("fourth"))
 
 
-@register("nearby_lines", "select a.doc_id, a.line_no, b.line_no as near_no from v_invoice_lines a join v_invoice_lines b on a.doc_id = b.doc_id where b.line_no - a.line_no in (1, 2) and 20 * (b.line_no - a.line_no) <= 12 * (1.5 + b.line_no - a.line_no)")
+@register("nearby_lines", "select a.doc_id, a.line_no, b.line_no as near_no from (select doc_id, line_no, unnest([1, 2]) as k from v_invoice_lines) a join v_invoice_lines b on b.doc_id = a.doc_id and b.line_no = a.line_no + k where 20 * k <= 12 * (1.5 + k)")
 def nearby_lines(spark, sf):
     """Lines one or two further whose distance is at most height * (1.5 + offset)."""
     w = Window.partitionBy("doc_id").orderBy("line_no")

@@ -40,6 +40,10 @@ union all select o_orderkey, 3, 5, 'Description' from orders
 union all select l_orderkey, 3, cast(5 + row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as int),
    concat('Part ', translate(cast(l_partkey as string),'0123456789','ABCDEFGHIJ'), ' ', cast(cast(l_extendedprice as decimal(14,2)) as string)) from lineitem
 union all select o_orderkey, 4, 100, concat('Total: ', cast(cast(o_totalprice as decimal(14,2)) as string)) from orders""",
+    "v_page_tokens": """
+select doc_id, line_no * 4 + k as tok_no, text, x as xmin, x + 7.0 * length(text) as xmax, y as ymin, y + 12.0 as ymax from (
+select doc_id, line_no, k, split_part(text, ' ', k) as text, cast(40 * (line_no % 3) + 110 * (k - 1) + 10 * (doc_id % 7) as double) as x, cast(18 * (line_no % 20) as double) as y
+from v_invoice_lines cross join (select 1 as k union all select 2 union all select 3 union all select 4) n) t where text <> ''""",
     "v_contact_lines": """
 select c_custkey as doc_id, 0 as region, 0 as line_no, 'Invoice summary' as text from customer
 union all select c_custkey, 1, 1, concat('Company ', translate(cast(c_custkey as string),'0123456789','ABCDEFGHIJ')) from customer
