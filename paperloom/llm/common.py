@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,8 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-_open: list[list[DataFrame]] = []
+#: The tables of each scratch() around the code that runs; threads have their own.
+_open: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("open", default=())
 
 
 def written(df: DataFrame, name: str, keep: bool = False, codec: str | None = None) -> DataFrame:
@@ -50,7 +52,7 @@ def written(df: DataFrame, name: str, keep: bool = False, codec: str | None = No
     fs.deleteOnExit(jpath)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
-    scopes = _open[:-1] if keep else _open
+    scopes = _open.get()[:-1] if keep else _open.get()
     if scopes:
         scopes[-1].append(out)
     return out
@@ -71,11 +73,19 @@ def discard(*tables: DataFrame) -> None:
 @contextmanager
 def scratch():
     """Tables written inside go at its end, but for those that are kept: what is returned must read only these."""
-    _open.append([])
+    own: list[DataFrame] = []
+    before = _open.set((*_open.get(), own))
     try:
         yield
     finally:
-        discard(*_open.pop())
+        _open.reset(before)
+        discard(*own)
+
+
+def set_aside(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df under names that no operator uses, and the new name of each column: a caller's columns can't clash with an operator's."""
+    names = {c: f"own{k}" for k, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
 
 
 PART_ROWS, PART_BYTES = 2_000, 8 << 20

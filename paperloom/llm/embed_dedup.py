@@ -18,8 +18,8 @@ on which its projection is largest, and query-centred windows are opened there.
 
 Rules come from the law of random directions, not from the data; every vector is entered. Lines with
 more than BLOCK entries are dealt out in pairs of blocks; a group emits link counts and a star for each
-cluster, never its pairs. Vectors link with others of their length only; a length of up to BLOCK
-vectors is one line without a window, on which all pairs are verified.
+cluster, never its pairs. Vectors link with others of their length only. The same rule
+holds for every number of vectors.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ from .components import connected_components
 
 THRESHOLD = 0.9
 RECALL, WINDOW = 0.99, 0.98
-LINE, BLOCK = 1024, 2048
+LINE, BLOCK, FEWEST = 1024, 2048, 32
 SINGLE, MOST_ENTERED, TRIALS = 2048, 48, 3000
 LEAST = 2
 SEED = 31
@@ -81,16 +81,17 @@ def planted_pairs(dims: int, cosine: float, n: int, seed: int = SEED) -> tuple[n
 
 
 def counting_rule(dims: int, n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int, float, int]:
-    """(lines, entered, width, least) for n vectors; one line, no window and no count for few vectors.
+    """(lines, entered, width, least) for n vectors: at least FEWEST lines, however few vectors there are.
 
-    Where no number of entries reaches the recall (few dimensions), there are fewer lines.
+    Where no number of entries reaches the recall (few dimensions), there are fewer lines, down to one without a
+    window, on which all pairs are verified.
     """
-    if n <= BLOCK or dims < 2:
+    if dims < 2:
         return 1, 1, math.inf, 1
     x, y = planted_pairs(dims, threshold, TRIALS)
     step = np.sort(np.abs((x - y) @ directions(dims, 64, 9)).ravel())
     width = float(step[int(WINDOW * (len(step) - 1))])
-    lines = max(1, 8 * n // LINE)
+    lines = max(FEWEST, 8 * n // LINE)
     while lines > 1:
         most = min(MOST_ENTERED, lines)
         (a, at_a), (b, at_b) = (highest(v, lines, most) for v in (x, y))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, scratch, table, written
+from .common import ascii_lower, scratch, set_aside, table, written
 
 MIN_CHUNK, MAX_CHUNK = 512, 8192
 
@@ -70,11 +70,12 @@ def exact_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", *
 
 
 def without_copies(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows that stay, with all their columns. They are numbered once, and both sides read that."""
-    numbered = written(df.withColumn("_rid", F.monotonically_increasing_id()), "numbered")
+    """The rows that stay, with all their columns, whatever their names. They are numbered once, and both sides read that."""
+    own, at = set_aside(df)
+    numbered = written(own.withColumn("_rid", F.monotonically_increasing_id()), "numbered")
     with scratch():
-        kept = written(exact_dedup(numbered, text_col, id_col, rid="_rid").filter("kept").select("_rid"), "kept", keep=True)
-    return numbered.join(kept.hint("merge"), "_rid", "left_semi").drop("_rid")
+        kept = written(exact_dedup(numbered, at[text_col], at[id_col], rid="_rid").filter("kept").select("_rid"), "kept", keep=True)
+    return numbered.join(kept.hint("merge"), "_rid", "left_semi").drop("_rid").toDF(*df.columns)
 
 
 def op3_exact_dedup(spark, sf_dir):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table, written
+from .common import set_aside, table, written
 
 WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2
@@ -102,14 +102,20 @@ def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> D
 def mix_plan(df: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WORDS, seed: int = SEED, weights=WEIGHTS) -> DataFrame:
     """Add to each row source_size, target and draws: array<struct<pass, shard, words>>.
 
-    df has doc_id, source and size (words); further columns are carried along. A draw of fewer
-    words than size is the cut one, at most one for each source. An empty table, or one without
-    words, gets no draws.
+    df has doc_id, source and size (words); further columns are carried along, whatever their names, but
+    those called like an added one are replaced. A draw of fewer words than size is the cut one, at most
+    one for each source. An empty table, or one without words, gets no draws.
     """
-    rows = df.drop("source_size", "target", "draws", "_h")
+    df = df.drop("source_size", "target", "draws")
+    own, at = set_aside(df)
+    rows = own.withColumnsRenamed({at[c]: c for c in ("doc_id", "source", "size")})
+    return _plan(rows, shards, block_words, seed, weights).toDF(*df.columns, "source_size", "target", "draws")
+
+
+def _plan(rows: DataFrame, shards: int, block_words: int, seed: int, weights) -> DataFrame:
     rows = rows.withColumn("_h", F.expr(hash31(seed, "doc_id")))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
-    plan = targets(sizes)
+    plan = targets(sizes, weights)
     # `words` is capped, for rounding up must not ask for more than two passes
     plan = plan.withColumn("_words", F.least(F.floor(F.col("target") + 0.5), F.col("source_size") * CAP))
     plan = plan.withColumn("_passes", F.expr("if(source_size = 0, 0, _words div source_size)")).withColumn("_rest", F.expr("if(source_size = 0, 0, _words % source_size)"))
@@ -146,13 +152,18 @@ def mix_plan(df: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WORDS
 def mix(df: DataFrame, text_col: str = "text", shards: int = SHARDS, seed: int = SEED, **rule) -> DataFrame:
     """The mix itself: one row for each draw, ordered by hash within its shard.
 
-    The text of a cut draw is its first words, joined by single spaces.
+    The text of a cut draw is its first words, joined by single spaces. Columns shard, pass and place are
+    replaced; others are kept, whatever their names.
     """
-    sized = df.drop("size").withColumn("size", words(F.col(text_col)))
+    kept = df.drop("shard", "pass", "place")
+    own, at = set_aside(kept)
+    named = {c: "doc_id" if c == "doc_id" else "source" if c == "source" else at[c] for c in kept.columns}
+    text = named[text_col]
+    sized = own.withColumnsRenamed({at[c]: c for c in ("doc_id", "source")}).withColumn("size", words(F.col(text)))
     drawn = mix_plan(sized, shards=shards, seed=seed, **rule).withColumn("d", F.explode("draws"))
-    cut = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(r"[^ \t-\r]+"), F.lit(0)), F.lit(1), F.col("d.words").cast("int")), " ")
-    out = drawn.withColumn(text_col, F.when(F.col("d.words") < F.col("size"), cut).otherwise(F.col(text_col)))
-    out = out.select(*df.drop("shard", "pass", "place").columns, F.col("d.shard").alias("shard"), F.col("d.pass").alias("pass"), F.expr(hash31(seed, "'o'", "doc_id", "d.pass")).alias("place"))
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[^ \t-\r]+"), F.lit(0)), F.lit(1), F.col("d.words").cast("int")), " ")
+    out = drawn.withColumn(text, F.when(F.col("d.words") < F.col("size"), cut).otherwise(F.col(text)))
+    out = out.select(*(F.col(n).alias(c) for c, n in named.items()), F.col("d.shard").alias("shard"), F.col("d.pass").alias("pass"), F.expr(hash31(seed, "'o'", "doc_id", "d.pass")).alias("place"))
     return out.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place", "doc_id")
 
 

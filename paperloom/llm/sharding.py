@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table, written
+from .common import set_aside, table, written
 
 PRIME = 2147483647
 ROUNDS = 6
@@ -41,10 +41,12 @@ def number_rows(df: DataFrame, out: str = "global_row") -> DataFrame:
 
     Repeated rows are counted before they are shuffled and dealt out again as numbered copies, so a
     row that makes up a third of the table is no hot key. Nulls rank first. Columns must be
-    orderable. An existing column called `out` is replaced.
+    orderable. An existing column called `out` is replaced; others may have any name.
     """
-    cols = [c for c in df.columns if c != out]
-    counted = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+    df = df.drop(out)
+    own, names = set_aside(df)
+    cols = [*names.values()]
+    counted = own.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
     runs = counted.withColumn("_run", F.explode(F.expr(f"sequence(0L, (_n - 1) div {COPY_RUN})")))
     copies = runs.withColumn("_copy", F.explode(F.expr(f"sequence(_run * {COPY_RUN}, least(_n, (_run + 1) * {COPY_RUN}) - 1)")))
     order = [F.col(c) for c in [*cols, "_copy"]]
@@ -56,7 +58,7 @@ def number_rows(df: DataFrame, out: str = "global_row") -> DataFrame:
     offsets = sizes.select(F.col("_part"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_off"))
     # one row for each partition of the shuffle above: bounded by its partition count
     joined = placed.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(offsets), "_part")
-    return joined.select(*cols, (F.col("_off") + row).alias(out))
+    return joined.select(*cols, (F.col("_off") + row)).toDF(*df.columns, out)
 
 
 def permuted(col: str, n: int, seed: int) -> str:

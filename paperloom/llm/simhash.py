@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import cells
-from .common import over_texts, scratch, slices, table, written
+from .common import over_texts, scratch, set_aside, slices, table, written
 from .components import connected_components
 
 WORDS, BITS = 3, 2
@@ -215,18 +215,19 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 
 
 def without_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
-    """One row of each group stays, that with the least id; all columns are kept.
+    """One row of each group stays, that with the least id; all columns are kept, whatever their names.
 
     A null id is above all others; of rows that tie, repeated rows among them, one stays. Rows are
     numbered once, and both sides of the last join read these numbers.
     """
-    numbered = written(df.withColumn("_rid", F.monotonically_increasing_id()), "numbered")
-    found = with_fingerprints(numbered.select("_rid", F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text", words)
+    own, at = set_aside(df)
+    numbered = written(own.withColumn("_rid", F.monotonically_increasing_id()), "numbered")
+    found = with_fingerprints(numbered.select("_rid", F.col(at[id_col]).alias("_id"), F.col(at[text_col]).alias("_text")), "_text", words)
     with scratch():
         rows = written(found.select("fp", F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_rid").alias("rid")).alias("row")), "fingerprints")
         firsts = rows.groupBy("fp").agg(F.min("row").alias("row")).join(_labels(rows, bits).hint("merge"), "fp")
         kept = written(firsts.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.rid").alias("_rid")), "kept", keep=True)
-    return numbered.join(kept.hint("merge"), "_rid", "left_semi").select(*df.columns)
+    return numbered.join(kept.hint("merge"), "_rid", "left_semi").drop("_rid").toDF(*df.columns)
 
 
 def op2_simhash(spark, sf_dir):

@@ -2,17 +2,19 @@
 texts, ties, repeated rows, no rows, clashing names."""
 
 import hashlib
+import inspect
 import math
 import random
 import re
 import zlib
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.llm import lm, merkle, whitening
+from paperloom.llm import embed_dedup, exact_dedup, lm, merkle, mixing, sharding, simhash, similar, whitening
 
 LEAVES = "id long, source string, leaf string, claim string"
 
@@ -267,3 +269,53 @@ def test_lm_held_out_gain(spark):
     """Pairs must help where they were not learned from."""
     rows = [r for r in lm.op13_lm(spark, "/root/testdata/sf0.001").collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def clashing(spark, module):
+    """A table of documents with a column for every name that a module uses."""
+    names = sorted(set(re.findall(r"[\"'](_?[a-z][a-z_0-9]*)[\"']", inspect.getsource(module))) | {"_rid", "_n", "_copy", "_run", "_at", "_part", "_id", "_words", "_h", "d", "x", "own0"})
+    names = [n for n in names if n not in ("doc_id", "text", "source", "lang", "n_chars")]
+    rows = [(k, f"text of {k % 5} in some more words than five so that it counts", f"s{k % 3}", *(f"{n} {k}" for n in names)) for k in range(20)]
+    return names, spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+
+
+@pytest.mark.parametrize("case", ["sharding", "exact_dedup", "simhash", "similar", "mixing", "mix_plan"])
+def test_any_column_name(spark, case):
+    module = {"sharding": sharding, "exact_dedup": exact_dedup, "simhash": simhash, "similar": similar, "mixing": mixing, "mix_plan": mixing}[case]
+    names, df = clashing(spark, module)
+    run, added = {
+        "sharding": (sharding.shard_rows, {"global_row", "position", "shard", "slot"}),
+        "exact_dedup": (exact_dedup.without_copies, set()),
+        "simhash": (simhash.without_near_copies, set()),
+        "similar": (similar.without_similar, set()),
+        "mixing": (mixing.mix, {"shard", "pass", "place"}),
+        "mix_plan": (lambda t: mixing.mix_plan(t.drop("size").withColumn("size", F.lit(12).cast("long"))), {"source_size", "target", "draws", "size"}),
+    }[case]
+    rows = run(df).collect()
+    assert rows and all(r[n] == f"{n} {r.doc_id}" for r in rows for n in names if n not in added)
+    assert set(rows[0].asDict()) == {*df.columns, *added}
+
+
+def test_two_threads(spark):
+    docs = spark.createDataFrame([(k, f"words of text {k % 30} that are more than five of them {k % 7}") for k in range(200)], "doc_id long, text string").persist()
+    runs = {"near": lambda: sorted(map(tuple, simhash.near_dedup(docs).collect())), "exact": lambda: sorted(r.doc_id for r in exact_dedup.without_copies(docs).collect())}
+    want = {k: f() for k, f in runs.items()}
+    with ThreadPoolExecutor(2) as pool:
+        jobs = [(k, pool.submit(runs[k])) for _ in range(3) for k in runs]
+        assert all(j.result() == want[k] for k, j in jobs)
+
+
+@pytest.mark.parametrize("n", [500, 2000, 8000])
+def test_projections_at_every_size(spark, n):
+    """Recall by brute force at cosines just above 0.9, through the projections, with the parameters in use."""
+    rng = np.random.default_rng(n)
+    x, y = embed_dedup.planted_pairs(64, 0.905, n // 8, seed=n)
+    rest = rng.standard_normal((n - 2 * len(x), 64))
+    every = np.concatenate([x, y, rest / np.linalg.norm(rest, axis=1, keepdims=True)])
+    lines, entered, width, least = embed_dedup.counting_rule(64, n)
+    assert lines >= embed_dedup.FEWEST and entered < lines and width < 2 and least > 1
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(every)], "vec_id long, embedding array<double>").repartition(4)
+    got = {r.vec_id: r.n_links for r in embed_dedup.near_vectors(df).collect()}
+    close = np.argwhere(np.triu(every @ every.T >= 0.9, 1))
+    found = sum(got.values()) / 2
+    assert len(close) >= len(x) and 0.97 * len(close) <= found <= len(close)
