@@ -262,7 +262,7 @@ def test_embeddings(spark, monkeypatch):
 
 
 def test_embeddings_of_several_lengths(spark):
-    """Lengths link among themselves; ids may repeat; columns of clashing names play no part. Exact, for few vectors."""
+    """Lengths link among themselves; ids may repeat; columns of clashing names play no part. These few dimensions leave no link out."""
     rng = np.random.default_rng(4)
     rows = []
     for d, n in ((3, 300), (2, 80), (1, 6), (16, 120)):
@@ -297,7 +297,7 @@ def test_counting_rule():
         (a, at_a), (b, at_b) = embed_dedup.highest(x, lines, entered), embed_dedup.highest(y, lines, entered)
         met = (a[:, :, None] == b[:, None, :]) & (np.abs(at_a[:, :, None] - at_b[:, None, :]) <= width)
         assert (met.sum((1, 2)) >= least).mean() >= 0.97 and all(len(set(r)) == entered for r in a.tolist())
-    assert embed_dedup.counting_rule(64, 2000)[:2] == (1, 1)
+    assert embed_dedup.counting_rule(64, 2000)[0] == embed_dedup.FEWEST and embed_dedup.counting_rule(1, 2000)[:2] == (1, 1)
 
 
 def test_collisions():
