@@ -159,9 +159,10 @@ def benchmark_compare(spark, sf):
     return field_match_naive(view(spark, sf, "v_truth_pred")).join(rate, "field", "left").select("field", "exact_pct", "partial_pct", F.coalesce("detected_pct", F.lit(0.0)).alias("detected_pct"))
 
 
-@register("join_gt_pred", "select t.doc_id, t.field, t.answer as gt, p.answer as pred from v_answers t left join v_qa p on p.doc_id = t.doc_id and p.field = t.field and p.q_rank = 2 and p.score >= 0.05")
+@register("join_gt_pred", "select doc_id, field, max(answer) filter (part = 0) as gt, max(answer) filter (part = 1) as pred from (select doc_id, field, answer, 0 as part from v_answers union all select doc_id, field, arg_min(answer, q_rank), 1 from v_qa where score >= 0.05 group by doc_id, field) group by doc_id, field")
 def join_gt_pred(spark, sf):
-    pred = view(spark, sf, "v_qa").filter("q_rank = 2 and score >= 0.05").select("doc_id", "field", F.col("answer").alias("pred"))
+    """Each truth with the first answer, by rank, that is confident enough; none where no answer is."""
+    pred = view(spark, sf, "v_qa").filter("score >= 0.05").groupBy("doc_id", "field").agg(F.min_by("answer", "q_rank").alias("pred"))
     return view(spark, sf, "v_answers").withColumnRenamed("answer", "gt").join(pred, ["doc_id", "field"], "left")
 
 
