@@ -127,60 +127,112 @@ def q_standardize(spark, sf):
     return standardize(rows, scaler_stats(rows, _COLS), _COLS).select("doc_id", *(F.round(c, 6).alias(c) for c in _COLS))
 
 
-# Page rasters: (doc_id, y, x, gray) with height and width columns h, w.
+# Page rasters: one row a page, (doc_id, h, w, gray) with gray as an array of rows.
+# Arrays pass whole through higher-order functions. No lambda looks at a column that is costly to make: it
+# could be inlined there and made again for each element.
 
 SIDE = 80
-
-
-def pixels(docs: DataFrame) -> DataFrame:
-    """A raster from a text's characters, 80 to a row; marks where there is no blank."""
-    rows = docs.select("doc_id", F.col("text"), F.ceil(F.length("text") / SIDE).cast("int").alias("h")).filter("h > 0")
-    lines = rows.select("doc_id", "h", F.lit(SIDE).alias("w"), F.posexplode(F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda y: F.rpad(F.substring(F.col("text"), y * SIDE + 1, F.lit(SIDE)), SIDE, " "))).alias("y", "line"))
-    cells = lines.select("doc_id", "h", "w", "y", F.posexplode(F.split("line", "")).alias("x", "c")).filter(F.col("x") < SIDE)
-    return cells.select("doc_id", "h", "w", "y", "x", F.when(F.col("c").rlike(r"^[ \t\n\r]$"), 255).otherwise(0).alias("gray"))
-
-
-
-
-def raster_density(px: DataFrame) -> DataFrame:
-    """Share of ink, overall and in a 4 x 4 grid (pixels beyond the last whole cell count overall)."""
-    i, j = F.floor(F.try_divide("y", F.floor(F.col("h") / 4))), F.floor(F.try_divide("x", F.floor(F.col("w") / 4)))
-    cell = F.when(F.col("h") >= 4, i * 4 + j)
-    grid = [F.avg(F.when((cell == k) & (i < 4) & (j < 4), F.expr("if(gray < 128, 1.0D, 0.0D)"))).alias(f"g{k}") for k in range(16)]
-    return px.groupBy("doc_id").agg(F.avg(F.expr("if(gray < 128, 1.0D, 0.0D)")).alias("ink"), *grid)
-
-
-def raster_lines(px: DataFrame, axis: str) -> DataFrame:
-    """Mean ink of each row (axis y) or column (axis x)."""
-    return px.groupBy("doc_id", "h", "w", F.col(axis).alias("at")).agg(F.avg(F.expr("if(gray < 128, 1.0D, 0.0D)")).alias("m"))
-
-
-def raster_whitespace(px: DataFrame) -> DataFrame:
-    """Blank rows and columns, and the ink of the four halves."""
-    ink = F.expr("if(gray < 128, 1.0D, 0.0D)")
-    up, left = F.col("y") < F.floor(F.col("h") / 2), F.col("x") < F.floor(F.col("w") / 2)
-    halves = px.groupBy("doc_id").agg(F.avg(F.when(up, ink)).alias("top"), F.avg(F.when(~up, ink)).alias("bottom"), F.avg(F.when(left, ink)).alias("left_half"), F.avg(F.when(~left, ink)).alias("right_half"))
-    blank = lambda axis, name: raster_lines(px, axis).groupBy("doc_id").agg(F.avg((F.col("m") < 0.01).cast("double")).alias(name))
-    return halves.join(blank("y", "blank_rows"), "doc_id").join(blank("x", "blank_cols"), "doc_id")
-
-
-def raster_margins(px: DataFrame) -> DataFrame:
-    """First and last rows and columns with ink, as shares; 0.5 for a blank page."""
-    some = F.col("m") > 0.01
-    side = lambda axis, size, a, b: raster_lines(px, axis).groupBy("doc_id").agg((F.min(F.when(some, F.col("at"))) / F.first(size)).alias(a), (1 - F.max(F.when(some, F.col("at"))) / F.first(size)).alias(b))
-    both = side("y", "h", "top_margin", "bottom_margin").join(side("x", "w", "left_margin", "right_margin"), "doc_id")
-    return both.select("doc_id", *(F.coalesce(c, F.lit(0.5)).alias(c) for c in both.columns[1:]))
-
-
-def raster_edges(px: DataFrame) -> DataFrame:
-    """Mean and population deviation of the Sobel magnitude; borders repeat the edge pixel."""
-    row, col = Window.partitionBy("doc_id", "y").orderBy("x"), Window.partitionBy("doc_id", "x").orderBy("y")
-    near = lambda c, w, k: F.coalesce(F.lag(c, k).over(w), F.col(c))
-    g = px.withColumn("g", F.col("gray").cast("double"))
-    g = g.withColumn("sx", near("g", row, 1) + 2 * F.col("g") + near("g", row, -1)).withColumn("dx", near("g", row, -1) - near("g", row, 1))
-    g = g.withColumn("gy", near("sx", col, -1) - near("sx", col, 1)).withColumn("gx", near("dx", col, 1) + 2 * F.col("dx") + near("dx", col, -1))
-    size = F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))
-    return g.groupBy("doc_id").agg(F.avg(size).alias("edge_mean"), F.stddev_pop(size).alias("edge_std"))
+GRID = tuple(f"g{k}" for k in range(16))
+RASTER = ("ink", *GRID, "top", "bottom", "left_half", "right_half", "blank_rows", "blank_cols", "top_margin", "bottom_margin", "left_margin", "right_margin", "edge_mean", "edge_std")
+
+
+def pages(docs: DataFrame, *keep: str) -> DataFrame:
+    """Rasters from the texts' characters, 80 to a row; marks where there is no blank. Empty texts have none. Columns: `keep` (doc_id if not given), h, w, gray."""
+    keep = keep or ("doc_id",)
+    rows = docs.filter(F.length("text") > 0).select(*keep, F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{SIDE}}}"), F.lit(0)).alias("lines"))
+    gray = F.transform("lines", lambda t: F.transform(F.split(F.rpad(t, SIDE, " "), ""), lambda c: F.when(c.isin(" ", "\t", "\n", "\r"), 255).otherwise(0)))
+    return rows.select(*keep, F.size("lines").alias("h"), F.lit(SIDE).alias("w"), gray.alias("gray"))
+
+
+def image_pages(images: DataFrame, *keep: str) -> DataFrame:
+    """Rasters of decoded images (`sources.readers.scan_images`); colours by the weights of ITU-R 601-2. Columns: `keep` (path if not given), h, w, gray."""
+    keep = keep or ("path",)
+    image = F.col("image")
+    size = (image["width"] * image["nChannels"]).cast("string")
+    # a byte is a character of Latin-1
+    lines = F.regexp_extract_all(F.decode(image["data"], "ISO-8859-1"), F.concat(F.lit("(?s).{"), size, F.lit("}")), F.lit(0))
+    rows = images.filter("image is not null").select(*keep, image["height"].alias("h"), image["width"].alias("w"), image["nChannels"].alias("n"), lines.alias("lines"))
+    code = lambda p, k: F.ascii(F.substring(p, k, 1))
+    mixed = lambda p: F.shiftright(19595 * code(p, 3) + 38470 * code(p, 2) + 7471 * code(p, 1) + 32768, 16)
+    plain = F.transform("lines", lambda t: F.transform(F.split(t, ""), lambda c: F.ascii(c)))
+    colour = F.transform("lines", lambda t: F.transform(F.regexp_extract_all(t, F.when(F.col("n") == 4, "(?s).{4}").otherwise("(?s).{3}"), F.lit(0)), mixed))
+    return rows.select(*keep, "h", "w", F.when(F.col("n") == 1, plain).otherwise(colour).alias("gray"))
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with value made once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _sum(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0), lambda s, v: s + v)
+
+
+def _shifted(a: Column) -> tuple[Column, Column]:
+    """The elements before and after each; ends stand for what lies beyond them."""
+    n = F.size(a)
+    return F.concat(F.slice(a, 1, 1), F.slice(a, 1, n - 1)), F.concat(F.slice(a, 2, n), F.slice(a, n, 1))
+
+
+def _row_edges(up: Column, mid: Column, down: Column) -> Column:
+    """Sum of the Sobel magnitudes of a row, and of their squares, which are whole numbers."""
+    plus, twice = (lambda a, b: a + b), (lambda a, b: a + 2 * b)
+    smooth = F.zip_with(F.zip_with(up, mid, twice), down, plus)
+    slope = F.zip_with(down, up, lambda a, b: a - b)
+
+    def squares(s: Column, d: Column) -> Column:
+        (s0, s1), (d0, d1) = _shifted(s), _shifted(d)
+        across = F.zip_with(s1, s0, lambda a, b: a - b)
+        along = F.zip_with(F.zip_with(d0, d, twice), d1, plus)
+        return F.zip_with(across, along, lambda a, b: (a * a + b * b).cast("double"))
+
+    zero = F.lit(0.0)
+    sums = lambda a: F.struct(F.aggregate(a, zero, lambda t, q: t + F.sqrt(q)).alias("s"), F.aggregate(a, zero, lambda t, q: t + q).alias("q"))
+    return _let(smooth, lambda s: _let(slope, lambda d: _let(squares(s, d), sums)))
+
+
+def raster_features(px: DataFrame, *keep: str) -> DataFrame:
+    """The 29 features of each page in one projection, without a shuffle.
+
+    Share of ink, overall and in a 4 x 4 grid (pixels beyond the last whole cell count overall; no cells,
+    so null, on pages of fewer than four rows or columns); ink of the four halves (null for a half without
+    pixels); shares of blank rows and columns; first and last rows and columns with ink as shares, 0.5 if
+    the page lacks either; mean and population deviation of the Sobel magnitude, where borders repeat the
+    edge pixel. The columns `keep` come first (doc_id if not given).
+    """
+    keep = keep or ("doc_id",)
+    gray, h, w = F.col("gray"), F.col("h"), F.col("w")
+    band = F.floor(h / 4).cast("int")
+    ink = lambda v: F.when(v < 128, 1).otherwise(0)
+    columns = lambda a: F.aggregate(a, F.array_repeat(F.lit(0), w), lambda s, r: F.zip_with(s, r, lambda t, v: t + ink(v)))
+    bands = [columns(F.slice(gray, k * band + 1, band if k < 4 else h)) for k in range(5)]
+    up, down = _shifted(gray)
+    edges = F.transform(F.arrays_zip(up.alias("u"), gray.alias("m"), down.alias("d")), lambda z: _row_edges(z["u"], z["m"], z["d"]))
+    total = F.aggregate(edges, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")), lambda t, e: F.struct((t["s"] + e["s"]).alias("s"), (t["q"] + e["q"]).alias("q")))
+    first = px.select(*keep, "h", "w", F.transform(gray, lambda r: F.aggregate(r, F.lit(0), lambda s, v: s + ink(v))).alias("row_ink"), *(b.alias(f"b{k}") for k, b in enumerate(bands)), total.alias("edge"))
+
+    by_col = F.col("b0")
+    for k in range(1, 5):
+        by_col = F.zip_with(by_col, F.col(f"b{k}"), lambda a, b: a + b)
+    second = first.withColumn("col_ink", by_col)
+    n, cell = h * w, F.floor(w / 4).cast("int")
+    share = lambda part, size: F.try_divide(part.cast("double"), size)
+    grid = [F.when((band > 0) & (cell > 0), share(_sum(F.slice(f"b{k // 4}", k % 4 * cell + 1, cell)), band * cell)).alias(g) for k, g in enumerate(GRID)]
+    up_half, left_half = F.floor(h / 2).cast("int"), F.floor(w / 2).cast("int")
+    row, col = F.col("row_ink"), F.col("col_ink")
+    blank = lambda a, size, count: share(F.size(F.filter(a, lambda v: v / size < 0.01)), count)
+    at = lambda a, size: F.array_position(F.transform(a, lambda v: v / size > 0.01), True)
+    mean, some = F.col("edge.s") / n, (F.col("r0") > 0) & (F.col("c0") > 0)
+    margin = lambda c, name: F.when(some, c).otherwise(0.5).alias(name)
+    third = second.select("*", at(row, w).alias("r0"), at(F.reverse(row), w).alias("r1"), at(col, h).alias("c0"), at(F.reverse(col), h).alias("c1"))
+    return third.select(
+        *keep, share(_sum(row), n).alias("ink"), *grid,
+        share(_sum(F.slice(row, 1, up_half)), up_half * w).alias("top"), share(_sum(F.slice(row, up_half + 1, h)), (h - up_half) * w).alias("bottom"),
+        share(_sum(F.slice(col, 1, left_half)), left_half * h).alias("left_half"), share(_sum(F.slice(col, left_half + 1, w)), (w - left_half) * h).alias("right_half"),
+        blank(row, w, h).alias("blank_rows"), blank(col, h, w).alias("blank_cols"),
+        margin((F.col("r0") - 1) / h, "top_margin"), margin(1 - (h - F.col("r1")) / h, "bottom_margin"), margin((F.col("c0") - 1) / w, "left_margin"), margin(1 - (w - F.col("c1")) / w, "right_margin"),
+        mean.alias("edge_mean"), F.sqrt(F.greatest(F.col("edge.q") / n - mean * mean, F.lit(0.0))).alias("edge_std"),
+    )
 
 
 _PX = f"""select doc_id, h, {SIDE} as w, y, x, case when regexp_matches(substr(rpad(substr(text, y * {SIDE} + 1, {SIDE}), {SIDE}, ' '), x + 1, 1), '^[ \\t\\n\\r]$') then 255 else 0 end as gray
@@ -188,8 +240,8 @@ _PX = f"""select doc_id, h, {SIDE} as w, y, x, case when regexp_matches(substr(r
 _INK = "case when gray < 128 then 1.0::double else 0.0 end"
 
 
-def _px(spark, sf):
-    return pixels(view(spark, sf, "documents"))
+def _raster(spark, sf, *cols):
+    return raster_features(pages(view(spark, sf, "documents"))).select("doc_id", *cols)
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -198,17 +250,17 @@ def rounded(df: DataFrame) -> DataFrame:
 
 @register("raster_density", f"select doc_id, round(avg({_INK}), 7) as ink, " + ", ".join(f"round(avg({_INK}) filter (h >= 4 and floor(y / floor(h / 4)) = {k // 4} and floor(x / 20) = {k % 4}), 7) as g{k}" for k in range(16)) + f" from ({_PX}) group by doc_id")
 def q_density(spark, sf):
-    return rounded(raster_density(_px(spark, sf)))
+    return rounded(_raster(spark, sf, "ink", *GRID))
 
 
 @register("raster_whitespace", f"select h.doc_id, top, bottom, left_half, right_half, blank_rows, blank_cols from (select doc_id, round(avg({_INK}) filter (y < floor(h / 2)), 7) as top, round(avg({_INK}) filter (y >= floor(h / 2)), 7) as bottom, round(avg({_INK}) filter (x < 40), 7) as left_half, round(avg({_INK}) filter (x >= 40), 7) as right_half from ({_PX}) group by doc_id) h join (select doc_id, round(avg(case when m < 0.01 then 1.0 else 0.0 end), 7) as blank_rows from (select doc_id, y, avg({_INK}) as m from ({_PX}) group by doc_id, y) group by doc_id) r on r.doc_id = h.doc_id join (select doc_id, round(avg(case when m < 0.01 then 1.0 else 0.0 end), 7) as blank_cols from (select doc_id, x, avg({_INK}) as m from ({_PX}) group by doc_id, x) group by doc_id) c on c.doc_id = h.doc_id")
 def q_whitespace(spark, sf):
-    return rounded(raster_whitespace(_px(spark, sf)))
+    return rounded(_raster(spark, sf, *RASTER[17:23]))
 
 
-@register("raster_margins", f"select a.doc_id, round(coalesce(t, 0.5), 7) as top_margin, round(coalesce(b, 0.5), 7) as bottom_margin, round(coalesce(l, 0.5), 7) as left_margin, round(coalesce(r, 0.5), 7) as right_margin from (select doc_id, min(y) filter (m > 0.01) / any_value(h) as t, 1 - max(y) filter (m > 0.01) / any_value(h) as b from (select doc_id, h, y, avg({_INK}) as m from ({_PX}) group by doc_id, h, y) group by doc_id) a join (select doc_id, min(x) filter (m > 0.01) / 80 as l, 1 - max(x) filter (m > 0.01) / 80 as r from (select doc_id, x, avg({_INK}) as m from ({_PX}) group by doc_id, x) group by doc_id) c on c.doc_id = a.doc_id")
+@register("raster_margins", f"select a.doc_id, round(case when t is null or l is null then 0.5 else t end, 7) as top_margin, round(case when t is null or l is null then 0.5 else b end, 7) as bottom_margin, round(case when t is null or l is null then 0.5 else l end, 7) as left_margin, round(case when t is null or l is null then 0.5 else r end, 7) as right_margin from (select doc_id, min(y) filter (m > 0.01) / any_value(h) as t, 1 - max(y) filter (m > 0.01) / any_value(h) as b from (select doc_id, h, y, avg({_INK}) as m from ({_PX}) group by doc_id, h, y) group by doc_id) a join (select doc_id, min(x) filter (m > 0.01) / 80 as l, 1 - max(x) filter (m > 0.01) / 80 as r from (select doc_id, x, avg({_INK}) as m from ({_PX}) group by doc_id, x) group by doc_id) c on c.doc_id = a.doc_id")
 def q_margins(spark, sf):
-    return rounded(raster_margins(_px(spark, sf)))
+    return rounded(_raster(spark, sf, *RASTER[23:27]))
 
 
 _NB = lambda c, part, order, k: f"coalesce({'lag' if k > 0 else 'lead'}({c}) over (partition by doc_id, {part} order by {order}), {c})"
@@ -216,8 +268,7 @@ _NB = lambda c, part, order, k: f"coalesce({'lag' if k > 0 else 'lead'}({c}) ove
 
 @register("raster_edges", f"select doc_id, round(avg(s), 6) as edge_mean, round(stddev_pop(s), 6) as edge_std from (select doc_id, sqrt(gx * gx + gy * gy) as s from (select doc_id, {_NB('sx', 'x', 'y', -1)} - {_NB('sx', 'x', 'y', 1)} as gy, {_NB('dx', 'x', 'y', 1)} + 2 * dx + {_NB('dx', 'x', 'y', -1)} as gx from (select doc_id, x, y, {_NB('gray', 'y', 'x', 1)} + 2 * gray + {_NB('gray', 'y', 'x', -1)} as sx, {_NB('gray', 'y', 'x', -1)} - {_NB('gray', 'y', 'x', 1)} as dx from ({_PX})))) group by doc_id")
 def q_edges(spark, sf):
-    df = raster_edges(_px(spark, sf))
-    return df.select("doc_id", *(F.round(c, 6).alias(c) for c in ("edge_mean", "edge_std")))
+    return _raster(spark, sf, *RASTER[27:]).select("doc_id", *(F.round(c, 6).alias(c) for c in ("edge_mean", "edge_std")))
 
 
 QUERIES, ORACLES = register.queries, register.oracles

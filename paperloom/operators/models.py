@@ -43,10 +43,8 @@ def held_out(doc_id: str = "doc_id"):
 
 def image_features(docs: DataFrame) -> DataFrame:
     """(doc_id, image): 29 raster features; documents without pixels are absent."""
-    px = V.pixels(docs)
-    parts = [f(px) for f in (V.raster_density, V.raster_whitespace, V.raster_margins, V.raster_edges)]
-    rows = reduce(lambda a, b: a.join(b, "doc_id"), parts)
-    return rows.select("doc_id", F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in rows.columns if c != "doc_id")).alias("image"))
+    rows = V.raster_features(V.pages(docs))
+    return rows.select("doc_id", F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in V.RASTER)).alias("image"))
 
 
 class Corpus:
