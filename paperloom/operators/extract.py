@@ -39,20 +39,31 @@ PLACES = (" rd", " road", " st", " street", " ave", " avenue", " tampa", " fl")
 
 
 def line_values(lines: DataFrame, basic: bool = False) -> DataFrame:
-    """(doc_id, region, line_no, ...) with what each line holds; blank lines go."""
-    rows = lines.select("doc_id", "region", "line_no", F.trim("text").alias("raw")).filter("raw <> ''")
+    """(doc_id, region, line_no, x1, y1, ...) with what each line holds; blank lines go."""
+    at = [F.col(c) if c in lines.columns else F.lit(None).cast("double").alias(c) for c in ("x1", "y1")]
+    rows = lines.select("doc_id", "region", "line_no", *at, F.trim("text").alias("raw")).filter("raw <> ''")
     raw = F.col("raw")
     rows = rows.withColumn("norm", X.normalize_text(raw))
     return rows.select("*", X.find_email(raw, not basic).alias("email"), X.find_phone(raw, not basic).alias("phone"), X.first(raw, X.DATE).alias("date"), X.invoice_number(raw, basic).alias("number"), X.last(raw, X.MONEY).alias("amount"), F.trim(X.first(raw, X.PERCENT)).alias("percent"))
 
 
 def regions_of(values: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """One row per region with its lines in order, text, label and place (x1, y1), ordered by `ord`."""
+    """One row per region with its lines in order, text, label and place (x1, y1), ordered by `ord`: by place, then by lines."""
     line = F.struct("line_no", "raw", "norm", "email", "phone", "date", "number", "amount", "percent")
-    rows = values.groupBy("doc_id", "region").agg(F.array_sort(F.collect_list(line)).alias("l"))
-    rows = rows.withColumn("x1", F.lit(0)).withColumn("y1", 20 * F.col("l")[0]["line_no"]).withColumn("text", F.array_join(F.transform("l", lambda x: x["raw"]), "\n")).withColumn("norm", F.array_join(F.transform("l", lambda x: x["norm"]), " "))
+    rows = values.groupBy("doc_id", "region").agg(F.array_sort(F.collect_list(line)).alias("l"), F.first("x1").alias("x1"), F.first("y1").alias("y1"))
+    rows = rows.withColumn("text", F.array_join(F.transform("l", lambda x: x["raw"]), "\n")).withColumn("norm", F.array_join(F.transform("l", lambda x: x["norm"]), " "))
     rows = rows.withColumn("label", F.lit("paragraph")) if labels is None else rows.join(labels.hint("merge"), ["doc_id", "region"], "left").withColumn("label", F.coalesce("label", F.lit("paragraph")))
-    return rows.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("y1", "x1", "region")))
+    return rows.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.asc_nulls_last("y1"), F.asc_nulls_last("x1"), F.col("l")[0]["line_no"], "region")))
+
+
+def in_place(lines: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Lines with the corner (x1, y1) of their region, numbered anew in the order that regions are read: down, then across.
+
+    boxes: (doc_id, region, x1, y1), one for a region. Lines of a region without a box come last.
+    """
+    rows = lines.select("doc_id", "region", "line_no", "text").join(boxes.select("doc_id", "region", "x1", "y1").hint("merge"), ["doc_id", "region"], "left")
+    order = Window.partitionBy("doc_id").orderBy(F.asc_nulls_last("y1"), F.asc_nulls_last("x1"), "region", "line_no")
+    return rows.withColumn("line_no", F.row_number().over(order) - 1)
 
 
 def pick(cond, value) -> Column:
@@ -170,14 +181,16 @@ def line_candidates(values: DataFrame, method: str, stage: int) -> DataFrame:
     return values.select("doc_id", F.col("line_no").alias("ord"), F.explode(F.filter(each, lambda o: o["value"].isNotNull())).alias("o")).select("doc_id", "ord", "o.*")
 
 
-def extract_regions(lines: DataFrame, basic: bool = False, labels: DataFrame | None = None, evidence: bool = False) -> DataFrame:
+def extract_regions(lines: DataFrame, basic: bool = False, labels: DataFrame | None = None, evidence: bool = False, boxes: DataFrame | None = None) -> DataFrame:
     """(doc_id, field, value, method): all fields found in each document; with evidence, also the text they come from.
 
-    labels: (doc_id, region, label) of the detector, which the basic rules read. Line values and regions
+    labels: (doc_id, region, label) of the detector, which the basic rules read. boxes: (doc_id, region, x1,
+    y1) of the detector; they order the regions, and an issuer that nothing names is looked for only in
+    regions that begin within x 2000 and y 1600. Without boxes regions stand by their lines. Line values and regions
     feed several branches, so each is computed once and written. Candidates carry the place of their
     evidence; winners alone get its text.
     """
-    values = cached(line_values(lines, basic), "lines")
+    values = cached(line_values(lines if boxes is None else in_place(lines, boxes), basic), "lines")
     regions = regions_of(values, labels).withColumns({"name": name_of(basic), "address": address_of(basic), "ahead": number_ahead()})
     regions = cached(regions, "regions")
     found = [candidates(regions, region_offers(basic)), line_candidates(values, "global_region_scan" if basic else "global_scan", 3)]
@@ -185,7 +198,8 @@ def extract_regions(lines: DataFrame, basic: bool = False, labels: DataFrame | N
         block = contact_block(regions)
         offers = [(2, "contact_block_fallback", f, F.lit(True), v) for f, v in (("Client_Name", F.col("name")), ("Billing_Address", F.col("address")), ("Client_Email", any_line("email")), ("Client_Phone", any_line("phone")))]
         others = regions.join(block.select("doc_id", "ord").hint("merge"), ["doc_id", "ord"], "left_anti")
-        top = others.filter((F.col("x1") <= 2000) & (F.col("y1") <= 1600) & ~X.any_in(F.col("norm"), NOT_ISSUER))
+        within = F.lit(True) if boxes is None else (F.col("x1") <= 2000) & (F.col("y1") <= 1600)
+        top = others.filter(within & ~X.any_in(F.col("norm"), NOT_ISSUER))
         name = F.col("name")
         found += [candidates(block, offers), candidates(top, [(4, "top_region_fallback", "Issuer_Name", F.length(name) >= 2, name)])]
     best = first_win_merge(reduce(DataFrame.unionByName, found))
@@ -210,12 +224,32 @@ _FIXED = f"""select o_orderkey as doc_id, 'Invoice_Number' as field, concat('inv
  union all select o_orderkey, 'Total', cast(cast(o_totalprice as decimal(14,2)) as varchar), 'totals_region' from orders"""
 _LINES = "select l_orderkey as doc_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as n, concat('Part ', translate(cast(l_partkey as varchar),'0123456789','ABCDEFGHIJ')) as name, cast(cast(l_extendedprice as decimal(14,2)) as varchar) as price from lineitem"
 _PRODUCTS = f"select doc_id, 'Products' as field, string_agg(name, ' | ' order by n) as value, 'region_products' as method from ({_LINES}) group by doc_id"
+_PLACED_PHONE = f"select doc_id, 'Client_Phone' as field, arg_min(price, n) as value, 'global_scan' as method from (select doc_id, n, price from ({_LINES}) union all select o_orderkey, 0, cast(cast(o_totalprice as decimal(14,2)) as varchar) from orders) where length(price) >= 9 group by doc_id"
 _PHONE = f"select doc_id, 'Client_Phone' as field, arg_min(price, n) as value, 'global_scan' as method from (select doc_id, n, price from ({_LINES}) union all select o_orderkey, 100, cast(cast(o_totalprice as decimal(14,2)) as varchar) from orders) where length(price) >= 9 group by doc_id"
 
 
-@register("extract_region_pipeline", f"{_FIXED} union all {_PRODUCTS} union all {_PHONE}")
+def token_lines(tokens: DataFrame, line_no) -> DataFrame:
+    """(doc_id, line_no, text, words, xmin, ymin, xmax, ymax): tokens of one line from left to right."""
+    words = F.transform(F.array_sort(F.collect_list(F.struct("xmin", "tok_no", "text"))), lambda t: t["text"])
+    rows = tokens.groupBy("doc_id", line_no.alias("line_no")).agg(words.alias("words"), F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"))
+    return rows.withColumn("text", F.array_join("words", " "))
+
+
+def _page(spark, sf) -> DataFrame:
+    """Lines of the page tokens; a line has at most four of them."""
+    return token_lines(view(spark, sf, "v_page_tokens"), F.floor((F.col("tok_no") - 1) / 4).cast("int"))
+
+
+def _boxes(spark, sf) -> DataFrame:
+    """Corners of the regions, from the tokens of their lines. The total stands at the right of the first line."""
+    lines = view(spark, sf, "v_invoice_lines").select("doc_id", "line_no", "region")
+    return _page(spark, sf).join(lines.hint("merge"), ["doc_id", "line_no"]).groupBy("doc_id", "region").agg(F.min("xmin").alias("x1"), F.min("ymin").alias("y1"))
+
+
+@register("extract_region_pipeline", f"{_FIXED} union all {_PRODUCTS} union all {_PLACED_PHONE}")
 def extract_region_pipeline(spark, sf):
-    return extract_regions(view(spark, sf, "v_invoice_lines")).select("doc_id", "field", "value", "method")
+    """Regions lie where their tokens are."""
+    return extract_regions(view(spark, sf, "v_invoice_lines"), boxes=_boxes(spark, sf)).select("doc_id", "field", "value", "method")
 
 
 @register("job_extract_invoices", f"select field, method, count(*) as documents from ({_FIXED} union all {_PRODUCTS} union all {_PHONE}) group by field, method")
@@ -348,6 +382,13 @@ def with_confidence(lines: DataFrame) -> DataFrame:
     return lines if "confidence" in lines.columns else lines.withColumn("confidence", F.lit(0.0))
 
 
+def placed(lines: DataFrame, pitch: float, height: float) -> DataFrame:
+    """Lines with confidence, ymin, ymax and words; those that come without geometry stand pitch apart, and blanks cut their words."""
+    lines = with_confidence(lines)
+    made = {"ymin": F.col("line_no") * F.lit(pitch), "ymax": F.col("line_no") * F.lit(pitch) + height, "words": F.split(F.trim("text"), " +")}
+    return lines.select("doc_id", "line_no", "text", "confidence", *(F.col(c) if c in lines.columns else v.alias(c) for c, v in made.items()))
+
+
 def anchored_lines(lines: DataFrame) -> DataFrame:
     """A line once for each field of which it holds an anchor, with the rule; few rules, so they unroll to one projection."""
     rows = lines.withColumn("norm", X.normalize_text(F.col("text")))
@@ -365,13 +406,16 @@ def anchor_candidates(lines: DataFrame, height: float = 12.0, pitch: float = 20.
     The texts to look in become rows of their own, so one expression reads them all.
     """
     w = Window.partitionBy("doc_id").orderBy("line_no")
-    below = [F.when((F.lead("line_no", k).over(w) - F.col("line_no")) * pitch <= height * (1.5 + k), F.struct(F.lead("text", k).over(w).alias("text"), F.lead("confidence", k).over(w).alias("confidence"))).alias(f"n{k}") for k in (1, 2)]
-    rows = anchored_lines(lines.select("doc_id", "line_no", "text", "confidence", *below))
+    lines = placed(lines, pitch, height)
+    centre = (F.col("ymin") + F.col("ymax")) / 2
+    near = lambda k: F.abs(F.lead(centre, k).over(w) - centre) <= (F.col("ymax") - F.col("ymin")) * (1.5 + k)
+    below = [F.when(near(k), F.struct(F.lead("text", k).over(w).alias("text"), F.lead("confidence", k).over(w).alias("confidence"))).alias(f"n{k}") for k in (1, 2)]
+    rows = anchored_lines(lines.select("doc_id", "line_no", "text", "confidence", "words", *below))
     parts = F.split("text", "[:\\-]", 2)
     held = F.exists("anchors", lambda a: X.normalize_text(parts[0]).contains(a))
     own = F.when((F.size(parts) == 2) & held, F.trim(F.try_element_at(parts, F.lit(2)))).otherwise(F.col("text"))
     look = lambda tier, place, text, shown, confidence: F.struct(F.lit(tier).alias("tier"), place.alias("place"), text.alias("look"), shown.alias("evidence"), confidence.alias("confidence"))
-    right = F.transform(right_words(F.split(F.trim("text"), " +")), lambda t, i: look(2, i, t, F.col("text"), F.col("confidence")))
+    right = F.transform(right_words(F.col("words")), lambda t, i: look(2, i, t, F.col("text"), F.col("confidence")))
     near = [look(3, F.lit(k), F.col(f"n{k}.text"), F.col(f"n{k}.text"), F.col(f"n{k}.confidence")) for k in (1, 2)]
     places = F.concat(F.array(look(1, F.lit(0), own, F.col("text"), F.col("confidence"))), right, F.array(*near))
     rows = rows.select("doc_id", "line_no", "field", "kind", F.explode(places).alias("p")).select("doc_id", "line_no", "field", "kind", "p.*").filter("look is not null")
@@ -386,9 +430,10 @@ def extract_anchors(lines: DataFrame, height: float = 12.0, pitch: float = 20.0)
 
     E-mail and phone are looked for on all lines first, then come the anchors, then the largest amount and
     the top of the page. Candidates carry their stage and place, and one aggregate keeps each field's first.
-    lines: doc_id, line_no, text, and confidence where it is known.
+    lines: doc_id, line_no, text, and, where they are known, confidence, ymin, ymax and words (the texts of
+    a line's tokens from left to right); pitch and height stand in for geometry that is not.
     """
-    lines = with_confidence(lines).select("doc_id", "line_no", "text", "confidence")
+    lines = placed(lines, pitch, height)
     found = [best_email(lines), best_phone(lines), anchor_candidates(lines, height, pitch), product_rows(lines), largest_amount(lines), top_issuer(lines, pitch, height)]
     every = reduce(DataFrame.unionByName, [f.select(*CANDIDATE) for f in found]).filter("value is not null")
     best = F.min_by(F.struct("value", "method", "confidence", "evidence"), F.struct("stage", "line_no", "tier", "place"))
@@ -452,10 +497,12 @@ def largest_amount(lines: DataFrame) -> DataFrame:
 
 
 def top_issuer(lines: DataFrame, pitch: float = 20.0, height: float = 12.0) -> DataFrame:
-    """First acceptable line in the top 35 % of the page."""
+    """First acceptable line in the top 35 % of the page; the first centre below ends the search."""
     w = Window.partitionBy("doc_id")
-    top, bottom = F.min(F.col("line_no") * pitch).over(w), F.max(F.col("line_no") * pitch + height).over(w)
-    rows = with_confidence(lines).withColumn("y", F.col("line_no") * pitch + height / 2).withColumn("cut", top + (bottom - top) * 0.35).filter(F.col("y") <= F.col("cut"))
+    rows = placed(lines, pitch, height)
+    cut = F.min("ymin").over(w) + (F.max("ymax").over(w) - F.min("ymin").over(w)) * 0.35
+    rows = rows.withColumn("below", (F.col("ymin") + F.col("ymax")) / 2 > cut)
+    rows = rows.withColumn("end", F.min(F.when(F.col("below"), F.col("line_no"))).over(w)).filter(F.col("end").isNull() | (F.col("line_no") < F.col("end")))
     t = F.trim("text")
     ok = (F.regexp_count(t, F.lit("[A-Za-z]")) >= 3) & ~X.any_in(X.normalize_text(t), NOT_TOP) & X.first(t, X.EMAIL).isNull() & X.find_phone_noise(t).isNull() & (F.size(X.invoice_id_candidates(t)) == 0) & X.first(t, X.DATE).isNull()
     best = F.min_by(F.struct("line_no", t.alias("value"), "confidence", t.alias("evidence")), "line_no")
@@ -500,8 +547,8 @@ def pick_field_value(spark, sf):
 def right_token_value(spark, sf):
     """What an invoice number's rule finds right of its anchor, on every line."""
     anchors, kind = RULES["numero_facture"]
-    rows = view(spark, sf, "v_invoice_lines").withColumn("kind", F.lit(kind)).withColumn("anchors", F.array(*map(F.lit, anchors)))
-    return rows.select("doc_id", "line_no", right_token(F.split(F.trim("text"), " +")).alias("value"))
+    rows = _page(spark, sf).withColumn("kind", F.lit(kind)).withColumn("anchors", F.array(*map(F.lit, anchors)))
+    return rows.select("doc_id", "line_no", right_token(F.col("words")).alias("value"))
 
 
 @register("take_until_total", f"select doc_id, string_agg(name, ' | ' order by n) as value from (select doc_id, n, name from ({_LINES}) where n <= 30) group by doc_id")
@@ -521,9 +568,11 @@ def q_best_phone(spark, sf):
     return best_phone(lines.select("doc_id", F.col("x.n").alias("line_no"), F.col("x.t").alias("text"))).select("doc_id", "value")
 
 
-@register("top_of_page_35", f"select l_orderkey as doc_id, concat('From: Supplier ', {_L('min(l_suppkey)')}) as value from lineitem group by l_orderkey union all select o_orderkey, concat('Acme ', {_L('o_custkey')}) from orders where o_orderkey not in (select l_orderkey from lineitem)")
+@register("top_of_page_35", f"select l_orderkey as doc_id, concat('From: Supplier ', {_L('min(l_suppkey)')}) as value from lineitem group by l_orderkey")
 def top_of_page_35(spark, sf):
-    return top_issuer(view(spark, sf, "v_invoice_lines")).select("doc_id", "value")
+    """Lines where their tokens are, read down and across; without a supplier nothing else is near the top."""
+    order = Window.partitionBy("doc_id").orderBy((F.col("ymin") + F.col("ymax")) / 2, "xmin", "line_no")
+    return top_issuer(_page(spark, sf).withColumn("line_no", F.row_number().over(order) - 1)).select("doc_id", "value")
 
 
 @register("best_regex_hit", "select doc_id, line_no, date_text from (select doc_id, line_no, nullif(regexp_extract(text, '[0-9]{2}/[0-9]{2}/[0-9]{4}'), '') as date_text from v_invoice_lines) where date_text is not null")
