@@ -218,26 +218,51 @@ def count_unique_docs(spark, sf):
     return view(spark, sf, "v_files").agg(F.count_distinct(document_key(F.col("name"))).alias("documents"), F.count(F.lit(1)).alias("files"))
 
 
+def seeded_hash(key: str, seed: int = 42) -> Column:
+    """32 digits that order keys at random, the same at every run."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+
+
+#: So few hashes are sorted in one place.
+FEW = 65536
+
+
+def kth_hash(hashes: DataFrame, k: int, few: int = FEW) -> str:
+    """The k-th smallest (from 1) of a column h of 32 hexadecimal digits, by radix selection.
+
+    Each pass counts, with map-side sums, the 4,096 next values of three digits among the hashes that share
+    the digits found so far, and goes on in the one that holds the k-th; the last pass sorts what is left,
+    at most `few`. So no task and no result grows with the table, and n rows take about log4096(n / few)
+    passes. Equal hashes, however many, end in all their digits.
+    """
+    found = ""
+    while len(found) < 32:
+        here = hashes.filter(F.col("h").startswith(found)) if found else hashes
+        next_ = F.substring("h", len(found) + 1, 3)
+        counts = sorted((r["d"], r["count"]) for r in here.groupBy(next_.alias("d")).count().collect())  # 4,096 at most
+        for digits, n in counts:
+            if k <= n:
+                break
+            k -= n
+        found += digits
+        if n <= few:
+            left = hashes.filter(F.col("h").startswith(found)).agg(F.sort_array(F.collect_list("h"))[k - 1].alias("h"))
+            return left.first()["h"]
+    return found
+
+
 def split_random(rows: DataFrame, key: str, fraction: float = 0.2, seed: int = 42) -> DataFrame:
     """Seeded split by rank of a hash: max(1, n * fraction) rows to val, never all.
 
-    The threshold hash comes from a top-k over hashes, so no task ranks the whole table.
+    The threshold hash comes from radix selection, so no task ranks the table.
     """
     n = rows.count()
     k = min(max(1, int(n * fraction)), n - 1)
-    hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
     if k < 1:
         return rows.withColumn("split", F.lit("train"))
-    cut = rows.select(hashed.alias("h")).groupBy(F.substring("h", 1, 3).alias("head")).count().orderBy("head").collect()
-    # the hash's first three digits: 4096 counts tell which of them holds the k-th rank
-    seen, edge = 0, "fff"
-    for r in cut:
-        if seen + r["count"] >= k:
-            edge = r["head"]
-            break
-        seen += r["count"]
-    at_edge = rows.select(hashed.alias("h")).filter(F.substring("h", 1, 3) == edge).withColumn("r", F.row_number().over(Window.orderBy("h"))).filter(F.col("r") == k - seen).select("h").first()["h"]
-    return rows.withColumn("split", F.when(hashed <= at_edge, "val").otherwise("train"))
+    hashed = seeded_hash(key, seed)
+    cut = kth_hash(rows.select(hashed.alias("h")), k)
+    return rows.withColumn("split", F.when(hashed <= cut, "val").otherwise("train"))
 
 
 def split_grouped(rows: DataFrame, key: str, fraction: float = 0.2, seed: int = 42) -> DataFrame:

@@ -319,12 +319,4 @@ def upload_row(spark, sf):
     return rows.select("doc_id", "owner_id", "filename", F.concat_ws("/", F.col("owner_id").cast("string"), "filename").alias("storage_key"), "content_type", "file_size", F.lit("pending").alias("status"))
 
 
-@register("delete_document", "select 'docs' as tab, doc_id from v_docs where status <> 'error' union all select 'class', c.doc_id from v_class c where c.doc_id not in (select doc_id from v_docs where status = 'error') union all select 'extract', e.doc_id from v_extract e where e.doc_id not in (select doc_id from v_docs where status = 'error')")
-def delete_document(spark, sf):
-    """What stays of the three tables when the documents in error are deleted with their children."""
-    gone = _docs(spark, sf).filter("status = 'error'").select("doc_id")
-    left = [view(spark, sf, v).join(gone, "doc_id", "left_anti").select(F.lit(tab).alias("tab"), "doc_id") for tab, v in (("docs", "v_docs"), ("class", "v_class"), ("extract", "v_extract"))]
-    return reduce(DataFrame.unionByName, left)
-
-
 QUERIES, ORACLES = register.queries, register.oracles

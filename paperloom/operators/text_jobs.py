@@ -12,6 +12,7 @@ from ..functions import text as X
 from ..plans.register import Registry
 from ..plans.views import view
 from ..sources.scratch import new_path
+from ..sources.truth import is_blank, truth_map
 
 register = Registry()
 _CLEAN = "array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'), '[\\s\\x0b\\x1c-\\x1f]+', ' ', 'g')), ' '), lambda t: length(t) > 1 or regexp_full_match(t, '[0-9]')), ' ')"
@@ -290,16 +291,6 @@ def truth_rows(spark, sf) -> DataFrame:
     return docs.select("doc_id", text.alias("ground_truth"))
 
 
-def truth_map(col: str = "ground_truth"):
-    """JSON text as a map; malformed text gives null."""
-    return F.when(F.trim(col).startswith("{"), F.from_json(col, "map<string,string>"))
-
-
-@register("scan_truth_json", f"select doc_id, case when doc_id % 10 > 1 then cast(doc_id as varchar) when doc_id % 10 = 1 then '' end as total from ({_TRUTH})")
-def scan_truth_json(spark, sf):
-    return truth_rows(spark, sf).select("doc_id", F.try_element_at(truth_map(), F.lit("total")).alias("total"))
-
-
 @register("parse_truth_map", f"select doc_id, doc_id % 10 = 0 as malformed, case when doc_id % 10 = 0 then 0 when doc_id % 10 = 1 then 1 else 2 end as keys from ({_TRUTH})")
 def parse_truth_map(spark, sf):
     rows = truth_rows(spark, sf).withColumn("m", truth_map())
@@ -309,8 +300,7 @@ def parse_truth_map(spark, sf):
 @register("truth_guardrail", f"select doc_id % 10 as part, bool_and(doc_id % 10 = 1) as all_blank from ({_TRUTH}) group by 1")
 def truth_guardrail(spark, sf):
     """Whether all records of a part are blank; malformed JSON counts as not blank."""
-    blank = F.coalesce(F.forall(F.map_values(truth_map()), lambda v: F.trim(v) == ""), F.lit(False))
-    return truth_rows(spark, sf).groupBy((F.col("doc_id") % 10).alias("part")).agg(F.bool_and(blank).alias("all_blank"))
+    return truth_rows(spark, sf).groupBy((F.col("doc_id") % 10).alias("part")).agg(F.bool_and(is_blank()).alias("all_blank"))
 
 
 @register("build_target_sequence", f"select doc_id, concat('<s_invoice>', ground_truth, '</s>') as target from ({_TRUTH})")

@@ -1,10 +1,10 @@
 """All queries of the engine and their DuckDB statements."""
 
 from ..operators import boxes, catalog, evaluate, extract, features, layout, models, text_jobs
-from ..sources import readers
+from ..sources import readers, snapshots, truth
 from ..streaming import lifecycle
 
-MODULES = (catalog, evaluate, boxes, text_jobs, features, layout, extract, models, readers, lifecycle)
+MODULES = (catalog, evaluate, boxes, text_jobs, features, layout, extract, models, readers, snapshots, truth, lifecycle)
 
 
 def queries():

@@ -21,12 +21,6 @@ FINAL = ("done", "error")
 WAIT_S = 150
 
 
-def upsert_result(old: DataFrame, new: DataFrame, key: str, at: str) -> DataFrame:
-    """Rows of old whose key is not in new, and the last row of each key of new."""
-    last = new.groupBy(key).agg(F.max_by(F.struct(*new.columns), at).alias("r")).select("r.*")
-    return old.join(new.select(key), key, "left_anti").unionByName(last)
-
-
 def latest(events: DataFrame) -> DataFrame:
     """Status of each document by its last event, ties by event id."""
     return events.groupBy("doc_id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"), F.count(F.lit(1)).alias("events"))
@@ -185,15 +179,6 @@ def error_status(spark, sf):
     return _classified(spark, sf).filter("status = 'error'").select("doc_id", "error")
 
 
-@register("upsert_result", "select doc_id, predicted_label, run from (select c.doc_id, predicted_label, 0 as run from v_class c where c.doc_id % 5 <> 0 union all select doc_id, 'resume', 2 from v_docs where doc_id % 5 = 0)")
-def q_upsert(spark, sf):
-    """Two later runs over a fifth of the documents: the last one wins."""
-    old = view(spark, sf, "v_class").select("doc_id", "predicted_label", F.lit(0).alias("run"))
-    fifth = view(spark, sf, "v_docs").filter("doc_id % 5 = 0").select("doc_id")
-    new = fifth.select("doc_id", F.explode(F.array(F.struct(F.lit("email").alias("predicted_label"), F.lit(1).alias("run")), F.struct(F.lit("resume").alias("predicted_label"), F.lit(2).alias("run")))).alias("r")).select("doc_id", "r.*")
-    return upsert_result(old, new, "doc_id", "run")
-
-
 @register("rerun_guard", "select doc_id, case when status = 'processing' then 422 else 202 end as code, case when status = 'processing' then 'processing' else 'pending' end as status from v_docs")
 def rerun_guard(spark, sf):
     busy = F.col("status") == "processing"
