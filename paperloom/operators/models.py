@@ -7,6 +7,7 @@ training part. Documents without a label cannot train or be judged and are left
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -25,6 +26,7 @@ from ..plans.views import view
 from ..sources.readers import cached
 from ..sources.scratch import new_path
 from . import features as V
+from . import text_jobs as J
 
 register = Registry()
 SEED = 42
@@ -186,6 +188,62 @@ for _name, _key in (("rf", "train_rf"), ("lr", "train_logreg"), ("nb", "train_nb
         return fit_score(_corpus(spark, sf).vectors(*HYBRID), name).select("doc_id", "label", "prediction")
 
 
+def gaussian_fit(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Gaussian naive Bayes from rows (label, feature, value): (feature, label, mean, var) and (label, prior).
+
+    Two grouped aggregates with map-side sums. A variance grows by 1e-9 of its feature's over all classes
+    (of 1 for a constant feature), which is the smoothing of standardised features. Each document has one
+    row of each feature; the tables have classes x features and classes rows.
+    """
+    moments = rows.groupBy("feature", "label").agg(F.avg("value").alias("mean"), F.var_pop("value").alias("v"), F.count(F.lit(1)).alias("n"))
+    spread = rows.groupBy("feature").agg(F.var_pop("value").alias("all"), F.count(F.lit(1)).alias("docs"))
+    model = cached(moments.join(F.broadcast(spread), "feature").select("feature", "label", "mean", (F.col("v") + 1e-9 * F.when(F.col("all") > 0, F.col("all")).otherwise(1.0)).alias("var"), F.log(F.col("n") / F.col("docs")).alias("prior")), "moments")
+    return model.drop("prior"), model.groupBy("label").agg(F.max("prior").alias("prior"))
+
+
+def gaussian_scores(rows: DataFrame, model: DataFrame, priors: DataFrame) -> DataFrame:
+    """(doc_id, label, score): log density plus log prior of rows (doc_id, feature, value), for every class.
+
+    The model goes to the rows, as it has classes x features rows; what is shuffled is a partial sum for
+    each document and class.
+    """
+    gap = F.col("value") - F.col("mean")
+    density = -0.5 * (F.log(2 * math.pi * F.col("var")) + gap * gap / F.col("var"))
+    return rows.join(F.broadcast(model), "feature").groupBy("doc_id", "label").agg(F.sum(density).alias("s")).join(F.broadcast(priors), "label").select("doc_id", "label", (F.col("s") + F.col("prior")).alias("score"))
+
+
+def gaussian_classify(rows: DataFrame, model: DataFrame, priors: DataFrame) -> DataFrame:
+    """(doc_id, prediction): the class of the highest score, the last by name of equals."""
+    return gaussian_scores(rows, model, priors).groupBy("doc_id").agg(F.max_by("label", F.struct("score", "label")).alias("prediction"))
+
+
+_NUMBERS = (*V.RASTER[:17], *V.RASTER[23:], *J.META)
+_SQL_ROWS = f"(unpivot (select d.doc_id, lang as label, {', '.join(f'cast(coalesce({c}, 0) as double) as {c}' for c in _NUMBERS)} from (select doc_id, lang from documents where lang is not null) d left join ({V.ORACLES['raster_density']}) a on a.doc_id = d.doc_id left join ({V.ORACLES['raster_margins']}) b on b.doc_id = d.doc_id left join ({V.ORACLES['raster_edges']}) c on c.doc_id = d.doc_id left join ({J.ORACLES['text_meta_features']}) e on e.doc_id = d.doc_id) on {', '.join(_NUMBERS)} into name feature value value)"
+
+
+@register(
+    "gaussian_nb",
+    f"""with f as materialized (select * from {_SQL_ROWS}), t as (select * from f where doc_id % 5 <> 0),
+ m as (select feature, label, avg(value) as mean, var_pop(value) as v, count(*) as n from t group by feature, label), g as (select feature, var_pop(value) as a, count(*) as docs from t group by feature),
+ p as (select m.feature, label, mean, v + 1e-9::double * case when a > 0 then a else 1.0::double end as var, ln(n / docs) as prior from m join g on g.feature = m.feature)
+ select doc_id, truth as label, arg_max(label, score) as prediction from (select f.doc_id, f.label as truth, p.label, sum(-0.5 * (ln(2 * pi() * var) + (value - mean) * (value - mean) / var)) + max(prior) as score from f join p on p.feature = f.feature where f.doc_id % 5 = 0 group by f.doc_id, f.label, p.label) group by doc_id, truth""",
+)
+def gaussian_nb(spark, sf):
+    """Class moments by aggregates over raster and text features in long form; every fifth document is held out."""
+    docs = view(spark, sf, "documents").filter("lang is not null").select("doc_id", F.col("lang").alias("label"), "text")
+    raster = V.raster_features(V.pages(docs, "doc_id", "label", "text"), "doc_id", "label", "text")
+    blank = docs.filter(F.coalesce(F.length("text"), F.lit(0)) == 0).select("doc_id", "label", "text", *(F.lit(None).cast("double").alias(c) for c in V.RASTER))
+    digits = dict.fromkeys(V.RASTER[27:], 6)
+    made = raster.select("doc_id", "label", "text", *(F.round(c, digits.get(c, 7)).alias(c) for c in V.RASTER)).unionByName(blank)
+    wide = J.meta_features(made, "doc_id", "label", *(c for c in _NUMBERS if c in V.RASTER))
+    each = F.array(*(F.struct(F.lit(c).alias("feature"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("value")) for c in _NUMBERS))
+    rows = cached(wide.select("doc_id", "label", F.explode(each).alias("f")).select("doc_id", "label", "f.*"), "features")
+    model, priors = gaussian_fit(rows.filter("doc_id % 5 <> 0").drop("doc_id"))
+    held = rows.filter("doc_id % 5 = 0")
+    truth = held.filter(F.col("feature") == "ink").select("doc_id", "label")
+    return truth.join(gaussian_classify(held.drop("label"), model, priors).hint("merge"), "doc_id")
+
+
 @register("assemble_features")
 def assemble_features(spark, sf):
     """The vector of every labelled document: its length, and the norms of its text, image and meta parts."""

@@ -80,9 +80,12 @@ _META = f"""select doc_id, length(text) as n_chars, len({_WORDS}) as n_words, le
  cast(contains(text, '@') as double) as has_at, cast(regexp_matches(text, '[$€£]') as double) as has_currency, cast(regexp_matches(text, '\\b\\d{{1,2}}[/-]\\d{{1,2}}[/-]\\d{{2,4}}\\b') as double) as has_date from documents"""
 
 
-def meta_features(docs: DataFrame) -> DataFrame:
+META = ("n_chars", "n_words", "n_lines", "avg_word_len", "avg_line_len", "digit_ratio", "upper_ratio", "special_ratio", *X.KEYWORDS, "has_at", "has_currency", "has_date")
+
+
+def meta_features(docs: DataFrame, *keep: str) -> DataFrame:
     rounded = lambda n, c: F.round(c, 9).alias(n) if n.startswith("avg") or n.endswith("ratio") else c.alias(n)
-    return docs.select("doc_id", *(rounded(n, c) for n, c in X.text_meta_features(F.col("text")).items()))
+    return docs.select(*(keep or ("doc_id",)), *(rounded(n, c) for n, c in X.text_meta_features(F.col("text")).items()))
 
 
 @register("text_meta_features", _META)

@@ -112,3 +112,28 @@ def test_five_models(spark):
 def test_training(spark):
     rows = M.QUERIES["train_nb"](spark, SF).collect()
     assert len(rows) >= 30 and sum(r.label == r.prediction for r in rows) >= 0.85 * len(rows)
+
+
+def test_gaussian_tables(spark):
+    """Scores of the relational form by the formula, with a feature constant in training and one constant in a class."""
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 3, 90)
+    x = rng.normal(size=(90, 4)) * [1, 50, 1e-3, 0] + y[:, None] * [0.5, 10, 1e-3, 0]
+    x[y == 1, 1] = 7.0
+    x[80:, 3] = 0.5  # seen in no training row
+    train = np.arange(90) < 80
+    rows = [(int(i), f"c{y[i]}", f"f{j}", float(x[i, j])) for i in range(90) for j in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, label string, feature string, value double")
+    model, priors = M.gaussian_fit(df.filter("doc_id < 80").drop("doc_id"))
+    held = df.filter("doc_id >= 80").drop("label")
+    spread = np.where(x[train].var(0) > 0, x[train].var(0), 1.0)
+    want = {}
+    for c in range(3):
+        part = x[train & (y == c)]
+        v = part.var(0) + 1e-9 * spread
+        for i in range(80, 90):
+            want[i, f"c{c}"] = math.log(len(part) / 80) - 0.5 * (np.log(2 * np.pi * v) + (x[i] - part.mean(0)) ** 2 / v).sum()
+    got = {(r.doc_id, r.label): r.score for r in M.gaussian_scores(held, model, priors).collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], rel=1e-6) for k in want)
+    best = {i: max((want[i, f"c{c}"], f"c{c}") for c in range(3))[1] for i in range(80, 90)}
+    assert {r.doc_id: r.prediction for r in M.gaussian_classify(held, model, priors).collect()} == best
