@@ -30,7 +30,7 @@ from .common import over_texts, slices, table
 TOKENIZER = "byte_bpe_50k.json"
 #: Fixed value: the pre-tokeniser's pattern, with white space as Unicode defines it.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Pieces and pairs that a worker keeps, some 110 MB; ids decoded at a time.
+#: Pieces of each of two generations and pairs that a worker keeps, some 140 MB; ids decoded at a time.
 KEEP, KEEP_PAIRS = 100_000, 150_000
 ROWS, IDS = 1_000, 1 << 18
 
@@ -98,6 +98,7 @@ class Codec(Decoder):
         self.pieces = regex.compile(PIECES)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.seen: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # the generation before `seen`; what is met again moves on
         self.pairs: dict[int, bool] = {}
         self.lengths = [len(b) for b in self.tokens]
 
@@ -164,11 +165,12 @@ class Codec(Decoder):
     def forget(self) -> None:
         """Empty the caches, so that an idle worker holds the vocabulary alone."""
         self.seen.clear()
+        self.before.clear()
         self.pairs.clear()
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit numbers."""
-        seen, out = self.seen, []
+        seen, before, out = self.seen, self.before, []
         for i, part in enumerate(self.cut.split(text) if self.cut else [text]):
             if i % 2:
                 out.append(np.int32(self.special[part]).tobytes())
@@ -176,12 +178,14 @@ class Codec(Decoder):
             for p in self.pieces.findall(part):
                 got = seen.get(p)
                 if got is None:
-                    if len(seen) >= KEEP:
-                        seen.clear()
-                    if len(self.pairs) >= KEEP_PAIRS:
-                        self.pairs.clear()
-                    got = array("i", self.piece(p.encode())).tobytes()
+                    got = before.get(p)
+                    if got is None:
+                        if len(self.pairs) >= KEEP_PAIRS:
+                            self.pairs.clear()
+                        got = array("i", self.piece(p.encode())).tobytes()
                     if len(p) < 64:
+                        if len(seen) >= KEEP:
+                            self.before, self.seen = before, seen = seen, {}
                         seen[p] = got
                 out.append(got)
         return b"".join(out)

@@ -319,3 +319,22 @@ def test_projections_at_every_size(spark, n):
     close = np.argwhere(np.triu(every @ every.T >= 0.9, 1))
     found = sum(got.values()) / 2
     assert len(close) >= len(x) and 0.97 * len(close) <= found <= len(close)
+
+
+def test_bpe_generations(monkeypatch):
+    """Caches of a few pieces, turned over many times, change no id; frequent pieces stay."""
+    from paperloom.llm import bpe
+
+    with open(bpe.tokenizer_path(None), encoding="utf-8") as f:
+        spec = f.read()
+    rng = random.Random(2)
+    words = ["common"] + ["".join(rng.choice("abcdeé 7") for _ in range(rng.randrange(1, 12))) for _ in range(300)]
+    texts = [" ".join(rng.choice(words) + " common" for _ in range(40)) for _ in range(20)]
+    whole = bpe.Codec(spec)
+    want = [whole.encode(t) for t in texts]
+    monkeypatch.setattr(bpe, "KEEP", 4)
+    small = bpe.Codec(spec)
+    assert [small.encode(t) for t in texts] == want
+    assert len(small.seen) <= 4 and len(small.before) <= 4 and " common" in {*small.seen, *small.before}
+    small.forget()
+    assert not small.seen and not small.before and small.encode(texts[0]) == want[0]
