@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text as X
 from paperloom.operators import extract as E
+from paperloom.operators import layout as L
 
 
 def plan(df) -> str:
@@ -30,3 +31,21 @@ def test_line_values_without_digits_or_signs(spark):
     assert [r["percent"] for r in rows] == [*[None] * 4, "20 %", *[None] * 4]
     assert [r["number"] for r in rows] == [None] * len(texts)
     assert [r["norm"] for r in rows][7] == "no. 00123 e"
+
+
+def test_lines_of_groups_cut_by_batches(spark):
+    """Groups are not sent one by one, and one that runs over several Arrow batches stays whole; null keys are a group."""
+    rows = [(d, r, i, f"t{i}", 10.0 * i, 0.0, 10.0 * i + 8, 12.0) for d, r, n in ((1, 0, 7), (1, 1, 1), (2, None, 3), (None, None, 4), (3, 0, 2)) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, region int, tok_no int, text string, xmin double, ymin double, xmax double, ymax double")
+    blank = df.filter("doc_id = 3").withColumn("doc_id", F.lit(4)).withColumn("text", F.lit(" "))
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, 2)
+    try:
+        made = L.lines_within(df.unionByName(blank), ["doc_id", "region"])
+        assert "FlatMapGroups" not in plan(made)
+        got = {(r["doc_id"], r["region"]): (r["n_tokens"], r["xmax"], r["lines"]) for r in made.collect()}
+    finally:
+        spark.conf.set(size, before)
+    line = lambda n: (n, 10.0 * n - 2, [" ".join(f"t{i}" for i in range(n))])
+    assert got == {(1, 0): line(7), (1, 1): line(1), (2, None): line(3), (None, None): line(4), (3, 0): line(2)}
