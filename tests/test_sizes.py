@@ -77,3 +77,12 @@ def test_sql_on_large_keys(spark, large_keys, name):
     assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, want)) and want
     if name != "best_contact_block":
         assert "54270" in str(c.sql("from lineitem").fetchall())
+
+
+def test_anchor_and_legacy_values_are_computed_once(spark):
+    """Values that an expression reads in several places are bound, not repeated."""
+    made = plan(E.anchored_lines(lines(spark, "a").select("doc_id", "line_no", "text")))
+    assert made.count("translate(") <= 2 and made.count("concat(") <= 2
+    text = F.col("text")
+    assert plan(lines(spark, "a").select(E.legacy_total(text))).count("regexp_extract(") <= 12
+    assert plan(lines(spark, "a").select(E.legacy_due(text))).count("regexp_extract(") <= 30
