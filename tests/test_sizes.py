@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text as X
 from paperloom.operators import extract as E
+from paperloom.operators import features as V
 from paperloom.operators import layout as L
 from paperloom.plans import registry
 
@@ -86,3 +87,13 @@ def test_anchor_and_legacy_values_are_computed_once(spark):
     text = F.col("text")
     assert plan(lines(spark, "a").select(E.legacy_total(text))).count("regexp_extract(") <= 12
     assert plan(lines(spark, "a").select(E.legacy_due(text))).count("regexp_extract(") <= 30
+
+
+def test_terms_are_counted_within_documents(spark):
+    """Pairs of document and term are not shuffled; rows of one document count together, but no pair of words spans two."""
+    docs = spark.createDataFrame([(1, "Red car, red car"), (1, "car"), (2, None), (3, "the"), (4, "solo"), (None, "ab ab")], "doc_id long, text string")
+    made = V.terms(docs, ["the"], 2)
+    assert "Aggregate [doc_id" in plan(made) and ", term" not in plan(made).split("Aggregate [")[1].split("]")[0]
+    got = sorted(((r["doc_id"], r["term"], r["tf"]) for r in made.collect()), key=str)
+    assert got == sorted([(1, "red", 2), (1, "car", 3), (1, "red car", 2), (1, "car red", 1), (4, "solo", 1), (None, "ab", 2), (None, "ab ab", 1)], key=str)
+    assert {(r["doc_id"], r["term"], r["tf"]) for r in V.terms(docs, [], 1).collect()} == {(1, "red", 2), (1, "car", 3), (3, "the", 1), (4, "solo", 1), (None, "ab", 2)}
