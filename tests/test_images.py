@@ -97,3 +97,16 @@ def test_folders(spark, tmp_path):
     for r in found:
         split, category, name = r.name.split("/")
         same(r, want[split, category.replace(" ", "%20"), name])
+
+
+def test_features_are_made_in_tasks(spark):
+    """Pixels pass as bytes, not through lambdas of the plan, and give the features of the same pages as arrays; no row for empty texts."""
+    texts = ["ab c", "", None, "é😀 \t" * 90, "x" * 81, "\n" * 170 + "y", " " * 320]
+    docs = spark.createDataFrame([(k, f"k{k}", t) for k, t in enumerate(texts)], "doc_id long, name string, text string")
+    made = V.raster_features(V.packed_pages(docs, "doc_id", "name"), "doc_id", "name")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "lambda" not in plan
+    got, want = made.orderBy("doc_id").collect(), {r.doc_id: np.array(r.gray) for r in V.pages(docs).collect()}
+    assert [(r.doc_id, r.name) for r in got] == [(k, f"k{k}") for k in sorted(want)]
+    for r in got:
+        same(r, plain(want[r.doc_id]))
