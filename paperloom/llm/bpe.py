@@ -228,10 +228,15 @@ class _Spec:
         return self.sent.value
 
 
-def encode(df: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Add ids array<int>. A null text counts as empty and has no ids; a column `ids` is replaced."""
-    df, spec = df.drop("ids"), _spec(df.sparkSession, path)
-    schema = T.StructType([*df.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
+def encode(df: DataFrame, text_col: str = "text", path: str | None = None, decoded: str | None = None) -> DataFrame:
+    """Add ids array<int>. A null text counts as empty and has no ids; a column `ids` is replaced.
+
+    `decoded` names a column for the text of those ids, as `decode` gives it: the worker that encoded decodes
+    them too, so that a task needs one worker with one vocabulary and not two.
+    """
+    df, spec = df.drop("ids", *([decoded] if decoded else [])), _spec(df.sparkSession, path)
+    more = [T.StructField(decoded, T.StringType(), False)] if decoded else []
+    schema = T.StructType([*df.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False), False), *more])
     column = df.columns.index(text_col)
 
     def run(batches):
@@ -239,9 +244,10 @@ def encode(df: DataFrame, text_col: str = "text", path: str | None = None) -> Da
         for big in batches:
             for b in slices(big, column, ROWS):
                 coded = [codec.encode(t or "") for t in b.column(column).to_pylist()]
-                ends = np.cumsum([0, *(len(c) // 4 for c in coded)], dtype=np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), dtype="<i4"), pa.int32()))
-                yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, "ids"])
+                ends, flat = np.cumsum([0, *(len(c) // 4 for c in coded)], dtype=np.int32), np.frombuffer(b"".join(coded), dtype="<i4")
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+                texts = [pa.array(codec.decode(flat, ends[1:]), pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*b.columns, ids, *texts], names=schema.names)
         codec.forget()
 
     return over_texts(df, run, schema)
@@ -266,7 +272,7 @@ def decode(df: DataFrame, ids_col: str = "ids", out: str = "decoded", path: str
 
 
 def op9_bpe(spark, sf_dir):
-    both = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    both = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded="decoded")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

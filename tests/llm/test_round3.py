@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.llm import embed_dedup, exact_dedup, lm, merkle, mixing, sharding, simhash, similar, whitening
+from paperloom.llm import bpe, embed_dedup, exact_dedup, lm, merkle, mixing, sharding, simhash, similar, whitening
 
 LEAVES = "id long, source string, leaf string, claim string"
 
@@ -338,3 +338,27 @@ def test_bpe_generations(monkeypatch):
     assert len(small.seen) <= 4 and len(small.before) <= 4 and " common" in {*small.seen, *small.before}
     small.forget()
     assert not small.seen and not small.before and small.encode(texts[0]) == want[0]
+
+
+def test_round_trip_takes_one_pass(spark):
+    """Encoding and decoding share a worker, and give what the two give one after the other."""
+    texts = ["", None, "a  b\n", "é😀", "<|endoftext|> x", "word " * 3000]
+    df = spark.createDataFrame([(k, t, "old") for k, t in enumerate(texts)], "doc_id long, text string, decoded string")
+    made = bpe.encode(df, decoded="decoded")
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert made.columns == bpe.decode(bpe.encode(df)).columns
+    assert sorted(map(str, made.collect())) == sorted(map(str, bpe.decode(bpe.encode(df)).collect()))
+
+
+@pytest.mark.parametrize("groups", [4, 20])
+def test_common_passages_leave_heads(spark, groups, monkeypatch):
+    """Passages that a number of texts share stay out of the heads, in tables of any size, so texts that share no more than one are not paired."""
+    passages = [" ".join(f"p{g}x{k}" for k in range(60)) for g in range(groups)]
+    texts = [f"{passages[i % groups]} " + " ".join(f"w{i}x{k}" for k in range(340)) for i in range(60 * groups)]
+    df = spark.createDataFrame(list(enumerate(texts)), "_rid long, _text string")
+    monkeypatch.setattr(similar, "SAMPLE", 60)
+    counts = similar._common(df, similar.WORDS)
+    heads = similar._sets(df, similar.WORDS, counts).selectExpr("_rid", "explode(elements) as e")
+    pairs = heads.groupBy("e").count().selectExpr("sum(count * (count - 1))").first()[0]
+    assert pairs <= 0.01 * 60 * 59 * groups * 12
+    assert similar.without_similar(df.toDF("doc_id", "text")).count() == len(texts)
