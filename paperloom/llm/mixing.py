@@ -16,7 +16,8 @@
    Within a shard documents are ordered by hash.
 
 All draws hash the seed and the rows' own values, so reruns agree. What is joined is one row for
-each block, spread by (source, block): a hot source has many blocks, none larger than the others.
+each block, sent to where the documents are; of these only the cut blocks move, by (source, block), and
+what is drawn, by shard.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2
 BLOCK_WORDS, MAX_BLOCKS = 1 << 17, 1 << 16
 SHARDS = 16
+#: Slots up to which their list is sent to all executors, some 100 bytes each.
+MOST_SENT = 200_000
 SEED = 97
 
 
@@ -131,7 +134,7 @@ def _plan(rows: DataFrame, shards: int, block_words: int, seed: int, weights) ->
     order = Window.partitionBy("_id").orderBy(F.expr(hash31(seed, "'b'", "_id", "_block")), "_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_size").over(order), F.lit(0)))
     blocks = blocks.withColumn("_limit", F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_rest") - F.col("_before"))))
-    slots = blocks.select("source", "_id", "_block", F.explode(F.expr("filter(transform(sequence(0L, _passes), p -> named_struct('pass', p, 'limit', if(p < _passes, _size, _limit))), s -> s.limit > 0)")).alias("s")).select("source", "_id", "_block", "s.*")
+    slots = blocks.select("source", "_id", "_block", F.explode(F.expr("filter(transform(sequence(0L, _passes), p -> named_struct('pass', p, 'limit', if(p < _passes, _size, _limit), 'cut', p = _passes and _limit < _size)), s -> s.limit > 0)")).alias("s")).select("source", "_id", "_block", "s.*")
     slots = written(slots.withColumn("_turn", F.row_number().over(Window.partitionBy("_id").orderBy(F.expr(hash31(seed, "'s'", "_id", "pass", "_block")), "pass", "_block"))), "mix-slots")
     quotas = split_quotas(slots.groupBy("source", "_id").agg(F.count(F.lit(1)).alias("quota")), shards, seed)
     ends = quotas.groupBy(F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_n")).agg(F.array_sort(F.collect_list(F.struct("shard", "quota"))).alias("q"))
@@ -140,11 +143,13 @@ def _plan(rows: DataFrame, shards: int, block_words: int, seed: int, weights) ->
     ends = F.broadcast(ends) if few else ends.hint("merge")
     dealt = slots.withColumn("_s", F.coalesce("source", F.lit(""))).withColumn("_n", F.col("source").isNull()).join(ends, ["_s", "_n"])
     dealt = dealt.withColumn("shard", F.expr("cast(filter(_ends, e -> e.end >= _turn)[0].shard as int)"))
-    per_block = dealt.groupBy("_id", "_block").agg(F.array_sort(F.collect_list(F.struct("pass", "limit", "shard"))).alias("_slots"))
-    # one row for each block against the documents, both spread by block
-    drawn = placed.join(per_block.hint("shuffle_hash"), ["_id", "_block"], "left")
+    per_block = dealt.groupBy("_id", "_block").agg(F.array_sort(F.collect_list(F.struct("pass", "limit", "shard"))).alias("_slots"), F.bool_or("cut").alias("_cut"))
+    # one row for each block: a list of checked size is sent to all, so that documents stay where they are; a longer one is spread by block as they are
+    drawn = placed.join(F.broadcast(per_block) if slots.count() <= MOST_SENT else per_block.hint("shuffle_hash"), ["_id", "_block"], "left")
+    # only in the last block of a source, which is cut, does it matter what comes before a document
     inside = Window.partitionBy("_id", "_block").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    drawn = drawn.withColumn("_start", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    start = F.coalesce(F.sum("size").over(inside), F.lit(0))
+    drawn = drawn.filter(~F.coalesce("_cut", F.lit(False))).withColumn("_start", F.lit(0).cast("long")).unionByName(drawn.filter("_cut").withColumn("_start", start))
     draws = F.expr("filter(transform(coalesce(_slots, array()), s -> named_struct('pass', s.pass, 'shard', s.shard, 'words', greatest(0L, least(size, s.limit - _start)))), d -> d.words > 0)")
     return drawn.select(*rows.drop("_h").columns, "source_size", "target", draws.alias("draws"))
 

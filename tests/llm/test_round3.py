@@ -362,3 +362,60 @@ def test_common_passages_leave_heads(spark, groups, monkeypatch):
     pairs = heads.groupBy("e").count().selectExpr("sum(count * (count - 1))").first()[0]
     assert pairs <= 0.01 * 60 * 59 * groups * 12
     assert similar.without_similar(df.toDF("doc_id", "text")).count() == len(texts)
+
+
+def five_words(text):
+    w = (text or "").lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+
+@pytest.mark.parametrize("large", [2, None])
+def test_differences_from_hubs_lose_no_link(spark, large, monkeypatch):
+    """Copies with chance edits, cut ones and chains of edits: what stays is as by brute force."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    texts = []
+    for size, copies in ((140, 320), (60, 60)):
+        base = [word() for _ in range(size)]
+        texts += [[word() if rng.random() < 0.033 else x for x in base] for _ in range(copies)]
+        texts += [base[: size - k] for k in range(0, size // 2, 4)] + [base[k:] for k in range(4, size // 2, 4)]
+        texts += [[x for x in base if rng.random() > 0.04] for _ in range(30)]
+        chain = base
+        for _ in range(12):
+            chain = [word() if rng.random() < 0.02 else x for x in chain]
+            texts.append(chain)
+    sets = [five_words(" ".join(t)) for t in texts]
+    root = list(range(len(sets)))
+    find = lambda k: k if root[k] == k else find(root[k])
+    for a in range(len(sets)):
+        for b in range(a):
+            if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    want = {k for k in range(len(sets)) if find(k) == k}
+    if large:
+        monkeypatch.setattr(similar, "LARGE", large)
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in similar.without_similar(df).collect()} == want and len(want) > 20
+
+
+def test_near_copies_pair_in_proportion(spark, monkeypatch):
+    """Of many copies with chance edits, about half of them too far from their source, each is compared with a few others only."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    base, counts, similar_of = [word() for _ in range(140)], [], similar._similar
+    texts = [" ".join(word() if rng.random() < 0.023 else x for x in base) for _ in range(500)]
+    monkeypatch.setattr(similar, "_similar", lambda pairs, *a: (counts.append(pairs.count()), similar_of(pairs, *a))[1])
+    similar.without_similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).count()
+    assert sum(counts) <= 16 * len(texts)
+
+
+def test_mix_leaves_texts_in_place(spark, monkeypatch):
+    """Draws are the same whether the list of blocks is sent or spread, and where it is sent only cut blocks move."""
+    rows = [(k, "w " * (k % 90), f"s{k % 4}" if k % 5 else None, k % 90) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size long")
+    sent = mixing.mix_plan(df, shards=4, block_words=300)
+    assert "ShuffledHashJoin" not in sent._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(mixing, "MOST_SENT", 0)
+    spread = mixing.mix_plan(df, shards=4, block_words=300)
+    assert sorted(map(str, sent.collect())) == sorted(map(str, spread.collect()))
